@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .licenses import op3_license_scan
 from .packing import op9_best_fit_packing
 from .sharding import op4_lpt_sharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op3_license_scan,
         op4_lpt_sharding,
         op9_best_fit_packing,
     )

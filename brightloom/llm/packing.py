@@ -8,7 +8,9 @@ one partition has held all that is left or a round no longer joins any.
 from __future__ import annotations
 
 import array
+import functools
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,19 +26,31 @@ CAPACITY = 2048
 SLACK = 16
 #: Items or bins that one task packs.
 ITEMS_PER_TASK = 60_000
-#: Words whose ids a worker keeps; then it starts anew.
-WORDS_KEPT = 300_000
+#: Words whose ids a worker keeps in each of two generations.
+WORDS_KEPT = 600_000
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
-#: str.split() also splits on these, the tokenizer doesn't.
-_ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Characters whose case and class don't depend on context or Unicode version.
+_PLAIN = [chr(c) for c in range(0x180) if c != 0x130]
+_LETTERS, _NUMBERS = ("".join(re.escape(c) for c in _PLAIN if unicodedata.category(c)[0] == kind) for kind in "LN")
+_SPACES = "\t-\r \x85\xa0"
+#: The tokenizer's own splitting, for plain characters.
+_SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
+_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
+
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte: itself if it prints, else the next from 256."""
+    prints = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    other = iter(range(256, 512))
+    return [chr(b) if b in prints else chr(next(other)) for b in range(256)]
 
 
 class WordIds(dict):
-    """Ids of white-space delimited strings, as packed unsigned 32-bit words.
+    """Ids of the tokenizer's words, as packed unsigned 32-bit numbers.
 
-    The tokenizer's normalizer and splitter never join anything across white
-    space, so a text's ids are its strings' ids in order.
+    Texts of plain characters are lower-cased and split here, and only words not
+    seen lately reach the model; any other text goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
@@ -44,26 +58,29 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model, self.letters, self.old = self.tokenizer.model, _byte_letters(), {}
 
     def __missing__(self, word: str) -> bytes:
-        self[word] = ids = array.array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+        ids = self.old.get(word)
+        if ids is None:
+            shown = word if word.isascii() and word.isprintable() else "".join(self.letters[b] for b in word.encode())
+            ids = array.array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
+        if len(self) >= WORDS_KEPT:
+            self.old = dict(self)
+            self.clear()
+        self[word] = ids
         return ids
 
     def of(self, text: str) -> bytes:
-        if _ODD_SPACE.search(text):
+        if _NOT_PLAIN.search(text):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
-        words = text.split()
-        new = [w for w in set(words) if w not in self]
-        if new:
-            if len(self) + len(new) > WORDS_KEPT:
-                self.clear()
-                new = list(set(words))
-            encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-            for i in range(0, len(new), 10_000):
-                block = new[i : i + 10_000]
-                for w, e in zip(block, encode(block, add_special_tokens=False), strict=True):
-                    self[w] = array.array("I", e.ids).tobytes()
-        return b"".join(map(self.__getitem__, words))
+        return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
+
+
+@functools.cache
+def word_ids(path: str) -> WordIds:
+    """One for each worker process: what it has learned serves its later tasks."""
+    return WordIds(path)
 
 
 def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = 0, with_ids: bool = False, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -78,7 +95,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        words, end = WordIds(path), array.array("I", [end_id]).tobytes()
+        words, end = word_ids(path), array.array("I", [end_id]).tobytes()
         for batch in batches:
             out: list[list] = [[], [], [], [], [], []]
             for doc_id, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):

@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .automata import op8_substring_dedup
 from .licenses import op3_license_scan
 from .packing import op9_best_fit_packing
 from .sharding import op4_lpt_sharding
+from .suffix_array import op10_suffix_array_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op3_license_scan,
         op4_lpt_sharding,
+        op8_substring_dedup,
         op9_best_fit_packing,
+        op10_suffix_array_dedup,
     )
 }
 

@@ -5,9 +5,11 @@ Nothing here holds data: every helper takes a session or a DataFrame.
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,12 +29,23 @@ def ascii_lower(data: bytes) -> bytes:
     return data.translate(_LOWER)
 
 
+def ship(spark: SparkSession) -> None:
+    """Let Python workers find this package where they share the driver's disk.
+
+    Elsewhere the package comes with ``--py-files`` and the path is not there.
+    """
+    env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
+    if home not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
     The session's ``spark.checkpoint.dir`` where it is set. Only where it is
     unset (tests, one machine) a temporary folder is made and set.
     """
+    ship(spark)
     sc = spark.sparkContext
     found = sc._jsc.sc().getCheckpointDir()
     if found.isDefined():
@@ -65,6 +78,7 @@ def parts(spark: SparkSession, rows: int, per_task: int) -> int:
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .automata import op8_substring_dedup
+from .jaccard import op7_ngram_jaccard_join
+from .language import op1_language_id
 from .licenses import op3_license_scan
 from .packing import op9_best_fit_packing
 from .sharding import op4_lpt_sharding
@@ -15,8 +17,10 @@ from .suffix_array import op10_suffix_array_dedup
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
+        op1_language_id,
         op3_license_scan,
         op4_lpt_sharding,
+        op7_ngram_jaccard_join,
         op8_substring_dedup,
         op9_best_fit_packing,
         op10_suffix_array_dedup,

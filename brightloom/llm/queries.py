@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .automata import op8_substring_dedup
+from .html import op6_html_extraction
 from .jaccard import op7_ngram_jaccard_join
 from .language import op1_language_id
 from .licenses import op3_license_scan
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_language_id,
         op3_license_scan,
         op4_lpt_sharding,
+        op6_html_extraction,
         op7_ngram_jaccard_join,
         op8_substring_dedup,
         op9_best_fit_packing,

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .automata import op8_substring_dedup
+from .decontaminate import op2_benchmark_decontamination
 from .html import op6_html_extraction
 from .jaccard import op7_ngram_jaccard_join
 from .language import op1_language_id
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_language_id,
+        op2_benchmark_decontamination,
         op3_license_scan,
         op4_lpt_sharding,
         op6_html_extraction,

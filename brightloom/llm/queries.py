@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .automata import op8_substring_dedup
+from .chroma import op5_chroma_fingerprints
 from .decontaminate import op2_benchmark_decontamination
 from .html import op6_html_extraction
 from .jaccard import op7_ngram_jaccard_join
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op2_benchmark_decontamination,
         op3_license_scan,
         op4_lpt_sharding,
+        op5_chroma_fingerprints,
         op6_html_extraction,
         op7_ngram_jaccard_join,
         op8_substring_dedup,

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import cut, stored
 
 #: Units hashed at a time; an anchor's place takes 20 bits beside its hash.
 BLOCK = 1 << 19
 #: Distinct passages of one anchor that a bucket holds. Windows of larger buckets
 #: are grouped by their 128-bit digests instead, which no single task gathers.
-BUCKET = 256
+BUCKET = 4096
 #: Bytes of distinct passages that one shard of buckets holds.
 SHARD_BYTES = 2 << 20
 #: Ranks after every other id: where a document has none.
@@ -166,7 +166,7 @@ def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFram
     """Passages around anchors that stand in two places, one row for each place."""
     each = anchors.select("d1", "d2", F.inline(F.arrays_zip("keys", "lo", "hi", "again"))).withColumnRenamed("keys", "key")
     two = each.groupBy("key").agg(*(f(c).alias(f"{c}{n}") for c in ("d1", "d2") for n, f in (("a", F.min), ("b", F.max))), F.max("again").alias("again"))
-    two = two.filter("d1a <> d1b OR d2a <> d2b OR again").select("key")
+    two = cut(two.filter("d1a <> d1b OR d2a <> d2b OR again").select("key"))  # so that a hot key's side of the join can be split
     shared = each.join(two, "key").groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
     shared = shared.join(anchors.select("d1", "d2", F.col("min_doc").alias("doc"), "copies"), ["d1", "d2"])
     texts = rows.join(shared, ["d1", "d2", "doc"])
@@ -186,8 +186,8 @@ def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFram
                 columns = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()], strict=True)]
                 yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "doc", "copies", "lo", "key", "p1", "p2", "passage"])
 
-    cut = texts.mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, copies bigint, lo int, key bigint, p1 bigint, p2 bigint, passage binary")
-    return stored(cut)
+    found = texts.mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, copies bigint, lo int, key bigint, p1 bigint, p2 bigint, passage binary")
+    return stored(found)
 
 
 def resolved(places: DataFrame, units: Units, decide: Callable[[list[tuple[int, bytes, int, int]]], list[list[tuple[int, int, int]]]], value: F.Column) -> DataFrame:

@@ -252,7 +252,10 @@ def covered(windows: list[dict] | None, span: int) -> list[tuple[int, int]]:
 
 
 def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Units, whole: F.Column, with_kept: bool) -> DataFrame:
-    """Each row's n_units, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes.
+    """Each row's n_units, n_removed, n_spans, kept_sha256 and, if asked for, the kept text.
+
+    The digest is of the kept bytes; in the text a character that a cut goes through
+    is left out.
 
     ``whole`` says of a row with doc, min_doc and copies that all its windows go.
     """
@@ -272,9 +275,9 @@ def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Unit
                 for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), n], strict=True):
                     kept += sequence[a:b]
                 kept = units.join(kept)
-                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept if with_kept else None), strict=True):
+                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept else None), strict=True):
                     column.append(v)
-            columns = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.string(), pa.binary()], strict=True)]
+            columns = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.string(), pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    return marked.mapInArrow(run, f"row {row}, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept binary")
+    return marked.mapInArrow(run, f"row {row}, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")

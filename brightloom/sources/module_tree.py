@@ -12,9 +12,15 @@ from pyspark.sql import functions as F
 _TOKEN = re.compile(r'#[^\n]*|//[^\n]*|/\*.*?\*/|<<[-~]?(\w+)\n.*?\n\s*\1\b|"(?:[^"\\]|\\.)*"|[{}]|[A-Za-z_][\w-]*|=|\S', re.S)
 
 
+#: Files that make a folder a module.
+CONFIGURATION = r"\.(?:tf|tofu|hcl)$"
+
+
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(node, path, content): every file under a folder; node is its folder in the tree.
+    """(node, path, content): every file under a folder; node is its module.
 
+    That is the nearest folder up from the file that holds configuration: data and
+    templates in folders of their own belong to the module above them.
     Read by Spark's binary source, so the folder may be in any store. Hidden folders
     (what tools have fetched or cached) are left out.
     """
@@ -24,8 +30,13 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     path = F.regexp_replace(F.col("path"), r"^[a-z][a-z0-9+.-]*:(?://[^/]*)?", "")
     rows = rows.select(path.alias("full"), "content").withColumn("path", F.expr(f"substring(full, {len(base) + 2})"))
     rows = rows.filter(~F.col("path").rlike(r"(?:^|/)\.[^/]+/"))
-    node = F.regexp_extract("path", r"^(.*)/[^/]*$", 1)
-    return rows.select(F.when(node == "", F.lit(".")).otherwise(node).alias("node"), "path", "content")
+    parts = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.when(i == 0, F.lit(".")).otherwise(F.array_join(F.slice(parts, F.lit(1), i), "/")))
+    folders = rows.select("path", above.alias("above"))
+    modules = folders.filter(F.col("path").rlike(CONFIGURATION)).select(F.element_at("above", -1).alias("node")).distinct()
+    owner = folders.select("path", F.explode("above").alias("node")).join(modules, "node").groupBy("path").agg(F.max_by("node", F.when(F.col("node") == ".", 0).otherwise(F.length("node"))).alias("node"))
+    own = F.element_at(above, -1)
+    return rows.join(owner, "path", "left").select(F.coalesce("node", own).alias("node"), "path", "content")
 
 
 def sources(text: str) -> list[str]:
@@ -65,5 +76,5 @@ def references(found: DataFrame) -> DataFrame:
     def resolved(src: pd.Series, dst: pd.Series) -> pd.Series:
         return pd.Series([posixpath.normpath(posixpath.join(s, d)) if d.startswith(("./", "../")) or d in (".", "..") else d for s, d in zip(src, dst, strict=True)], dtype=object)
 
-    each = found.filter(F.col("path").rlike(r"\.(?:tf|tofu|hcl)$")).select(F.col("node").alias("src"), F.explode(parsed("content")).alias("source"))
+    each = found.filter(F.col("path").rlike(CONFIGURATION)).select(F.col("node").alias("src"), F.explode(parsed("content")).alias("source"))
     return each.select("src", resolved("src", "source").alias("dst"), F.col("source").rlike(r"^\.\.?(?:/|$)").alias("local")).distinct()

@@ -68,9 +68,9 @@ def test_pack_writes_all_that_a_module_reaches(spark, tmp_path):
         (tree / path).parent.mkdir(parents=True, exist_ok=True)
         (tree / path).write_text(text)
     found = pack(spark, str(tree), ".", str(tmp_path / "one.tar"))
-    assert found["missing"] == ["hashes/consul", "mods/gone"] and found["files"] == 3
+    assert found["missing"] == ["hashes/consul", "mods/gone"] and found["files"] == 4
     with tarfile.open(tmp_path / "one.tar") as t:
-        assert t.getnames() == ["main.tf", "mods/a/main.tf", "mods/b/main.tf"]
+        assert t.getnames() == ["main.tf", "mods/a/main.tf", "mods/b/data/big.txt", "mods/b/main.tf"]
         assert t.extractfile("mods/a/main.tf").read() == b'module "b" { source = "../b" }'
     assert pack(spark, str(tree), ".", str(tmp_path / "two.tar"))["digest"] == found["digest"]
     assert (tmp_path / "one.tar").read_bytes() == (tmp_path / "two.tar").read_bytes()

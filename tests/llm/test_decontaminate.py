@@ -1,0 +1,80 @@
+"""op2 against edit distances of every segment to every place."""
+
+import random
+
+from brightloom.llm import decontaminate as dc
+
+
+def infix_distance(segment, window):
+    before = [0] * (len(window) + 1)
+    for i, c in enumerate(segment, 1):
+        row = [i]
+        for j, e in enumerate(window, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (c != e)))
+        before = row
+    return min(before)
+
+
+def items_of(spark, sf_dir):
+    return [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
+
+
+def test_filter_and_alignment_lose_nothing_within_the_budget(spark, sf_dir):
+    rnd = random.Random(4)
+    items = items_of(spark, sf_dir)[:6]
+    index = dc.build(items)
+    found = 0
+    for _ in range(60):
+        t = list(rnd.choice(items)[1][rnd.randrange(30) :])
+        for _ in range(rnd.randrange(14)):
+            t[rnd.randrange(len(t))] = rnd.choice(["", "x", "ab", "é"])
+        text = "of the and " * rnd.randrange(12) + "".join(t) + " in the"
+        data = dc.normal(text)[0]
+        want = {s for s, x in enumerate(index.segments) if infix_distance(x, data) <= dc.budget(len(x))}
+        assert {s for s, *_ in dc.regions(text, index)} == want
+        found += len(want)
+    assert found > 30
+
+
+def test_alignment():
+    assert dc.aligned(b"abcdef", b"xxabcdefxx", 0) == (0, 2, 8)
+    assert dc.aligned(b"abcdef", b"xxabdefxx", 1)[0] == 1
+    assert dc.aligned(b"abcdef", b"xxabefxx", 1) is None
+    rnd = random.Random(2)
+    for _ in range(300):
+        s, w = (bytes(rnd.choice(b"ab") for _ in range(rnd.randrange(1, n))) for n in (9, 16))
+        want = infix_distance(s, w)
+        for k in (0, 2, 9):
+            got = dc.aligned(s, w, k)
+            assert (got is None) == (want > k) and (got is None or got[0] == want)
+
+
+def test_case_white_space_and_places(spark, sf_dir):
+    item = items_of(spark, sf_dir)[0][1]
+    index = dc.build([(0, item)])
+    text = "éé before  " + item.upper().replace(" ", " \n\t ") + " after"
+    hits = dc.regions(text, index)
+    first, last = min(h[2] for h in hits), max(h[3] for h in hits)
+    assert text.encode()[first:last].decode().split() == item.upper().split() and all(h[1] == 0 for h in hits)
+
+
+def test_odd_rows_blocks_and_clashing_columns(spark, sf_dir, monkeypatch):
+    items = items_of(spark, sf_dir)[:8]
+    table = spark.createDataFrame([*items, (None, items[0][1]), (77, None), (78, "short"), items[1]], "item_id long, text string")
+    rows = [(1, None, 0), (2, "", 0), (None, items[0][1], 5), (3, items[1][1], 6), (3, items[1][1], 6), (4, "clean words " * 30_000, 7), (5, "x " * 9 + items[2][1] + " y", 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, item_id long")
+    want = sorted([(None, 5, items[0][0]), (None, 5, None), (3, 6, items[1][0]), (3, 6, items[1][0]), (5, 8, items[2][0])], key=repr)
+    for size in (dc.BLOCK_BYTES, 300):
+        monkeypatch.setattr(dc, "BLOCK_BYTES", size)
+        got = dc.find(docs, table).collect()
+        assert sorted(((r.row.doc_id, r.row.item_id, r.item_id) for r in got), key=repr) == want
+        kept = dc.clean(docs, table)
+        assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2, 4]
+    assert dc.find(docs.limit(0), table).count() == 0 and dc.find(docs, table.limit(0)).count() == 0
+
+
+def test_query_finds_every_verbatim_copy(spark, sf_dir):
+    items = items_of(spark, sf_dir)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {(r.doc_id, r.item_id) for r in dc.op2_benchmark_decontamination(spark, sf_dir).collect()}
+    assert {(d, i) for d, t in docs for i, b in items if b in t} <= got

@@ -36,7 +36,7 @@ SHINGLE = 5
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Bytes of text whose shingles are counted together before they are shuffled.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 #: Bytes of text for each bucket of the shingle count: about two million shingles.
 BUCKET_BYTES = 12 << 20
 #: Sets in a group, and queries that one task holds against it.

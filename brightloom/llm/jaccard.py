@@ -7,8 +7,8 @@ more. The join is exact:
    be shared, so a text with too few others can't link with anything and leaves.
 2. Of each remaining set the rarest tokens are its prefix. Two sets that link have a
    prefix token in common, whichever they are.
-3. Similar sets are put in groups: by smallest hashes, then each set is held against
-   the groups' leaders. Sets that link with a leader are connected.
+3. Similar sets are put in groups by smallest hashes. A set is held against the
+   connected parts of its group until one member of a part links.
 4. The matrix says which groups hold a token in a member's prefix. Only for a set and
    a group that aren't connected yet and meet in it, the group's token union bounds
    the overlap, and only a group that passes the bound is opened. The first member
@@ -102,9 +102,11 @@ def _need(n: int, percent: int) -> int:
 
 
 def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """For each distinct text: d1, d2, n, s1, s2 (its set's digest), tokens and prefix.
+    """For each distinct text: d1, d2, n, s1, s2 (its set's digest), tokens, prefix, rests.
 
-    tokens (sorted) and prefix are null where the set can't link with another.
+    tokens (sorted), prefix and rests are null where the set can't link with another.
+    ``rests`` says for each token of the prefix how many of the set it and those after
+    it in the order of rarity are.
     """
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, total // CHUNK_BYTES)
@@ -157,9 +159,9 @@ def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         parts = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, x in zip(live["bucket"].to_pylist(), live["names"], strict=True)]
         names = np.concatenate(parts) if parts else np.empty(0, np.uint64)
         ranks = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in live["ranks"]]) if parts else np.empty(0, np.uint8)
-        out: list[list] = [[], [], [], [], [], [], []]
+        out: list[list] = [[], [], [], [], [], [], [], []]
         for (d1, d2), tokens in zip(keys, sets, strict=True):
-            n, prefix = len(tokens), None
+            n, prefix, rests = len(tokens), None, None
             s1, s2 = two_longs(tokens.tobytes())
             if n and len(names):
                 at = np.searchsorted(names, short(tokens))
@@ -167,17 +169,18 @@ def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
                 rank = np.where(names[at] == short(tokens), ranks[at], 0)
                 if 100 * np.count_nonzero(rank) >= percent * n:
                     first = np.lexsort((tokens, rank))[: n - _need(n, percent) + 1]
-                    prefix = tokens[first][rank[first] > 0].view(np.int64)
-            for column, v in zip(out, (d1, d2, n, s1, s2, None if prefix is None else tokens.tobytes(), prefix), strict=True):
+                    at = np.flatnonzero(rank[first] > 0)
+                    prefix, rests = tokens[first][at].view(np.int64), n - at
+            for column, v in zip(out, (d1, d2, n, s1, s2, None if prefix is None else tokens.tobytes(), prefix, rests), strict=True):
                 column.append(v)
-        kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64())]
-        return pa.table({c: pa.array(v, k) for c, v, k in zip(("d1", "d2", "n", "s1", "s2", "tokens", "prefix"), out, kinds, strict=True)})
+        kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
+        return pa.table({c: pa.array(v, k) for c, v, k in zip(("d1", "d2", "n", "s1", "s2", "tokens", "prefix", "rests"), out, kinds, strict=True)})
 
     texts = rows.select("d1", "d2", "text").mapInArrow(_once, "d1 bigint, d2 bigint, text string")
     texts = texts.withColumn("chunk", F.pmod(F.col("d1"), F.lit(chunks)).cast("int"))
     counted = texts.groupBy("chunk").applyInArrow(count, "bucket int, chunk int, names binary, counts binary")
     live = counted.groupBy("bucket").applyInArrow(shared, "chunk int, bucket int, names binary, ranks binary")
-    out = texts.groupBy("chunk").cogroup(live.groupBy("chunk")).applyInArrow(choose, "d1 bigint, d2 bigint, n bigint, s1 bigint, s2 bigint, tokens binary, prefix array<bigint>")
+    out = texts.groupBy("chunk").cogroup(live.groupBy("chunk")).applyInArrow(choose, "d1 bigint, d2 bigint, n bigint, s1 bigint, s2 bigint, tokens binary, prefix array<bigint>, rests array<bigint>")
     return stored(out)
 
 
@@ -194,44 +197,56 @@ def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def group_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges (a, b) between sets and the leaders of the groups they are put in."""
+    """Edges (a, b) that connect what is linked within a group.
+
+    Sets with one smallest hash are dealt out to groups, and the first of them joins
+    each group, so that large families hold together.
+    """
     signed = sets.select("node", "tokens").mapInArrow(_signed, "node bigint, tokens binary, sign bigint")
-    sizes = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("leader")).filter("n > 1")
+    sizes = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     members = signed.join(sizes, "sign")
-    placed = members.withColumn("block", F.when(F.col("node") == F.col("leader"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))))
-    placed = placed.select("sign", F.explode("block").alias("block"), "node", "tokens", "leader")
+    placed = members.withColumn("block", F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))))
+    placed = placed.select("sign", F.explode("block").alias("block"), "node", "tokens")
 
-    def star(table: pa.Table) -> pa.Table:
-        leader = table["leader"][0].as_py()
+    def inside(table: pa.Table) -> pa.Table:
+        """A tree of edges for each connected part of the block, member by member."""
         rows = dict(zip(table["node"].to_pylist(), table["tokens"], strict=True))
-        leaders: list[tuple[int, np.ndarray]] = []
+        nodes = sorted(rows)
+        tokens = [_tokens(rows[x].as_py()) for x in nodes]
+        parts_: list[list[int]] = []
         a, b = [], []
-        for node in sorted(rows, key=lambda x: (x != leader, x)):
-            tokens = _tokens(rows[node].as_py())
-            for other, theirs in leaders:
-                if linked(tokens, theirs, percent):
-                    a.append(node)
-                    b.append(other)
-                    break
-            else:
-                leaders.append((node, tokens))
+        for i in range(len(nodes)):
+            joined: list[int] = []
+            rest = []
+            for part in parts_:
+                j = next((j for j in part if linked(tokens[i], tokens[j], percent)), None)
+                if j is None:
+                    rest.append(part)
+                else:
+                    joined += part
+                    a.append(nodes[i])
+                    b.append(nodes[j])
+            parts_ = [*rest, [*joined, i]]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return placed.groupBy("sign", "block").applyInArrow(star, "a bigint, b bigint")
+    return placed.groupBy("sign", "block").applyInArrow(inside, "a bigint, b bigint")
 
 
 def cross_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges between connected groups: ``sets`` has node, n, tokens, prefix, label."""
+    """Edges between connected groups: ``sets`` has node, n, tokens, prefix, rests, label."""
     label_n = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    grouped = sets.select("node", "n", "prefix", "label").join(label_n, "label")
+    grouped = sets.select("node", "n", "prefix", "rests", "label").join(label_n, "label")
     grouped = grouped.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int"))
-    each = grouped.select("node", "n", "label", "block", F.explode("prefix").alias("token"))
+    each = grouped.select("node", "n", "label", "block", F.inline(F.arrays_zip("prefix", "rests"))).withColumnsRenamed({"prefix": "token", "rests": "rest"})
     two = each.groupBy("token").agg(F.min("label").alias("la"), F.max("label").alias("lb")).filter("la <> lb").select("token")
     each = each.join(two, "token")
-    matrix = each.groupBy("token", "label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    q = each.select("token", "node", F.col("n").alias("qn"), F.col("label").alias("ql"))
-    met = q.join(matrix, "token").filter((F.col("ql") < F.col("label")) & (100 * F.col("qn") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("qn")))
+    matrix = each.groupBy("token", "label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
+    q = each.select("token", "node", F.col("n").alias("qn"), F.col("label").alias("ql"), F.col("rest").alias("qrest"))
+    # at the first token that two sets have in common, what follows must suffice
+    enough = (100 + percent) * F.least("qrest", "rest") >= percent * (F.col("qn") + F.col("least"))
+    sized = (100 * F.col("qn") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("qn"))
+    met = q.join(matrix, "token").filter((F.col("ql") < F.col("label")) & sized & enough)
     met = cut(met.select("node", "label", "block").distinct())
     queries = met.groupBy("label", "block").agg(F.count(F.lit(1)).alias("q"))
     splits = F.ceil(F.col("q") / GROUP).cast("int")
@@ -259,6 +274,28 @@ def cross_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return loaded.groupBy("label", "block", "part").applyInArrow(open_group, "a bigint, b bigint")
 
 
+def text_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
+    """For each distinct text of ``rows``: d1, d2, n and least, the (doc, d1, d2) of the
+    smallest id that links lead to; null where the text has no shingle. Only keys, no
+    texts, are joined."""
+    texts = shingle_sets(rows, size, percent)
+    sets = texts.filter("tokens IS NOT NULL").groupBy(F.col("s1").alias("node"), "s2").agg(F.first(F.struct("n", "tokens", "prefix", "rests")).alias("x")).select("node", "x.*")
+    sets = stored(sets)
+    near = cut(components(group_edges(sets, percent)))
+    labelled = sets.join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
+    far = cut(cross_edges(labelled, percent))
+    named = far.join(near.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+    joined = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    joined = joined.select(F.col("node").alias("label"), F.col("component").alias("root"))
+    each = texts.select("d1", "d2", "n", "s1").join(near.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("component", "s1")).join(joined, "label", "left")
+    first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("doc"))
+    each = each.select("d1", "d2", "n", F.coalesce("root", "label").alias("c")).join(first, ["d1", "d2"])
+    each = cut(each)
+    least = each.filter("n > 0").groupBy("c").agg(F.min(F.struct("doc", "d1", "d2")).alias("least"))
+    some = each.filter("n > 0").join(least, "c").select("d1", "d2", "n", "least")
+    return some.unionByName(each.filter("n = 0").select("d1", "d2", "n").withColumn("least", F.lit(None).cast("struct<doc:bigint,d1:bigint,d2:bigint>")))
+
+
 def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None) -> DataFrame:
     """Each document's ``row`` (the ``carry`` columns), n_shingles and component_id.
 
@@ -269,22 +306,26 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     names: they travel inside ``row``.
     """
     rows = keyed(docs, text, id_col, docs.columns if carry is None else carry)
-    texts = shingle_sets(rows, size, percent)
-    sets = texts.filter("tokens IS NOT NULL").groupBy(F.col("s1").alias("node"), "s2").agg(F.first(F.struct("n", "tokens", "prefix")).alias("x")).select("node", "x.*")
-    sets = stored(sets)
-    near = components(group_edges(sets, percent))
-    near = cut(near)
-    labelled = sets.join(near, "node", "left").withColumn("label", F.coalesce("component", "node")).drop("component")
-    far = cut(cross_edges(labelled, percent))
-    named = far.join(near.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left").join(near.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-    joined = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
-    joined = joined.select(F.col("node").alias("label"), F.col("component").alias("root"))
-    each = rows.select("row", "doc", "d1", "d2").join(texts.select("d1", "d2", "n", "s1"), ["d1", "d2"])
-    each = each.join(near.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("component", "s1")).join(joined, "label", "left")
-    each = each.select("row", "doc", "n", F.coalesce("root", "label").alias("c"))
-    least = each.filter("n > 0").groupBy("c").agg(F.min("doc").alias("least"))
-    out = each.filter("n > 0").join(least, "c").unionByName(each.filter("n = 0").withColumn("least", F.col("doc")))
-    return out.select("row", F.col("n").alias("n_shingles"), F.when(F.col("least") < NO_ID, F.col("least")).alias("component_id"))
+    found = rows.select("row", "doc", "d1", "d2").join(text_components(rows, size, percent), ["d1", "d2"])
+    least = F.coalesce("least.doc", "doc")
+    return found.select("row", F.col("n").alias("n_shingles"), F.when(least < NO_ID, least).alias("component_id"))
+
+
+def keep_one(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """Of each group of linked documents the one with the smallest id, all its columns.
+
+    Of rows that have that id the one with the smallest text hash stays, and one of
+    equal rows. Documents without a word stay, and so do documents without an id that
+    link with none that has one.
+    """
+    rows = keyed(docs, text, id_col, docs.columns).select("row", "doc", "text", "d1", "d2")
+    found = cut(text_components(rows, size, percent))
+    chosen = found.filter("n > 0").select("least.*").filter(F.col("doc") < NO_ID).distinct()
+    places = rows.select("row", "doc", "d1", "d2")
+    kept = places.join(chosen, ["doc", "d1", "d2"]).groupBy("doc", "d1", "d2").agg(F.first("row").alias("row")).select("row")
+    blank = rows.filter(~F.col("text").rlike(r"[^\x20\x09-\x0D]")).select("row")
+    nameless = places.filter(F.col("doc") == NO_ID).join(found.filter(F.col("least.doc") == NO_ID).select("d1", "d2"), ["d1", "d2"]).select("row")
+    return kept.unionAll(blank).unionAll(nameless).select("row.*")
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

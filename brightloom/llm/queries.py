@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .automata import op8_substring_dedup
 from .chroma import op5_chroma_fingerprints
 from .decontaminate import op2_benchmark_decontamination
@@ -33,4 +34,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
+    "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op10_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+}

@@ -35,7 +35,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark a container as boilerplate.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|footer|masthead|banner|side-?bar|aside|complementary|contentinfo|ads?|advert(?:s|isement|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notices?|notification|pop-?up|modal|subscribe|newsletter|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|comments?|commentlist|respond|replies|disqus|search(?:box|form)?|toolbar|skip-?link|legal|copyright|disclaimer)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|footer|masthead|banner|side-?bar|aside|complementary|contentinfo|ads?|adsbygoogle|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|toast|pop-?up|modal|subscribe|newsletter|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|comments?|commentlist|respond|replies|disqus|search(?:box|form)?|toolbar|skip-?link|legal|copyright|disclaimer)(?:$|[\s_-])",
     re.I,
 )
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)

@@ -5,12 +5,15 @@ Nothing here holds data: every helper takes a session or a DataFrame.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import re
 import tempfile
 import uuid
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,6 +24,9 @@ TEXT_PER_TASK = 16 << 20
 #: bytes.split() without arguments splits on exactly these.
 WORD_SPLIT = re.compile(rb"[^\x20\x09-\x0D]+")
 
+#: Bytes of an Arrow batch.
+BATCH = "8m"
+
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -30,15 +36,27 @@ def ascii_lower(data: bytes) -> bytes:
 
 
 def ship(spark: SparkSession) -> None:
-    """Let Python workers find this package where they share the driver's disk.
+    """Let Python workers find this package where they share the driver's disk, and keep
+    their batches small.
 
-    Elsewhere the package comes with ``--py-files`` and the path is not there.
+    Elsewhere the package comes with ``--py-files`` and the path is not there. Texts
+    are long: a batch of thousands of them would take a worker's memory twice over, on
+    either side of the pipe.
     """
+    if spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") != BATCH:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH)
     env, home = spark.sparkContext.environment, str(Path(__file__).resolve().parents[2])
     if home not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (home, env.get("PYTHONPATH", "")) if x)
 
 
+def tidy() -> None:
+    """Give freed memory back: workers live on, and what one stage needed would stay theirs."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automata import word_hashes
-from .common import ascii_lower, cut, read_table, stored
+from .common import ascii_lower, cut, read_table, stored, tidy
 from .components import components
 from .passages import NO_ID, keyed, mix, two_longs
 
@@ -37,8 +37,8 @@ SHINGLE = 5
 PERCENT = 75
 #: Bytes of text whose shingles are counted together before they are shuffled.
 CHUNK_BYTES = 4 << 20
-#: Bytes of text for each bucket of the shingle count: about two million shingles.
-BUCKET_BYTES = 12 << 20
+#: Bytes of text for each bucket of the shingle count: about a million shingles.
+BUCKET_BYTES = 6 << 20
 #: Sets in a group, and queries that one task holds against it.
 GROUP = 64
 
@@ -130,6 +130,7 @@ def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
                 out[0].append(int(part[0] >> np.uint64(32)))
                 out[1].append((part & mask).astype(np.uint32).tobytes())
                 out[2].append(np.minimum(n, 255).astype(np.uint8).tobytes())
+        tidy()
         return pa.table({"bucket": pa.array(out[0], pa.int32()), "chunk": pa.array([chunk] * len(out[0]), pa.int32()), "names": pa.array(out[1], pa.binary()), "counts": pa.array(out[2], pa.binary())})
 
     def shared(table: pa.Table) -> pa.Table:
@@ -173,6 +174,7 @@ def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
                     prefix, rests = tokens[first][at].view(np.int64), n - at
             for column, v in zip(out, (d1, d2, n, s1, s2, None if prefix is None else tokens.tobytes(), prefix, rests), strict=True):
                 column.append(v)
+        tidy()
         kinds = [pa.int64()] * 5 + [pa.binary(), pa.list_(pa.int64()), pa.list_(pa.int64())]
         return pa.table({c: pa.array(v, k) for c, v, k in zip(("d1", "d2", "n", "s1", "s2", "tokens", "prefix", "rests"), out, kinds, strict=True)})
 
@@ -203,7 +205,7 @@ def group_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     each group, so that large families hold together.
     """
     signed = sets.select("node", "tokens").mapInArrow(_signed, "node bigint, tokens binary, sign bigint")
-    sizes = signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1")
+    sizes = cut(signed.groupBy("sign").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("first")).filter("n > 1"))
     blocks = F.ceil(F.col("n") / GROUP).cast("int")
     members = signed.join(sizes, "sign")
     placed = members.withColumn("block", F.when(F.col("node") == F.col("first"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node"), blocks).cast("int"))))
@@ -248,7 +250,7 @@ def cross_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     sized = (100 * F.col("qn") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("qn"))
     met = q.join(matrix, "token").filter((F.col("ql") < F.col("label")) & sized & enough)
     met = cut(met.select("node", "label", "block").distinct())
-    queries = met.groupBy("label", "block").agg(F.count(F.lit(1)).alias("q"))
+    queries = cut(met.groupBy("label", "block").agg(F.count(F.lit(1)).alias("q")))
     splits = F.ceil(F.col("q") / GROUP).cast("int")
     opened = grouped.select("node", "label", "block").join(queries, ["label", "block"])
     opened = opened.select("node", "label", "block", F.explode(F.sequence(F.lit(0), splits - 1)).alias("part"), F.lit(False).alias("query"))

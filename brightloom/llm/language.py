@@ -19,8 +19,9 @@ from pyspark.sql.window import Window
 
 from .common import read_table, ship, stored
 
-#: Documents of each language that profiles are learned from, by smallest hash.
+#: Documents of each language that profiles are learned from.
 SAMPLE = 3000
+_SCALE = 1 << 31
 #: Length of a profile.
 PROFILE = 300
 #: Letters with a code of their own, the most frequent of the sample. Code 0 is
@@ -97,27 +98,30 @@ def held_out(id_col: str) -> F.Column:
 
 
 def learn(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Model:
-    """Profiles from at most ``sample`` documents of each language in ``rows``.
+    """Profiles from about ``sample`` documents of each language in ``rows``, by hash.
 
-    Only letters, profiles and one threshold for each language reach the driver.
+    A language's documents are taken with the same chance each, ``sample`` expected;
+    of a language with fewer all are. Only letters, profiles and one count for each
+    language reach the driver.
     No rows give a model of no language, which knows nothing.
     """
     spark = rows.sparkSession
     ship(spark)
-    hashed = rows.withColumn("h", F.xxhash64("doc_id", "text"))
-    order = Window.partitionBy("lang").orderBy("h")
-    last = hashed.select("lang", "h").withColumn("i", F.row_number().over(order)).filter(F.col("i") <= sample).groupBy("lang").agg(F.max("h").alias("h"))
-    limits = {r["lang"]: r["h"] for r in last.collect()}
+    hashed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SCALE)))
+    limits = {r["lang"]: -(-sample * _SCALE // max(r["n"], sample)) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not limits:
         return Model("", [], [])
     bound = spark.createDataFrame(list(limits.items()), "lang string, bound long")
-    chosen = stored(hashed.join(F.broadcast(bound), "lang").filter("h <= bound").select("lang", "text"))
+    chosen = stored(hashed.join(F.broadcast(bound), "lang").filter("h < bound").select("lang", "text"))
 
     def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(0x110000, np.int64)
         for batch in batches:
-            found, counts = np.unique(np.concatenate([points(t.as_py()) for t in batch.column("text")]), return_counts=True)
-            keep = [chr(c).isalpha() for c in found]
-            yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found[keep]], pa.string()), pa.array(counts[keep], pa.int64())], ["letter", "n"])
+            for t in batch.column("text"):
+                counts = np.bincount(points(t.as_py()))
+                total[: len(counts)] += counts
+        found = [c for c in np.flatnonzero(total).tolist() if chr(c).isalpha()]
+        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found], pa.string()), pa.array(total[found], pa.int64())], ["letter", "n"])
 
     frequent = chosen.mapInArrow(letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS)
     alphabet = "".join(sorted(r["letter"] for r in frequent.collect()))
@@ -151,17 +155,19 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     are called lang_pred or score are replaced.
     """
     ship(docs.sparkSession)
-    carry = [c for c in docs.columns if c not in {"lang_pred", "score"}]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row"), F.col(f"`{text}`").alias("text"))
+    kept = [c for c in docs.columns if c not in {"lang_pred", "score"}]
+    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text), F.lit(0).alias("_")).alias("row"), F.col(f"`{text}`").alias("text"))
     row = packed.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
         for batch in batches:
             found = [scorer.predict(t.as_py()) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "text", "lang_pred", "score"])
 
-    return packed.mapInArrow(run, f"row {row}, lang_pred string, score double").select("row.*", "lang_pred", "score")
+    out = packed.mapInArrow(run, f"row {row}, text string, lang_pred string, score double")
+    columns = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in kept]
+    return out.select(*columns, "lang_pred", "score")
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,15 +23,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored
+from .common import cut, stored, tidy
 
 #: Units hashed at a time; an anchor's place takes 20 bits beside its hash.
-BLOCK = 1 << 19
+BLOCK = 1 << 17
 #: Distinct passages of one anchor that a bucket holds. Windows of larger buckets
 #: are grouped by their 128-bit digests instead, which no single task gathers.
 BUCKET = 4096
 #: Bytes of distinct passages that one shard of buckets holds.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
+#: Bytes of passages that a worker holds before it hands them on.
+FLUSH_BYTES = 4 << 20
 #: Ranks after every other id: where a document has none.
 NO_ID = (1 << 63) - 1
 
@@ -148,16 +150,17 @@ def _anchor_batches(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 
 
 def keyed(docs: DataFrame, text: str, id_col: str, carry: list[str]) -> DataFrame:
-    """doc (NO_ID where null), text (empty where null), the text's two hashes, ``row`` with the columns to carry."""
+    """doc (NO_ID where null), text (empty where null), absent (whether it was null),
+    the text's two hashes, ``row`` with the columns to carry."""
     t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
     sha = F.sha2(t, 256)
     row = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")
-    return docs.select(row, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("doc"), t.alias("text"), F.xxhash64(sha).alias("d1"), F.xxhash64(F.lit(7), sha).alias("d2"))
+    return docs.select(row, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("doc"), t.alias("text"), F.col(f"`{text}`").isNull().alias("absent"), F.xxhash64(sha).alias("d1"), F.xxhash64(F.lit(7), sha).alias("d2"))
 
 
 def anchor_table(rows: DataFrame, units: Units) -> DataFrame:
     """One row for each distinct text that has a window: its anchors, smallest id, copies."""
-    found = rows.mapInArrow(_anchor_batches(units), "doc bigint, d1 bigint, d2 bigint, keys array<bigint>, lo array<int>, hi array<int>, again array<boolean>")
+    found = rows.select("doc", "text", "d1", "d2").mapInArrow(_anchor_batches(units), "doc bigint, d1 bigint, d2 bigint, keys array<bigint>, lo array<int>, hi array<int>, again array<boolean>")
     grouped = found.groupBy("d1", "d2").agg(F.min("doc").alias("min_doc"), F.count(F.lit(1)).alias("copies"), F.first(F.struct("keys", "lo", "hi", "again")).alias("a"))
     return stored(grouped.select("d1", "d2", "min_doc", "copies", "a.*"))
 
@@ -169,22 +172,31 @@ def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFram
     two = cut(two.filter("d1a <> d1b OR d2a <> d2b OR again").select("key"))  # so that a hot key's side of the join can be split
     shared = each.join(two, "key").groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
     shared = shared.join(anchors.select("d1", "d2", F.col("min_doc").alias("doc"), "copies"), ["d1", "d2"])
-    texts = rows.join(shared, ["d1", "d2", "doc"])
+    texts = rows.select("doc", "text", "d1", "d2").join(shared, ["d1", "d2", "doc"])
+
+    names = ["d1", "d2", "doc", "copies", "lo", "key", "p1", "p2", "passage"]
+    kinds = [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()]
+
+    def batch_of(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        size = 0
         for batch in batches:
-            out: list[list] = [[] for _ in range(9)]
             for d1, d2, doc, copies, t, places in zip(*(batch.column(c) for c in ("d1", "d2", "doc", "copies", "text", "places")), strict=True):
-                places = places.as_py()
                 fixed = (d1.as_py(), d2.as_py(), doc.as_py(), copies.as_py())
                 sequence = units.split(t.as_py().encode())
-                for p in places:
+                for p in places.as_py():
                     passage = units.join(sequence[p["lo"] : p["hi"] + units.span])
-                    for column, v in zip(out, (*fixed, p["lo"], p["key"], *two_longs(passage), passage), strict=True):
-                        column.append(v)
-            if out[0]:
-                columns = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 4 + [pa.int32()] + [pa.int64()] * 3 + [pa.binary()], strict=True)]
-                yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "doc", "copies", "lo", "key", "p1", "p2", "passage"])
+                    out.append((*fixed, p["lo"], p["key"], *two_longs(passage), passage))
+                    size += len(passage)
+                    if size > FLUSH_BYTES:
+                        yield batch_of(out)
+                        out, size = [], 0
+        if out:
+            yield batch_of(out)
+        tidy()
 
     found = texts.mapInArrow(run, "d1 bigint, d2 bigint, doc bigint, copies bigint, lo int, key bigint, p1 bigint, p2 bigint, passage binary")
     return stored(found)
@@ -202,7 +214,7 @@ def resolved(places: DataFrame, units: Units, decide: Callable[[list[tuple[int,
     distinct = stored(places.groupBy("key", "p1", "p2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies")))
     total = distinct.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
-    crowded = distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("key")
+    crowded = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("key"))
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("p1", "ascending")])
@@ -210,6 +222,7 @@ def resolved(places: DataFrame, units: Units, decide: Callable[[list[tuple[int,
         runs = [[dict(zip(("first", "last", "value"), r, strict=True)) for r in x] for x in decide(rows)]
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("value", pa.int64())]))
         out = pa.table({"p1": table["p1"], "p2": table["p2"], "runs": pa.array(runs, kind)})
+        tidy()
         return out.filter(pa.compute.greater(pa.compute.list_value_length(out["runs"]), 0))
 
     bounded = distinct.join(crowded, "key", "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
@@ -254,19 +267,19 @@ def covered(windows: list[dict] | None, span: int) -> list[tuple[int, int]]:
 def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Units, whole: F.Column, with_kept: bool) -> DataFrame:
     """Each row's n_units, n_removed, n_spans, kept_sha256 and, if asked for, the kept text.
 
-    The digest is of the kept bytes; in the text a character that a cut goes through
+    The digest is of the kept bytes, those of a null text are none; in the text a character that a cut goes through
     is left out.
 
     ``whole`` says of a row with doc, min_doc and copies that all its windows go.
     """
     marks = anchors.select("d1", "d2", "min_doc", "copies").join(windows, ["d1", "d2"], "left")
-    marked = rows.join(marks, ["d1", "d2"], "left").select("row", "text", F.coalesce(whole, F.lit(False)).alias("whole"), "windows")
+    marked = rows.join(marks, ["d1", "d2"], "left").select("row", "text", "absent", F.coalesce(whole, F.lit(False)).alias("whole"), "windows")
     row = marked.schema["row"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for t, all_, found in zip(batch.column("text"), batch.column("whole"), batch.column("windows"), strict=True):
+            for t, absent, all_, found in zip(*(batch.column(c) for c in ("text", "absent", "whole", "windows")), strict=True):
                 data = t.as_py().encode()
                 sequence = units.split(data)
                 n = len(sequence)
@@ -275,7 +288,7 @@ def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Unit
                 for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), n], strict=True):
                     kept += sequence[a:b]
                 kept = units.join(kept)
-                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept else None), strict=True):
+                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept and not absent.as_py() else None), strict=True):
                     column.append(v)
             columns = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.string(), pa.string()], strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])

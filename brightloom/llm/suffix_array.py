@@ -62,8 +62,8 @@ def refine(ids: np.ndarray, valid: np.ndarray, offset: int, pointers: np.ndarray
 def repeated(texts: list[bytes], span: int) -> list[np.ndarray]:
     """For each text, whether the string of ``span`` bytes at each place starts elsewhere too."""
     sizes = np.array([len(t) for t in texts])
-    ends = np.repeat(np.cumsum(sizes), sizes)
-    at = np.arange(len(ends))
+    ends = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)
+    at = np.arange(len(ends), dtype=np.int32)
     initial = np.zeros(len(ends), np.int64)
     _, initial[: max(0, len(ends) - 7)] = np.unique(_grams8(b"".join(texts), ">"), return_inverse=True)
     initial[max(0, len(ends) - 7) :] = initial.max(initial=0) + 1

@@ -74,3 +74,15 @@ def test_pack_writes_all_that_a_module_reaches(spark, tmp_path):
         assert t.extractfile("mods/a/main.tf").read() == b'module "b" { source = "../b" }'
     assert pack(spark, str(tree), ".", str(tmp_path / "two.tar"))["digest"] == found["digest"]
     assert (tmp_path / "one.tar").read_bytes() == (tmp_path / "two.tar").read_bytes()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from brightloom.__main__ import main
+
+    (tmp_path / "t" / "m").mkdir(parents=True)
+    (tmp_path / "t" / "main.tf").write_text('module "m" { source = "./m" }')
+    (tmp_path / "t" / "m" / "x.tf").write_text("")
+    assert main(["pack", str(tmp_path / "t"), ".", str(tmp_path / "o.tar")]) == 0
+    assert '"files": 2' in capsys.readouterr().out
+    (tmp_path / "t" / "m" / "x.tf").write_text('module "n" { source = "../n" }')
+    assert main(["pack", str(tmp_path / "t"), ".", str(tmp_path / "o.tar")]) == 1

@@ -27,6 +27,7 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = spark._jvm.org.apache.hadoop.fs.Path(root)
     base = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toUri().getPath().rstrip("/")
+    rows = rows.select("path", "content").unionAll(_empty(spark, root))
     path = F.regexp_replace(F.col("path"), r"^[a-z][a-z0-9+.-]*:(?://[^/]*)?", "")
     rows = rows.select(path.alias("full"), "content").withColumn("path", F.expr(f"substring(full, {len(base) + 2})"))
     rows = rows.filter(~F.col("path").rlike(r"(?:^|/)\.[^/]+/"))
@@ -39,6 +40,18 @@ def files(spark: SparkSession, root: str) -> DataFrame:
     return rows.join(owner, "path", "left").select(F.coalesce("node", own).alias("node"), "path", "content")
 
 
+def _empty(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of empty files, which the binary source leaves out."""
+    top = spark._jvm.org.apache.hadoop.fs.Path(root)
+    listed = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
+    found = []
+    while listed.hasNext():
+        status = listed.next()
+        if status.getLen() == 0:
+            found.append((status.getPath().toString(), bytearray()))
+    return spark.createDataFrame(found, "path string, content binary")
+
+
 def sources(text: str) -> list[str]:
     """Sources of the module blocks of one file, comments and strings minded."""
     found: list[str] = []

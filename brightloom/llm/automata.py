@@ -11,6 +11,8 @@ document meets only the shards that hold one of its anchors.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
@@ -57,53 +59,75 @@ def word_units(span: int = SPAN) -> Units:
 
 
 class Automaton:
-    """Suffix automaton of several word sequences, each with a document id."""
+    """Suffix automaton of several word sequences, each with a document id.
 
-    def __init__(self) -> None:
-        self.next: list[dict[bytes, int]] = [{}]
-        self.link, self.length, self.least = [-1], [0], [passages.NO_ID]
+    Most states have one transition; it stands in flat arrays, and only states that
+    branch have a table, so a state takes some thirty bytes.
+    """
 
-    def _state(self, length: int, follow: dict[bytes, int], link: int) -> int:
-        self.next.append(follow)
+    def __init__(self) -> None:
+        self.word: list[bytes | None] = [None]
+        self.to, self.link, self.length = array("i", [0]), array("i", [-1]), array("i", [0])
+        self.least = array("q", [passages.NO_ID])
+        self.more: dict[int, dict[bytes, int]] = {}
+
+    def step(self, s: int, word: bytes) -> int | None:
+        if self.word[s] == word:
+            return self.to[s]
+        table = self.more.get(s)
+        return table.get(word) if table else None
+
+    def _set(self, s: int, word: bytes, to: int) -> None:
+        if self.word[s] is None or self.word[s] == word:
+            self.word[s], self.to[s] = word, to
+        else:
+            self.more.setdefault(s, {})[word] = to
+
+    def _state(self, length: int, like: int | None, link: int) -> int:
+        new = len(self.word)
+        self.word.append(None if like is None else self.word[like])
+        self.to.append(0 if like is None else self.to[like])
+        if like in self.more:
+            self.more[new] = dict(self.more[like])
         self.link.append(link)
         self.length.append(length)
         self.least.append(passages.NO_ID)
-        return len(self.next) - 1
+        return new
 
     def _split(self, p: int, word: bytes, q: int) -> int:
         """The state of p's longest string and the word, apart from q's longer ones."""
         if self.length[p] + 1 == self.length[q]:
             return q
-        clone = self._state(self.length[p] + 1, dict(self.next[q]), self.link[q])
+        clone = self._state(self.length[p] + 1, q, self.link[q])
         self.link[q] = clone
-        while p != -1 and self.next[p].get(word) == q:
-            self.next[p][word] = clone
+        while p != -1 and self.step(p, word) == q:
+            self._set(p, word, clone)
             p = self.link[p]
         return clone
 
     def add(self, words: list[bytes], doc: int) -> None:
-        follow, link, least = self.next, self.link, self.least
+        step, link, least = self.step, self.link, self.least
         last = 0
         for word in words:
-            q = follow[last].get(word)
+            q = step(last, word)
             if q is not None:
                 last = self._split(last, word, q)
             else:
-                new, p = self._state(self.length[last] + 1, {}, 0), last
-                while p != -1 and word not in follow[p]:
-                    follow[p][word] = new
+                new, p = self._state(self.length[last] + 1, None, 0), last
+                while p != -1 and (q := step(p, word)) is None:
+                    self._set(p, word, new)
                     p = link[p]
                 if p != -1:
-                    link[new] = self._split(p, word, follow[p][word])
+                    link[new] = self._split(p, word, q)
                 last = new
             if doc < least[last]:
                 least[last] = doc
 
     def close(self) -> None:
         """Every state learns the smallest id of all places where its strings end."""
-        for s in sorted(range(1, len(self.next)), key=self.length.__getitem__, reverse=True):
+        for s in np.argsort(-np.frombuffer(self.length, np.int32), kind="stable").tolist():
             p = self.link[s]
-            if self.least[s] < self.least[p]:
+            if p != -1 and self.least[s] < self.least[p]:
                 self.least[p] = self.least[s]
 
     def statistics(self, words: list[bytes], span: int) -> list[int | None]:
@@ -112,13 +136,13 @@ class Automaton:
         The state keeps a suffix of what was read that is as short as it can be with
         ``span`` words or more; on a mismatch it falls back along suffix links.
         """
-        follow, link, length = self.next, self.link, self.length
+        step, link, length = self.step, self.link, self.length
         state, matched, out = 0, 0, []
         for i, word in enumerate(words):
-            while state and word not in follow[state]:
+            while (to := step(state, word)) is None and state:
                 state = link[state]
                 matched = length[state]
-            state = follow[state].get(word, 0)
+            state = to or 0
             matched = matched + 1 if state else 0
             while state and length[link[state]] >= span:
                 state = link[state]
@@ -149,8 +173,9 @@ def _decide(span: int):
         out: list[list[tuple[int, int, int]]] = []
         held: list[tuple[int, list[bytes], int]] = []
         size = 0
+        same: dict[bytes, bytes] = {}
         for key, passage, doc, _ in rows:
-            words = passage.split()
+            words = [same.setdefault(w, w) for w in passage.split()]
             if held and held[-1][0] != key and size + len(words) > AUTOMATON_WORDS:
                 out += shard(held)
                 held, size = [], 0

@@ -282,7 +282,7 @@ def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
             for url, page in zip(batch.column("url"), batch.column("html"), strict=True):
                 found = lines(page.as_py() or "")
                 hashes = [xxhash.xxh3_64_intdigest(t.encode("utf-8", "surrogatepass")) - (1 << 63) for t, _ in found]
-                for column, v in zip(out, (address(url.as_py())[0], _digest(hashes), [t for t, _ in found], ["?ab"[("", "article", "boilerplate").index(p)] for _, p in found]), strict=True):
+                for column, v in zip(out, (address(url.as_py())[0], _digest(hashes), ["" if p == "boilerplate" else t for t, p in found], ["?ab"[("", "article", "boilerplate").index(p)] for _, p in found]), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(["".join(x) for x in out[3]], pa.string())], ["row", "host", "digest", "lines", "places"])
 

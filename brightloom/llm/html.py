@@ -6,7 +6,8 @@ by longest common subsequence, and lines that both have are the site's, not the
 page's: they are deleted. Two kinds of line don't wait for a neighbour: what stands
 in a container that is boilerplate by its element, role or class always goes (a host
 may have one page only), and what stands in an explicit article or main element
-otherwise stays (two pages may quote the same passage).
+otherwise stays (two pages may quote the same passage). A class or id never marks an
+article or main element, what holds one, or what holds most of the text.
 
 Only 64-bit hashes of lines are compared, and equal pages of a host count once, so a
 copy under another address is no neighbour.
@@ -26,35 +27,89 @@ from pyspark.sql import functions as F
 from .common import cut, parts, read_table, ship
 
 #: Elements whose content is no text of the page.
-SKIPPED = frozenset("script style noscript template head title svg math canvas iframe object select option textarea button datalist".split())
+SKIPPED = frozenset("script style noscript template head title svg canvas iframe object select option textarea button datalist".split())
 #: Elements that are boilerplate as a whole.
 BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
 ARTICLE = frozenset({"article", "main"})
 #: Elements that don't end a block.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br "
+    "math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot msub msup msubsup munder mover munderover mmultiscripts mprescripts none mtable mtr mtd mlabeledtr mstyle mpadded mphantom merror mfenced menclose maction".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Words in a class, id or role that mark a container as boilerplate.
 MARKED = re.compile(
-    r"(?:^|[\s_-])(?:nav(?:bar|igation)?|menus?|breadcrumbs?|footer|masthead|banner|side-?bar|aside|complementary|contentinfo|ads?|adsbygoogle|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|toast|pop-?up|modal|subscribe|newsletter|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations)?|widget|pagination|pager|comments?|commentlist|respond|replies|disqus|search(?:box|form)?|toolbar|skip-?link|legal|copyright|disclaimer)(?:$|[\s_-])",
-    re.I,
+    r"nav(?:bar|igation)?|menus?|breadcrumbs?|footer|masthead|banner|side-?bar|aside|complementary|contentinfo|ads?|adsbygoogle|advert(?:s|isements?|ising)?|sponsor(?:ed|s)?|promo(?:s|tion)?|cookies?|consent|gdpr|notices?|notifications?|alert|toast|pop-?up|modal|subscribe|newsletter|sign-?up|login|share|sharing|social|related|recommend(?:ed|ations)?|pagination|pager|comments?|commentlist|respond|replies|disqus|search(?:box|form)?|toolbar|skip-?link|legal|copyright|disclaimer"
 )
+#: Words after a marking word that leave it the head of its name, as in ad-top.
+NEUTRAL = frozenset("area bar block bottom box button buttons center column container content form group header holder icons inner items left links list main outer panel post posts primary reading right secondary section stories top widget widgets wrap wrapper".split())
+#: Words of names that tell a state: with-sidebar is no sidebar.
+STATES = frozenset("with without has have no not is are open opened closed enabled disabled allowed hide hidden layout".split())
+#: Marking words that a paragraph of the text may well have by themselves.
+WEAK = frozenset("legal social notice notices alert related".split())
+RUNNING = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th blockquote pre figure figcaption".split())
 _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|</?([a-zA-Z][a-zA-Z0-9:-]*)((?:[^<>\"']|\"[^\"]*\"|'[^']*')*)/?>", re.S)
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
-_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "title", "textarea", "iframe")}
+_RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "title", "textarea", "iframe", "annotation", "annotation-xml")}
 _HEADER_OF_PAGE = frozenset({"header"})
 
 
-def _marked(attributes: str) -> bool:
-    for name, value in _ATTRIBUTE.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value.lower() == "true"):
-            return True
-        if name == "style":
+def _names_boilerplate(name: str, token: str) -> bool:
+    """Whether one class or id says that its element is boilerplate: its head is a marking word."""
+    words = [w for w in re.split("[-_]+", re.sub(r"(?<=[a-z])(?=[A-Z])", "-", token).lower().replace("side-bar", "sidebar").replace("pop-up", "popup").replace("sign-up", "signup").replace("skip-link", "skiplink")) if w]
+    if not STATES.isdisjoint(words):
+        return False
+    while len(words) > 1 and words[-1] in NEUTRAL:
+        words.pop()
+    return bool(words) and MARKED.fullmatch(words[-1]) is not None and not (words[-1] in WEAK and len(words) == 1 and name in RUNNING)
+
+
+def _marked(name: str, attributes: str) -> str:
+    """``hard`` where an element is hidden or has the role of boilerplate, ``mark`` where a class or id says so, else empty."""
+    mark = ""
+    for attribute, value in _ATTRIBUTE.findall(attributes):
+        attribute, value = attribute.lower(), value.strip("\"'")
+        if attribute == "hidden" or (attribute == "aria-hidden" and value.lower() == "true"):
+            return "hard"
+        if attribute == "style":
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-                return True
-        elif MARKED.search(re.sub(r"(?<=[a-z])(?=[A-Z])", "-", value)):
-            return True
-    return False
+                return "hard"
+        elif any(_names_boilerplate(name, t) for t in value.split()):
+            if attribute == "role":
+                return "hard"
+            mark = "mark"
+    return "" if name in ARTICLE else mark
+
+
+def _places(scopes: list[tuple[int, str]], sizes: list[int]) -> list[str]:
+    """Where the lines of each scope stand. ``scopes``: the scope around it and its kind; ``sizes``: its own characters.
+
+    A class or id doesn't mark what holds an article or main element, other than one
+    within another article (a comment), nor what holds more than half of the text: of
+    the article that it stands in, or of a page that has none.
+    """
+    hard, within, outermost = [False], [False], [0]
+    for i, (parent, kind) in enumerate(scopes[1:], 1):
+        hard.append(hard[parent] or kind == "hard")
+        within.append(within[parent] or kind == "article")
+        outermost.append(outermost[parent] or (i if kind in ("article", "main") and not hard[i] else 0))
+    sizes = [0 if h else n for n, h in zip(sizes, hard, strict=True)]
+    for i in range(len(scopes) - 1, 0, -1):
+        sizes[scopes[i][0]] += sizes[i]
+    bare = not any(outermost)
+    void = [(outermost[i] > 0 or bare) and 2 * sizes[i] > sizes[outermost[i]] for i in range(len(scopes))]
+    for parent, kind in (x for x, h in zip(scopes, hard, strict=True) if x[1] in ("article", "main") and not h):
+        while parent and not within[parent]:
+            void[parent] = True
+            parent = scopes[parent][0]
+    places = [""]
+    for i, (parent, kind) in enumerate(scopes[1:], 1):
+        outer = places[parent]
+        if outer == "boilerplate" or kind == "hard" or (kind == "mark" and not void[i]) or (kind == "header" and outer != "article"):
+            places.append("boilerplate")
+        else:
+            places.append("article" if kind in ("article", "main") else outer)
+    return places
 
 
 def lines(page: str) -> list[tuple[str, str]]:
@@ -62,19 +117,23 @@ def lines(page: str) -> list[tuple[str, str]]:
 
     White space within a block is one space; empty blocks are left out.
     """
-    out: list[tuple[str, str]] = []
+    # Pieces of blocks: text, scope, and whether it goes on with the block of the piece before.
+    pieces: list[tuple[str, int, bool]] = []
     parts_: list[str] = []
-    # Open elements that matter: name and the place that holds outside them.
-    stack: list[tuple[str, str]] = []
-    place = ""
+    # Open elements that matter: name and the scope that holds outside them.
+    stack: list[tuple[str, int]] = []
+    scopes: list[tuple[int, str]] = [(0, "")]
+    scope, goes_on = 0, False
     depth: dict[str, int] = {}
 
-    def flush() -> None:
+    def flush(ends: bool = True) -> None:
+        nonlocal goes_on
         if parts_:
-            text = " ".join(html.unescape("".join(parts_)).split())
+            pieces.append(("".join(parts_), scope, goes_on))
             parts_.clear()
-            if text:
-                out.append((text, place))
+            goes_on = True
+        if ends:
+            goes_on = False
 
     at, end = 0, len(page)
     while at < end:
@@ -91,42 +150,58 @@ def lines(page: str) -> list[tuple[str, str]]:
         if m[1] is None:
             continue
         name, opening = m[1].lower(), m[0][1] != "/"
-        if name in INLINE:
-            if name == "br":
-                parts_.append(" ")
-            if not (opening and m[2] and name not in VOID and _marked(m[2])):
-                if not opening and depth.get(name):
-                    pass
-                else:
-                    continue
-        else:
+        block = name not in INLINE
+        if name.startswith("annotation"):  # a formula's source, which is not shown
+            close = _RAW_END[name].search(page, at) if opening and name in _RAW_END else None
+            at = close.end() if close else at
+            continue
+        if block:
             flush()
         if opening:
             if name in _RAW_END:
                 close = _RAW_END[name].search(page, at)
                 at = close.end() if close else end
                 continue
+            if name == "br":
+                parts_.append(" ")
             if name in VOID or m[0].endswith("/>"):
                 continue
-            inside = place
-            if name in SKIPPED or name in BOILERPLATE or (name in _HEADER_OF_PAGE and place != "article") or (m[2] and name not in ("html", "body") and _marked(m[2])):
-                inside = "boilerplate"
-            elif name in ARTICLE and place != "boilerplate":
-                inside = "article"
-            if inside != place or depth.get(name):
-                flush()
-                stack.append((name, place))
+            kind = _marked(name, m[2]) if m[2] and name not in ("html", "body") else ""
+            if name in SKIPPED or name in BOILERPLATE:
+                kind = "hard"
+            elif not kind:
+                kind = name if name in ARTICLE or name in _HEADER_OF_PAGE else ""
+            if kind or depth.get(name):
+                stack.append((name, scope))
                 depth[name] = depth.get(name, 0) + 1
-                place = inside
+            if kind:
+                flush(block)
+                scopes.append((scope, kind))
+                scope = len(scopes) - 1
+        elif name == "br":
+            parts_.append(" ")
         elif depth.get(name):
-            flush()
+            outer = next(s for n, s in reversed(stack) if n == name)
+            if outer != scope:
+                flush(block)
             while stack:
-                top, place = stack.pop()
+                top, scope = stack.pop()
                 depth[top] -= 1
                 if top == name:
                     break
     flush()
-    return out
+    sizes = [0] * len(scopes)
+    for raw, s, _ in pieces:
+        sizes[s] += len("".join(html.unescape(raw).split()))
+    places = _places(scopes, sizes)
+    blocks: list[tuple[list[str], str]] = []
+    for raw, s, on in pieces:
+        if on and blocks and blocks[-1][1] == places[s]:
+            blocks[-1][0].append(raw)
+        else:
+            blocks.append(([raw], places[s]))
+    texts = ((" ".join(html.unescape("".join(raw)).split()), place) for raw, place in blocks)
+    return [(text, place) for text, place in texts if text]
 
 
 def common_lines(a: list[int], b: list[int]) -> set[int]:

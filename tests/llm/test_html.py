@@ -36,6 +36,41 @@ def test_lines(page, want):
     assert [t for t, _ in html.lines(page)] == want
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article class='post comments-open'>{}</article>",
+        "<main class='with-sidebar'>{}</main>",
+        "<div class='elementor-widget'>{}</div>",
+        "<section id='social-contract'>{}</section>",
+        "<p class='legal'>{}</p><p>and more of it</p>",
+        "<div class='sidebar-left'><main>{}</main></div>",
+        "<div id='promo'>{}</div><p>less</p>",
+        "<main><p>{}</p><div class='ads'><article>x</article></div></main>",
+    ],
+)
+def test_class_or_id_takes_no_article(page):
+    got = html.lines(page.format("Text of the page"))
+    assert "Text of the page" in [t for t, p in got if p != "boilerplate"] and all(p != "boilerplate" for _, p in got)
+
+
+@pytest.mark.parametrize("mark", ["class='sidebar'", "class='cookie-notice'", "id='acme-footer'", "class='x share-buttons'", "id='adTop'", "class='comments'", "role='navigation'", "style='display:none'"])
+def test_marked_containers_still_go(mark):
+    assert html.lines(f"<article><p>Text of the page</p><div {mark}>Other</div></article>") == [("Text of the page", "article"), ("Other", "boilerplate")]
+
+
+def test_comments_that_are_articles_within_the_article_go():
+    assert html.lines("<article><p>Text of the page</p><div id='comments'><article>First!</article></div></article>")[1] == ("First!", "boilerplate")
+
+
+def test_math_is_text_of_its_line():
+    assert html.lines("<p>So <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation encoding='t'>x = 1</annotation></math> holds</p>") == [("So x=1 holds", "")]
+
+
+def test_voided_inline_mark_splits_no_line():
+    assert html.lines("<p>a <span class='ad'>most of the text</span> b</p>") == [("a most of the text b", "")]
+
+
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><ul><li>Home</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>{t}</h1><p>{p}</p><div class="share-buttons">Share</div>
 <aside>Related</aside><form><p>Mail</p></form><section id="comments"><p>First!</p></section><p>End {t}</p></article>

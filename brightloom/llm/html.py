@@ -52,6 +52,15 @@ _TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|
 _ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
 _RAW_END = {t: re.compile(rf"</{t}\s*>", re.I) for t in ("script", "style", "noscript", "template", "title", "textarea", "iframe", "annotation", "annotation-xml")}
 _HEADER_OF_PAGE = frozenset({"header"})
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements that end an open paragraph as they start.
+ENDS_P = HEADINGS | frozenset("address article aside blockquote center details dialog dir div dl dd dt fieldset figcaption figure footer form header hgroup hr li listing main menu nav ol p pre search section summary table ul".split())
+#: Elements that what is implied never reaches through.
+BARRIERS = frozenset("table td th caption template object button".split())
+#: What a part of a table ends: all that is open within these.
+TABLE_PARTS = {name: frozenset(around.split()) for names, around in (("td th", "tr tbody thead tfoot table"), ("tr", "tbody thead tfoot table"), ("tbody thead tfoot caption colgroup", "table")) for name in names.split()}
+#: Elements that don't end an open head.
+OF_HEAD = frozenset("base basefont bgsound link meta noframes script style template title noscript head".split())
 
 
 def _names_boilerplate(name: str, token: str) -> bool:
@@ -120,7 +129,7 @@ def lines(page: str) -> list[tuple[str, str]]:
     # Pieces of blocks: text, scope, and whether it goes on with the block of the piece before.
     pieces: list[tuple[str, int, bool]] = []
     parts_: list[str] = []
-    # Open elements that matter: name and the scope that holds outside them.
+    # Open blocks, and inline elements that matter: name and the scope that holds outside them.
     stack: list[tuple[str, int]] = []
     scopes: list[tuple[int, str]] = [(0, "")]
     scope, goes_on = 0, False
@@ -135,14 +144,49 @@ def lines(page: str) -> list[tuple[str, str]]:
         if ends:
             goes_on = False
 
+    def pop(n: int) -> None:
+        """Only the outermost n open elements stay open."""
+        nonlocal scope
+        while len(stack) > n:
+            name, scope = stack.pop()
+            depth[name] -= 1
+
+    def last(names: frozenset[str], barriers: frozenset[str]) -> int:
+        """The place of the innermost open element of these names, -1 if a barrier stands before it."""
+        if any(depth.get(name) for name in names):
+            for i in range(len(stack) - 1, -1, -1):
+                if stack[i][0] in names:
+                    return i
+                if stack[i][0] in barriers:
+                    break
+        return -1
+
+    def imply_ends(name: str) -> None:
+        """Close what HTML closes where this element starts."""
+        if name in TABLE_PARTS and (i := last(TABLE_PARTS[name], frozenset())) >= 0:
+            pop(i + 1)
+        if name == "li" and (i := last(frozenset({"li"}), BARRIERS | {"ul", "ol", "menu"})) >= 0:
+            pop(i)
+        elif name in ("dt", "dd") and (i := last(frozenset({"dt", "dd"}), BARRIERS | {"dl"})) >= 0:
+            pop(i)
+        elif name in ("option", "optgroup") and stack and stack[-1][0] == "option":
+            pop(len(stack) - 1)
+        if name in ENDS_P and (i := last(frozenset({"p"}), BARRIERS)) >= 0:
+            pop(i)
+        if name in HEADINGS and stack and stack[-1][0] in HEADINGS:
+            pop(len(stack) - 1)
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
+        text = page[at : m.start() if m else end]
+        if depth.get("head") and (text.strip() or m and m[1] and m[0][1] != "/" and m[1].lower() not in OF_HEAD):
+            flush()
+            pop(last(frozenset({"head"}), frozenset()))
+        if text:
+            parts_.append(text)
         if m is None:
-            parts_.append(page[at:])
             break
-        if m.start() > at:
-            parts_.append(page[at : m.start()])
         at = m.end()
         if m[0].startswith("<![CDATA["):
             parts_.append(html.escape(m[0][9:].removesuffix("]]>")))
@@ -158,6 +202,7 @@ def lines(page: str) -> list[tuple[str, str]]:
         if block:
             flush()
         if opening:
+            imply_ends(name)
             if name in _RAW_END:
                 close = _RAW_END[name].search(page, at)
                 at = close.end() if close else end
@@ -171,24 +216,28 @@ def lines(page: str) -> list[tuple[str, str]]:
                 kind = "hard"
             elif not kind:
                 kind = name if name in ARTICLE or name in _HEADER_OF_PAGE else ""
-            if kind or depth.get(name):
+            if kind and not block:
+                flush(False)
+            if name not in ("html", "body") and (block or kind or depth.get(name)):
                 stack.append((name, scope))
                 depth[name] = depth.get(name, 0) + 1
             if kind:
-                flush(block)
                 scopes.append((scope, kind))
                 scope = len(scopes) - 1
         elif name == "br":
             parts_.append(" ")
+        elif block:
+            i = last(HEADINGS if name in HEADINGS else frozenset({name}), BARRIERS - {name} if name not in TABLE_PARTS and name not in BARRIERS else frozenset({"table"}) - {name})
+            if i >= 0:
+                pop(i)
         elif depth.get(name):
-            outer = next(s for n, s in reversed(stack) if n == name)
-            if outer != scope:
-                flush(block)
-            while stack:
-                top, scope = stack.pop()
-                depth[top] -= 1
-                if top == name:
-                    break
+            i = len(stack) - 1
+            while stack[i][0] != name and stack[i][0] in INLINE:
+                i -= 1
+            if i >= 0 and stack[i][0] == name:
+                if stack[i][1] != scope:
+                    flush(False)
+                pop(i)
     flush()
     sizes = [0] * len(scopes)
     for raw, s, _ in pieces:

@@ -71,6 +71,32 @@ def test_voided_inline_mark_splits_no_line():
     assert html.lines("<p>a <span class='ad'>most of the text</span> b</p>") == [("a most of the text b", "")]
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<article><p class=ad>Buy<p>Real 1<p>Real 2</article>",
+        "<article><ul><li class=ad>Buy<li>Real 1<li>Real 2</ul></article>",
+        "<article><dl><dt class=ad>Buy<dd>Real 1<dt>Real 2</dl></article>",
+        "<article><table><tr class=ad><td>Buy<tr><td>Real 1<td>Real 2</table></article>",
+        "<article><table><tbody><tr><td class=ad>Buy<th>Real 1<tbody><tr><td>Real 2</table></article>",
+        "<article><p class=ad>Buy<h2>Real 1</h2><div>Real 2</div></article>",
+        "<article><div><p class=ad>Buy</div><div>Real 1</div>Real 2</article>",
+        "<article><div><ul><li class=ad>Buy<ul><li>this</ul></ul>Real 1<p>Real 2</div></article>",
+        "<article><p><span class=ad>Buy</p><p>Real 1<p>Real 2</article>",
+        "<head><title>T</title><body><article><p class=ad>Buy</p><p>Real 1<p>Real 2</article>",
+    ],
+)
+def test_implied_ends_restore_the_place(page):
+    got = html.lines(page)
+    assert [x for x in got if x[1] == "article"] == [("Real 1", "article"), ("Real 2", "article")]
+    assert [t for t, p in got if p != "article"] in (["Buy"], ["Buy", "this"])
+
+
+def test_nothing_implied_reaches_out_of_its_container():
+    page = "<article><div class=sidebar><p>Side<table><tr><td><p>cell<p>more</table><p>too</div><p>Text of the page, and more of the text of the page</article>"
+    assert [t for t, p in html.lines(page) if p == "article"] == ["Text of the page, and more of the text of the page"]
+
+
 PAGE = """<html><head><title>T</title></head><body><header><h1>Site</h1></header><nav><ul><li>Home</li></ul></nav>
 <div class="cookie-notice">We use cookies</div><article><h1>{t}</h1><p>{p}</p><div class="share-buttons">Share</div>
 <aside>Related</aside><form><p>Mail</p></form><section id="comments"><p>First!</p></section><p>End {t}</p></article>

@@ -1,17 +1,19 @@
 """Benchmark decontamination by q-gram lemma filtering.
 
-Benchmark items are cut into overlapping segments. A copy of a segment of m bytes
-with at most k edits shares m - q + 1 - k * q of its q-grams, on diagonals that k
-edits can't spread further than k apart. So the shared q-grams of a text are counted
-in overlapping bands of diagonals, only bands that reach the bound are kept, and an
-alignment within the band verifies each: a segment is found where its edit distance
-to some part of the text is within the budget. No cap, no early stop: the filter
-loses nothing within the budget.
+A segment is any window of 80 bytes of a benchmark item, or a shorter item as a
+whole. A copy of a segment of m bytes with at most k edits shares m - q + 1 - k * q
+of its q-grams, on diagonals that k edits can't spread further than k apart. So the
+q-grams that a text shares with an item are counted in overlapping bands of
+diagonals; in a band that reaches the bound, each window that reaches it is verified
+by an alignment: a segment is found where its edit distance to some part of the text
+is within the budget. No cap, no early stop: the filter loses nothing within the
+budget, wherever an excerpt starts. Items too short for q-grams are searched exactly.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
@@ -24,7 +26,7 @@ from .passages import mix
 
 Q = 10
 #: Bytes of a segment, and from one segment's start to the next one's.
-SEGMENT, STEP = 80, 40
+SEGMENT, STEP = 80, 1
 #: Edits for each hundred bytes of a segment.
 BUDGET = 5
 #: Bytes of items that one pass over the documents looks for. Larger benchmarks are
@@ -33,6 +35,8 @@ BLOCK_BYTES = 16 << 20
 _BITS = 22
 #: Diagonals of a band, without what it overlaps with the next.
 BAND = 8
+#: Added to diagonals, which may be negative by the length of an item.
+_FAR = 1 << 36
 
 
 def normal(text: str) -> tuple[bytes, np.ndarray]:
@@ -58,24 +62,43 @@ def grams(data: bytes) -> np.ndarray:
     return mix(eight[:-2], eight[2:])
 
 
+def stepped(n: int) -> int:
+    """Segments of an item of n bytes."""
+    return max(0, n - SEGMENT) // STEP + 1
+
+
+class Segments(Sequence):
+    """The segments of all items, cut when asked for."""
+
+    def __init__(self, texts: list[bytes]) -> None:
+        self.texts, self.firsts = texts, np.concatenate([[0], np.cumsum([stepped(len(t)) for t in texts])]).astype(np.int64).tolist()
+
+    def __len__(self) -> int:
+        return self.firsts[-1]
+
+    def item(self, s: int) -> int:
+        """Number of the text that a segment is of."""
+        return bisect_right(self.firsts, s) - 1
+
+    def __getitem__(self, s: int) -> bytes:
+        if not 0 <= s < len(self):
+            raise IndexError(s)
+        i = self.item(s)
+        at = (s - self.firsts[i]) * STEP
+        return self.texts[i][at : at + SEGMENT]
+
+
 class Index(NamedTuple):
-    """Segments of a block of items and their q-grams, sorted by hash."""
+    """Items of a block and their q-grams, sorted by hash; ``short``: for each length the sorted hashes of items under 2 * Q bytes, and their numbers."""
 
     items: list[int | None]
-    segments: list[bytes]
+    segments: Segments
     present: np.ndarray
     hashes: np.ndarray
     starts: np.ndarray
-    segment: np.ndarray
+    item: np.ndarray
     place: np.ndarray
-
-
-def segments(text: str) -> list[bytes]:
-    """Overlapping segments of an item; a short item is one segment, blank ones none."""
-    data = normal(text)[0].strip()
-    if len(data) < 2 * Q:
-        return []
-    return [data[a : a + SEGMENT] for a in [*range(0, len(data) - SEGMENT, STEP), max(0, len(data) - SEGMENT)]]
+    short: dict[int, tuple[np.ndarray, np.ndarray]]
 
 
 def budget(m: int) -> int:
@@ -87,97 +110,162 @@ def bound(m: int) -> int:
     return m - Q + 1 - budget(m) * Q
 
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+
+
 def build(items: list[tuple[int | None, str | None]]) -> Index:
-    owner, found, hashes, seg, place = [], [], [], [], []
+    owner, texts, hashes, of, place = [], [], [], [], []
+    short: dict[int, list[tuple[int, int]]] = {}
     for item_id, text in items:
-        for s in segments(text or ""):
-            h = grams(s)
+        data = normal(text or "")[0].strip()
+        if not data:
+            continue
+        if len(data) < 2 * Q:
+            value = 0
+            for c in data:
+                value = (value * int(_PRIME) + c + 1) & ((1 << 64) - 1)
+            short.setdefault(len(data), []).append((value, len(texts)))
+        else:
+            h = grams(data)
             hashes.append(h)
-            seg.append(np.full(len(h), len(found)))
+            of.append(np.full(len(h), len(texts)))
             place.append(np.arange(len(h)))
-            owner.append(item_id)
-            found.append(s)
+        owner.append(item_id)
+        texts.append(data)
     h = np.concatenate([*hashes, np.empty(0, np.uint64)])
     order = np.argsort(h, kind="stable")
     names, starts = np.unique(h[order], return_index=True)
     present = np.zeros(1 << _BITS, bool)
     present[(names >> np.uint64(64 - _BITS)).astype(np.int64)] = True
     cat = lambda x: np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)[order]
-    return Index(owner, found, present, names, np.append(starts, len(h)), cat(seg), cat(place))
+    exact = {n: (np.array([v for v, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for n, x in short.items()}
+    return Index(owner, Segments(texts), present, names, np.append(starts, len(h)), cat(of), cat(place), exact)
+
+
+def _distances(segment: bytes, window: bytes, anchored: bool) -> list[int]:
+    """Edits from the segment to what ends after each byte of the window: its best part, or all from the start.
+
+    Bit-parallel: a column of the table is two integers of vertical differences.
+    """
+    m = len(segment)
+    full, top = (1 << m) - 1, 1 << (m - 1)
+    where: dict[int, int] = {}
+    for i, c in enumerate(segment):
+        where[c] = where.get(c, 0) | 1 << i
+    more, less, score, out = full, 0, m, []
+    for c in window:
+        eq = where.get(c, 0)
+        xv = eq | less
+        xh = (((eq & more) + more) ^ more) | eq
+        up = (less | ~(xh | more)) & full
+        down = more & xh
+        if up & top:
+            score += 1
+        elif down & top:
+            score -= 1
+        up = (up << 1 | anchored) & full
+        down = (down << 1) & full
+        more = (down | ~(xv | up)) & full
+        less = up & xv
+        out.append(score)
+    return out
 
 
 def aligned(segment: bytes, window: bytes, most: int) -> tuple[int, int, int] | None:
     """Least edits from a segment to a part of the window, and where: (edits, from, to).
 
-    Rows are the segment's bytes; a column is left when no path through it can stay
-    within ``most`` edits, so only the band that the budget allows is filled.
+    Of equal parts the one that ends first, and of these the longest.
     """
     at = window.find(segment)
     if at >= 0:
         return 0, at, at + len(segment)
-    far = most + 1
-    # cells[j]: (edits, start) of the best path that ends before window[j]
-    cells = {j: (0, j) for j in range(len(window) + 1)}
-    for c in segment:
-        row: dict[int, tuple[int, int]] = {}
-        for j in sorted({*cells, *(j + 1 for j in cells if j < len(window))}):
-            best = (far, 0)
-            if j in cells:
-                best = (cells[j][0] + 1, cells[j][1])
-            if j and j - 1 in cells:
-                e, s = cells[j - 1]
-                best = min(best, (e + (window[j - 1] != c), s))
-            if j and j - 1 in row:
-                e, s = row[j - 1]
-                best = min(best, (e + 1, s))
-            if best[0] <= most:
-                row[j] = best
-        if not row:
-            return None
-        cells = row
-    to, (edits, start) = min(cells.items(), key=lambda x: (x[1][0], x[0]))
-    return edits, start, to
-
-
-def regions(text: str | None, index: Index) -> list[tuple[int, int, int, int]]:
-    """Copies of segments in a text: (segment, edits, from, to), in bytes of the text."""
-    if not text or not len(index.hashes):
-        return []
-    data, places = normal(text)
+    ends = [len(segment), *_distances(segment, window, False)]
+    edits = min(ends)
+    if edits > most:
+        return None
+    to = ends.index(edits)
+    starts = [len(segment), *_distances(segment[::-1], window[:to][::-1], True)]
+    return edits, to - max(n for n, e in enumerate(starts) if e == edits), to
+
+
+def _letter(c: int) -> bool:
+    return 48 <= c <= 57 or 97 <= c <= 122
+
+
+def _exact(data: bytes, index: Index) -> Iterator[tuple[int, int, int]]:
+    """Items too short for q-grams, as whole words of ASCII or between any other bytes: (segment, from, to)."""
+    codes = np.frombuffer(data, np.uint8).astype(np.uint64) + np.uint64(1)
+    value = np.zeros(len(codes), np.uint64)
+    for n in range(1, min(max(index.short), len(data)) + 1):
+        value = value[: len(codes) - n + 1] * _PRIME + codes[n - 1 :]
+        if n not in index.short:
+            continue
+        names, numbers = index.short[n]
+        low, high = np.searchsorted(names, value), np.searchsorted(names, value, "right")
+        for at in np.flatnonzero(high > low).tolist():
+            end = at + n
+            cut_word = (at and _letter(data[at]) and _letter(data[at - 1])) or (end < len(data) and _letter(data[end - 1]) and _letter(data[end]))
+            for i in [] if cut_word else numbers[low[at] : high[at]].tolist():
+                if index.segments.texts[i] == data[at:end]:
+                    yield index.segments.firsts[i], at, end
+
+
+def _candidates(data: bytes, index: Index) -> Iterator[tuple[int, int, int, int]]:
+    """Where a segment may be: (segment, edits at most, from, to)."""
     h = grams(data)
     near = np.flatnonzero(index.present[(h >> np.uint64(64 - _BITS)).astype(np.int64)])
-    if len(near) < 2:
-        return []
+    if not len(near) or not len(index.hashes):
+        return
     at = np.searchsorted(index.hashes, h[near])
     at[at == len(index.hashes)] = 0
     same = index.hashes[at] == h[near]
     at, near = at[same], near[same]
     if not len(near):
-        return []
+        return
     counts = index.starts[at + 1] - index.starts[at]
     each = np.repeat(index.starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    seg, diagonal = index.segment[each], np.repeat(near, counts) - index.place[each] + SEGMENT
-    sizes = np.array([len(s) for s in index.segments])
-    spread = sizes[seg] * BUDGET // 100
+    item, place = index.item[each], index.place[each]
+    diagonal = np.repeat(near, counts) - place + _FAR
     band, rest = diagonal // BAND, diagonal % BAND
-    again = rest < spread
-    keys = np.concatenate([seg * (1 << 40) + band, seg[again] * (1 << 40) + band[again] - 1])
-    # a q-gram of the text counts once in a band, however often the segment has it
-    pairs = np.unique(np.stack([keys, np.concatenate([np.repeat(near, counts), np.repeat(near, counts)[again]])]), axis=1) if len(keys) > 1 else np.stack([keys, near[:1]])
-    names, shared = np.unique(pairs[0], return_counts=True)
-    out = []
-    for name, n in zip(names.tolist(), shared.tolist(), strict=True):
-        s, b = name >> 40, name & ((1 << 40) - 1)
-        m = len(index.segments[s])
-        if n >= bound(m):
-            k = budget(m)
-            first = b * BAND - SEGMENT
-            a, z = max(0, first - k), min(len(data), first + BAND + k + m + k)
+    names = np.unique(item)
+    sizes = np.array([min(len(index.segments.texts[i]), SEGMENT) for i in names.tolist()])
+    again = rest < sizes[np.searchsorted(names, item)] * BUDGET // 100
+    keys = np.concatenate([item << 34 | band, item[again] << 34 | (band[again] - 1)])
+    places = np.concatenate([place, place[again]])
+    order = np.lexsort((places, keys))
+    keys, places = keys[order], places[order]
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    for a, z in zip(first.tolist(), [*first[1:].tolist(), len(keys)], strict=True):
+        i, b = int(keys[a]) >> 34, int(keys[a]) & ((1 << 34) - 1)
+        m = min(len(index.segments.texts[i]), SEGMENT)
+        if z - a < bound(m):
+            continue
+        k, start = budget(m), b * BAND - _FAR
+        # only segments that hold the first of their shared q-grams can reach the bound
+        w = np.arange(max(0, int(places[a]) - m) // STEP, min(stepped(len(index.segments.texts[i])), int(places[z - 1]) // STEP + 1))
+        shared = np.searchsorted(places[a:z], w * STEP + m - Q, "right") - np.searchsorted(places[a:z], w * STEP)
+        for v in w[shared >= bound(m)].tolist():
+            at_ = v * STEP + start
+            yield index.segments.firsts[i] + v, k, max(0, at_ - k), min(len(data), at_ + BAND + k + m + k)
+
+
+def regions(text: str | None, index: Index, one: bool = False) -> list[tuple[int, int, int, int]]:
+    """Copies of segments in a text: (segment, edits, from, to), in bytes of the text. ``one``: any one of them is enough."""
+    if not text or not len(index.segments):
+        return []
+    data, places = normal(text)
+    found: set[tuple[int, int, int, int]] = set()
+    if index.short:
+        found.update((s, 0, a, z) for s, a, z in _exact(data, index))
+    if not (one and found):
+        for s, k, a, z in _candidates(data, index):
             hit = aligned(index.segments[s], data[a:z], k)
             if hit:
-                end = a + hit[2]
-                out.append((s, hit[0], int(places[a + hit[1]]), int(places[end]) if end < len(places) else len(text.encode("utf-8", "surrogatepass"))))
-    return sorted(set(out))
+                found.add((s, hit[0], a + hit[1], a + hit[2]))
+                if one:
+                    break
+    whole = len(text.encode("utf-8", "surrogatepass")) if found else 0
+    return sorted((s, e, int(places[a]), int(places[z]) if z < len(places) else whole) for s, e, a, z in found)
 
 
 def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -> list[list[tuple[int | None, str | None]]]:
@@ -192,9 +280,9 @@ def item_blocks(items: DataFrame, id_col: str = "item_id", text: str = "text") -
 def find(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """One row for each document and item that it has a copied segment of.
 
-    ``row`` (the ``carry`` columns), item_id, n_segments (copies found), edits (of the
-    best), first and last (bytes of the text from the first copy to the end of the
-    last). Null, empty and short texts have none; repeated rows are found each; null
+    ``row`` (the ``carry`` columns), item_id, n_segments (copies found of all its
+    segments, which overlap), edits (of the best), first and last (bytes of the text
+    from the first copy to the end of the last). Null and empty texts have none; repeated rows are found each; null
     ids change nothing. Other columns may have any names: they travel in ``row``.
     """
     spark = docs.sparkSession
@@ -213,7 +301,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str]
                 for i, t in enumerate(batch.column("text")):
                     by_item: dict[int | None, list] = {}
                     for s, *r in regions(t.as_py(), index):
-                        by_item.setdefault(index.items[s], []).append(r)
+                        by_item.setdefault(index.items[index.segments.item(s)], []).append(r)
                     for item, rs in by_item.items():
                         for column, v in zip(out, (i, item, len(rs), min(r[0] for r in rs), min(r[1] for r in rs), max(r[2] for r in rs)), strict=True):
                             column.append(v)
@@ -234,7 +322,7 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not regions(t.as_py(), index.value) for t in batch.column(text)], pa.bool_()))
+                yield batch.filter(pa.array([not regions(t.as_py(), index.value, one=True) for t in batch.column(text)], pa.bool_()))
 
         docs = docs.mapInArrow(run, docs.schema)
     return docs.select(*(F.col(f"`{c}`") for c in columns))

@@ -36,6 +36,25 @@ def test_filter_and_alignment_lose_nothing_within_the_budget(spark, sf_dir):
     assert found > 30
 
 
+def test_an_excerpt_is_found_wherever_it_starts(spark, sf_dir):
+    item = max((t for _, t in items_of(spark, sf_dir)), key=len)
+    index = dc.build([(0, item)])
+    data = dc.normal(item)[0].strip().decode(errors="replace")
+    for size in (80, 110):
+        for at in range(0, len(data) - size, 3):
+            part = data[at : at + size]
+            if len(part.encode()) >= 80:
+                assert dc.regions("Zq " + part + " zq", index, one=True), (size, at)
+
+
+def test_items_that_are_short_are_found_exactly():
+    index = dc.build([(1, "Short one"), (2, "x"), (3, "日本"), (4, "twenty bytes of text"), (5, " "), (6, "short")])
+    hit = lambda t: {index.items[index.segments.item(s)] for s, *_ in dc.regions(t, index)}
+    assert hit("a short  ONE.") == {1, 6} and hit("shortone ashort xx") == set() and hit("(x)") == {2} and hit("本日本日") == {3}
+    assert hit("say twenty bytes of text") == hit("say twenty bytes oftext") == {4} and hit("") == hit("y") == set()
+    assert dc.regions("éé short", index) == [(index.segments.firsts[4], 0, 5, 10)]
+
+
 def test_alignment():
     assert dc.aligned(b"abcdef", b"xxabcdefxx", 0) == (0, 2, 8)
     assert dc.aligned(b"abcdef", b"xxabdefxx", 1)[0] == 1

@@ -3,8 +3,8 @@
 A recording's spectrum is folded to twelve pitch classes for each frame. Filters of
 an integral image over (frame, pitch class) compare rectangles of it; each answers in
 two bits, and sixteen of them pack one integer for each frame. Recordings are aligned
-by the histogram of offsets at which equal integers stand, and compared by the share
-of bits that differ at the best offset.
+by the histogram of offsets at which equal halves of integers stand, and compared by
+the share of bits that differ at the offsets near its top.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ THRESHOLDS = (-0.25, 0.0, 0.25)
 #: Recordings match with at most so many of a hundred bits different, over at least
 #: so many integers.
 MOST_BITS, LEAST_ALIGNED = 25, 64
+#: Offsets are verified that have at least one in so many of the best one's equal halves.
+NEAR = 2
 #: Query recordings that are held against all recordings in one pass.
 QUERY_BLOCK = 4096
 #: Every so many ids is a query.
@@ -137,6 +139,11 @@ def all_different(queries: np.ndarray, sizes: np.ndarray, other: np.ndarray, off
     return np.where(n > 0, bits / np.maximum(32 * n, 1), 1.0), n
 
 
+def halves(codes: np.ndarray) -> np.ndarray:
+    """The upper halves of integers, then the lower ones, told apart."""
+    return np.concatenate([codes >> np.uint32(16), codes & np.uint32(0xFFFF) | np.uint32(1 << 16)])
+
+
 def search(recordings: DataFrame, is_query: F.Column, id_col: str = "id") -> DataFrame:
     """For each query its matches among all other recordings, one row each query.
 
@@ -146,8 +153,8 @@ def search(recordings: DataFrame, is_query: F.Column, id_col: str = "id") -> Dat
     id is no query and matches none; recordings without codes match nothing.
 
     Queries are held against all recordings in blocks of QUERY_BLOCK; every
-    recording is looked up by all its integers, so what the index can't find shares
-    no integer with the query. Each batch sends one row for each query it matches.
+    recording is looked up by both halves of all its integers, and each offset with
+    half as many equal halves as the best one is verified. Each batch sends one row for each query it matches.
     """
     spark = recordings.sparkSession
     ship(spark)
@@ -167,32 +174,42 @@ def search(recordings: DataFrame, is_query: F.Column, id_col: str = "id") -> Dat
             table = np.zeros((len(queries), sizes.max(initial=0)), np.uint32)
             for i, (_, q) in enumerate(queries):
                 table[i, : len(q)] = q
-            codes = np.concatenate([*(q for _, q in queries), np.empty(0, np.uint32)])
-            owner = np.repeat(np.arange(len(queries)), sizes)
-            place = np.concatenate([*(np.arange(len(q)) for _, q in queries), np.empty(0, np.int64)])
+            codes = halves(np.concatenate([*(q for _, q in queries), np.empty(0, np.uint32)]))
+            owner = np.tile(np.repeat(np.arange(len(queries)), sizes), 2)
+            place = np.tile(np.concatenate([*(np.arange(len(q)) for _, q in queries), np.empty(0, np.int64)]), 2)
             order = np.argsort(codes, kind="stable")
             codes, owner, place = codes[order], owner[order], place[order].astype(np.int64)
             for batch in batches:
                 best: dict[int, list] = {}
                 for other_id, other in zip(batch.column("id").to_pylist(), batch.column("codes"), strict=True):
                     other = np.array(other.as_py() or [], np.uint32)
-                    a, b = np.searchsorted(codes, other), np.searchsorted(codes, other, "right")
+                    parts = halves(other)
+                    a, b = np.searchsorted(codes, parts), np.searchsorted(codes, parts, "right")
                     n = b - a
-                    if not n.sum():
-                        continue
                     at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    histogram, counts = np.unique(owner[at] * (1 << 32) + (np.repeat(np.arange(len(other)), n) - place[at] + (1 << 31)), return_counts=True)
-                    by = np.lexsort((histogram, -counts, histogram >> 32))
-                    histogram = histogram[by]
-                    first = np.flatnonzero(np.concatenate([[True], histogram[1:] >> 32 != histogram[:-1] >> 32]))
-                    q, offset = histogram[first] >> 32, (histogram[first] & ((1 << 32) - 1)) - (1 << 31)
-                    share, size = all_different(table[q], sizes[q], other, offset)
-                    for i in np.flatnonzero((size >= LEAST_ALIGNED) & (share * 100 <= MOST_BITS)):
-                        query_id = queries[q[i]][0]
+                    where = np.repeat(np.tile(np.arange(len(other)), 2), n)
+                    histogram, counts = np.unique(owner[at] * (1 << 32) + (where - place[at] + (1 << 31)), return_counts=True)
+                    q, offset = histogram >> 32, (histogram & ((1 << 32) - 1)) - (1 << 31)
+                    enough = np.minimum(sizes[q], len(other) - offset) - np.maximum(0, -offset) >= LEAST_ALIGNED
+                    q, offset, counts = q[enough], offset[enough], counts[enough]
+                    if not len(q):
+                        continue
+                    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
+                    top = np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(q))))
+                    near = NEAR * counts >= top
+                    q, offset = q[near], offset[near]
+                    step = max(1, (1 << 20) // table.shape[1])
+                    share = np.concatenate([all_different(table[q[i : i + step]], sizes[q[i : i + step]], other, offset[i : i + step])[0] for i in range(0, len(q), step)])
+                    match: dict[int, tuple[float, int]] = {}
+                    for i in np.flatnonzero(share * 100 <= MOST_BITS).tolist():
+                        found_at = (float(share[i]), int(offset[i]))
+                        match[int(q[i])] = min(match.get(int(q[i]), found_at), found_at)
+                    for i, (difference, at_offset) in match.items():
+                        query_id = queries[i][0]
                         if query_id != other_id:
                             x = best.setdefault(query_id, [0, (2.0, 0, 0)])
                             x[0] += 1
-                            x[1] = min(x[1], (float(share[i]), other_id, int(offset[i])))
+                            x[1] = min(x[1], (difference, other_id, at_offset))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(best), pa.int64()), pa.array([x[0] for x in best.values()], pa.int64()), *(pa.array([x[1][i] for x in best.values()], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.int64())))],
                     ["id", "n", "difference", "other", "offset"],

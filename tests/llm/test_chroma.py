@@ -44,6 +44,23 @@ def test_recall_against_brute_force(spark):
     assert want > 50 and hit >= 0.9 * want
 
 
+def test_recall_up_to_the_most_bits(spark):
+    rng = np.random.default_rng(5)
+    base = rng.normal(size=(30, 64))
+    vectors = list(base) + [base[i % 30] + rng.normal(scale=0.02 + 0.3 * rng.random(), size=64) for i in range(270)]
+    codes = [chroma.fingerprint(np.frombuffer(chroma.tune(v.tolist()), "<i2")) for v in vectors]
+    table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(codes)], "id long, codes array<long>")
+    got = {r.id: r.n_matches for r in chroma.search(table, F.col("id") < 30).collect()}
+    far = len(codes[0]) - chroma.LEAST_ALIGNED
+    least = [[min(chroma.different(codes[q], x, o)[0] for o in range(-far, far + 1)) * 100 for i, x in enumerate(codes) if i != q] for q in range(30)]
+    want = [sum(x <= chroma.MOST_BITS for x in row) for row in least]
+    hard = sum(chroma.MOST_BITS - 5 <= x <= chroma.MOST_BITS for row in least for x in row)
+    missed = sum(w - got[q] for q, w in enumerate(want))
+    print(f"accepted {sum(want)}, of 20 to 25 % {hard}, missed {missed}")
+    assert all(got[q] <= w for q, w in enumerate(want)) and hard >= 15
+    assert missed <= 0.1 * hard
+
+
 def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     codes = [chroma.fingerprint(song(s % 7)) for s in range(30)]
     table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(codes)], "id long, codes array<long>")

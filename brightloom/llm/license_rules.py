@@ -267,7 +267,7 @@ RULES_TEXT = r"""
 3 | json | good not evil | the software shall be used for good not evil
 2 | upl-1.0 | universal permissive | universal permissive license(?: upl)?(?: version)?(?: 1 0)?
 2 | blueoak-1.0.0 | blue oak | blue oak model license(?: 1 0 0)?
-2 | openrail | openrail | (?:creativeml |bigscience )?open ?rail(?: [ms])?(?: licen[sc]e)?
+2 | openrail | rail | (?:creativeml |bigscience )?open ?rail(?: [ms])?(?: licen[sc]e)?
 2 | bigscience-rail | rail | bigscience rail license(?: v?1 0)?
 2 | cpal-1.0 | common public attribution | common public attribution license(?: version 1 0)?
 2 | rpl-1.5 | reciprocal | reciprocal public license(?: version)?(?: 1 5)?
@@ -283,7 +283,7 @@ RULES_TEXT = r"""
 1 | proprietary | proprietary | (?:confidential and proprietary|proprietary and confidential)
 2 | proprietary | unauthori | unauthori[sz]ed (?:copying|use|reproduction|distribution)(?: or (?:copying|use|reproduction|distribution))? of this (?:file|document|material|software)
 2 | proprietary | without the prior | (?:may not|no part of this [^ ]+ may) be (?:copied|reproduced|redistributed)(?: [^ ]+){0,8} without the prior written (?:permission|consent)
-2 | proprietary | license agreement | end user licen[sc]e agreement
+2 | proprietary | end user | end user licen[sc]e agreement
 2 | reserved | rights reserved | (?:all|some) rights reserved(?: worldwide)?
 2 | copyright | copyright | copyright (?:c )?(?:19|20)[0-9][0-9](?: (?:19|20)?[0-9][0-9])*
 3 | copyright | copyright | copyright (?:c|by|of)

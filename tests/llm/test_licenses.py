@@ -73,3 +73,12 @@ def test_odd_rows(spark):
     out = licenses.scan(docs)
     assert [c for c in out.columns if c == "labels"] == ["labels"] and "a.b" in out.columns
     assert sorted((r.n_base, r.labels) for r in out.collect()) == [(0, ""), (1, "cc-by"), (1, "cc-by")]
+
+
+def test_keywords_stand_in_all_spellings(spark):
+    spellings = {"under the Open RAIL M license": "openrail", "under the OpenRAIL-M license": "openrail", "this End User Licence Agreement": "proprietary", "this End User License Agreement": "proprietary"}
+    for text, label in spellings.items():
+        plain = f" {re.sub('[^a-z]+', ' ', text.lower())} "
+        assert any(r.label == label and r.keyword in plain and re.search(r.regex, plain) for r in rules()), text
+    rows = found(spark, list(spellings))
+    assert all(label in str(rows[text]) for text, label in spellings.items())

@@ -16,6 +16,7 @@ from pathlib import Path
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Bytes of text that one partition of a text-heavy stage should hold.
 TEXT_PER_TASK = 16 << 20
@@ -95,6 +96,23 @@ def parts(spark: SparkSession, rows: int, per_task: int) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // per_task))
 
 
+def named(column: str, of: str = "") -> F.Column:
+    """A column by its very name, whatever characters that has; ``of`` a struct."""
+    quoted = "`" + column.replace("`", "``") + "`"
+    return F.col(f"{of}.{quoted}" if of else quoted)
+
+
+def row_of(columns: list[str]) -> F.Column:
+    """The columns as one struct ``row``, under their own names."""
+    return F.struct(*map(named, columns)).alias("row")
+
+
+def with_fields(df: DataFrame, columns: list[str], new: str) -> T.StructType:
+    """The schema of some columns of ``df`` and of new ones, given as DDL. Never made of
+    names put into a string, so columns may have any name."""
+    return T.StructType([*(df.schema[c] for c in columns), *T.StructType.fromDDL(new)])
+
+
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

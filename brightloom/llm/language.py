@@ -8,6 +8,7 @@ one that is missing.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -17,51 +18,80 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table, ship, stored
+from .common import named, read_table, ship, stored, with_fields
 
 #: Documents of each language that profiles are learned from.
 SAMPLE = 3000
 _SCALE = 1 << 31
 #: Length of a profile.
 PROFILE = 300
-#: Letters with a code of their own, the most frequent of the sample. Code 0 is
-#: whatever is no letter, code 1 any other letter.
-LETTERS = 62
-_BI, _TRI, _CODES = 64, 64 + 64**2, 64 + 64**2 + 64**3
 UNKNOWN = "und"
+#: Bits of a code point within an n-gram's code, which tells all n-grams of all scripts apart.
+_BITS = 21
+#: What codes of one, two and three letters begin with, so that they are in this order.
+_TAGS = tuple(np.array([-(1 << 63), -(1 << 62), 0], np.int64))
+#: Letters of a text that are counted at a time, so that memory doesn't follow the longest text.
+BLOCK = 1 << 20
 
 
 class Model(NamedTuple):
-    letters: str
     languages: list[str]
     #: For each language, codes of its n-grams in order.
     profiles: list[list[int]]
+    #: The score that this share of the learned documents don't reach: see ``learn``.
+    low: float = 0.0
 
 
-def code_table(letters: str) -> np.ndarray:
-    """The code of every code point."""
-    table = np.fromiter((chr(c).isalpha() for c in range(0x110000)), np.uint8, 0x110000)
-    for i, c in enumerate(letters):
-        table[ord(c)] = 2 + i
-    return table
+@functools.cache
+def lettered() -> np.ndarray:
+    """Each code point that is a letter, as itself; 0 for the others."""
+    return np.fromiter((c if chr(c).isalpha() else 0 for c in range(0x110000)), np.int32, 0x110000)
 
 
-def points(text: str) -> np.ndarray:
-    return np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+def letters(text: str) -> np.ndarray:
+    """The text's code points in lower case, 0 for whatever is no letter."""
+    return lettered()[np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32)]
 
 
-def ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct n-grams of words, borders counting as letters, and their counts."""
-    c = np.concatenate([[0], codes, [0]]).astype(np.int32)
-    a, b, d = c[:-2], c[1:-1], c[2:]
+def _counted(c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams around all but the first and last place of ``c``, and their counts."""
+    names, small = np.unique(np.append(c, 0), return_inverse=True)  # the first name is 0
+    n = len(names)
+    a, b, d = small[:-3], small[1:-2], small[2:-1]
     letter = b > 0
     pair = letter | (a > 0)
-    grams = np.concatenate([b[letter], _BI + a[pair] * 64 + b[pair], _TRI + (a[letter] * 64 + b[letter]) * 64 + d[letter]])
-    if len(grams) > 30_000:
-        counts = np.bincount(grams, minlength=_CODES)
-        found = np.flatnonzero(counts)
-        return found, counts[found]
-    return np.unique(grams, return_counts=True)
+    out, counts = [], []
+    for size, grams in enumerate((b[letter], a[pair] * n + b[pair], (a[letter] * n + b[letter]) * n + d[letter]), 1):
+        if n**size <= 4 * len(grams):
+            every = np.bincount(grams)
+            found = np.flatnonzero(every)
+            count = every[found]
+        else:
+            found, count = np.unique(grams, return_counts=True)
+        code = np.full(len(found), _TAGS[size - 1])
+        for k in range(size):
+            code |= names[found // n**k % n].astype(np.int64) << (_BITS * k)
+        out.append(code)
+        counts.append(count)
+    return np.concatenate(out), np.concatenate(counts)
+
+
+def ngrams(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct n-grams of words, borders counting as letters, and their counts.
+
+    A code holds the n-gram's code points. Longer texts are counted block by block.
+    """
+    c = np.concatenate([[0], codes, [0]]).astype(np.int64)
+    parts = [_counted(c[i : i + BLOCK + 2]) for i in range(0, len(codes), BLOCK)]
+    if len(parts) == 1:
+        return parts[0]
+    return summed([p for p, _ in parts], [n for _, n in parts])
+
+
+def summed(codes: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Counts of several texts or blocks, added up."""
+    found, at = np.unique(np.concatenate([*codes, np.empty(0, np.int64)]), return_inverse=True)
+    return found, np.bincount(at, np.concatenate([*counts, np.empty(0, np.int64)]), len(found)).astype(np.int64)
 
 
 def most_frequent(found: np.ndarray, counts: np.ndarray, length: int) -> np.ndarray:
@@ -70,17 +100,20 @@ def most_frequent(found: np.ndarray, counts: np.ndarray, length: int) -> np.ndar
 
 class Scorer:
     def __init__(self, model: Model, length: int = PROFILE) -> None:
-        self.table, self.length, self.languages = code_table(model.letters), length, model.languages
-        self.places = np.full((len(model.languages), _CODES), -1, np.int32)
+        self.length, self.languages = length, model.languages
+        self.codes = np.unique(np.array([c for p in model.profiles for c in p], np.int64))
+        self.places = np.full((len(model.languages), len(self.codes) + 1), -1, np.int32)
         for i, p in enumerate(model.profiles):
-            self.places[i, p] = np.arange(len(p))
+            self.places[i, np.searchsorted(self.codes, np.array(p, np.int64))] = np.arange(len(p))
 
     def predict(self, text: str | None) -> tuple[str, float]:
-        codes = self.table[points(text or "")]
+        codes = letters(text or "")
         if not codes.any() or not self.languages:
             return UNKNOWN, 0.0
         top = most_frequent(*ngrams(codes), self.length)
-        places = self.places[:, top]
+        at = np.searchsorted(self.codes, top)
+        at[at == len(self.codes)] = 0
+        places = self.places[:, np.where(self.codes[at] == top, at, len(self.codes))]
         out = np.where(places < 0, self.length, np.abs(places - np.arange(len(top)))).clip(max=self.length).sum(axis=1)
         best = int(out.argmin())
         return self.languages[best], 1.0 - float(out[best]) / (self.length * len(top))
@@ -88,7 +121,7 @@ class Scorer:
 
 def train_rows(docs: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> DataFrame:
     """Labelled rows that may be learned from: doc_id's CRC isn't a multiple of 5."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = docs.select(named(id_col).alias("doc_id"), named(text).alias("text"), named(lang).alias("lang"))
     return rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("doc_id"))
 
 
@@ -97,12 +130,15 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Model:
+def learn(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE, low: float | None = None) -> Model:
     """Profiles from about ``sample`` documents of each language in ``rows``, by hash.
 
+    With ``low`` the sample's own scores tell what is usual: the model's ``low`` is their
+    quantile at that share.
+
     A language's documents are taken with the same chance each, ``sample`` expected;
-    of a language with fewer all are. Only letters, profiles and one count for each
-    language reach the driver.
+    of a language with fewer all are. Only profiles and one count for each language
+    reach the driver.
     No rows give a model of no language, which knows nothing.
     """
     spark = rows.sparkSession
@@ -110,41 +146,28 @@ def learn(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE) -> Model
     hashed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SCALE)))
     limits = {r["lang"]: -(-sample * _SCALE // max(r["n"], sample)) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not limits:
-        return Model("", [], [])
+        return Model([], [])
     bound = spark.createDataFrame(list(limits.items()), "lang string, bound long")
     chosen = stored(hashed.join(F.broadcast(bound), "lang").filter("h < bound").select("lang", "text"))
 
-    def letters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0x110000, np.int64)
-        for batch in batches:
-            for t in batch.column("text"):
-                counts = np.bincount(points(t.as_py()))
-                total[: len(counts)] += counts
-        found = [c for c in np.flatnonzero(total).tolist() if chr(c).isalpha()]
-        yield pa.RecordBatch.from_arrays([pa.array([chr(c) for c in found], pa.string()), pa.array(total[found], pa.int64())], ["letter", "n"])
-
-    frequent = chosen.mapInArrow(letters, "letter string, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS)
-    alphabet = "".join(sorted(r["letter"] for r in frequent.collect()))
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = code_table(alphabet)
         for batch in batches:
             langs = batch.column("lang").to_pylist()
             for lang in sorted(set(langs)):
-                total = np.zeros(_CODES, np.int64)
-                for name, t in zip(langs, batch.column("text"), strict=True):
-                    if name == lang:
-                        found, counts = ngrams(table[points(t.as_py())])
-                        total[found] += counts
-                found = np.flatnonzero(total)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int32()), pa.array(total[found], pa.int64())], ["lang", "code", "n"])
-
-    counted = chosen.mapInArrow(count, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+                each = [ngrams(letters(t.as_py())) for name, t in zip(langs, batch.column("text"), strict=True) if name == lang and t.as_py()]
+                found, total = summed([x for x, _ in each], [n for _, n in each])
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total, pa.int64())], ["lang", "code", "n"])
+
+    counted = chosen.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("i") <= length)
     profiles: dict[str, list[int]] = {}
     for r in ranked.select("lang", "i", "code").orderBy("lang", "i").collect():
         profiles.setdefault(r["lang"], []).append(r["code"])
-    return Model(alphabet, sorted(profiles), [profiles[x] for x in sorted(profiles)])
+    model = Model(sorted(profiles), [profiles[x] for x in sorted(profiles)])
+    if low is None:
+        return model
+    scores = identify(chosen.select("text"), model).filter(F.col("lang_pred") != UNKNOWN)
+    return model._replace(low=scores.agg(F.percentile("score", F.lit(low))).first()[0] or 0.0)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
@@ -156,8 +179,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """
     ship(docs.sparkSession)
     kept = [c for c in docs.columns if c not in {"lang_pred", "score"}]
-    packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in kept if c != text), F.lit(0).alias("_")).alias("row"), F.col(f"`{text}`").alias("text"))
-    row = packed.schema["row"].dataType.simpleString()
+    rest = [c for c in kept if c != text]
+    packed = docs.select(F.struct(F.lit(0).alias("c"), *(named(c).alias(f"c{i}") for i, c in enumerate(rest))).alias("row"), named(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model)
@@ -165,8 +188,8 @@ def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             found = [scorer.predict(t.as_py()) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["row", "text", "lang_pred", "score"])
 
-    out = packed.mapInArrow(run, f"row {row}, text string, lang_pred string, score double")
-    columns = [F.col("text").alias(c) if c == text else F.col(f"row.`{c}`") for c in kept]
+    out = packed.mapInArrow(run, with_fields(packed, ["row", "text"], "lang_pred string, score double"))
+    columns = [F.col("text").alias(c) if c == text else F.col(f"row.c{rest.index(c)}").alias(c) for c in kept]
     return out.select(*columns, "lang_pred", "score")
 
 

@@ -1,8 +1,14 @@
-"""op1: held-out accuracy and odd inputs."""
+"""op1 against brute force, by held-out accuracy, and odd inputs."""
 
-from brightloom.llm import language
+import collections
+import random
+import zlib
+
+import pytest
 from pyspark.sql import functions as F
 
+from brightloom.llm import language
+
 
 def test_held_out_accuracy(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -51,8 +57,77 @@ def test_nothing_to_learn_from(spark):
     assert [(r.lang_pred, r.score) for r in language.identify(some, model).collect()] == [("und", 0.0)]
 
 
+def brute_ngrams(text):
+    """N-grams of one to three letters by their counts, borders as NUL."""
+    t = ["\0", *(c if c.isalpha() else "\0" for c in text.lower()), "\0"]
+    out = collections.Counter()
+    for a, b, d in zip(t, t[1:], t[2:], strict=False):
+        if b != "\0":
+            out[b] += 1
+            out[a + b + d] += 1
+        if b != "\0" or a != "\0":
+            out[a + b] += 1
+    return out
+
+
+def named(code):
+    size, code = (3, code) if code >= 0 else (2, code + (1 << 62)) if code >= -(1 << 62) else (1, code + (1 << 63))
+    return "".join(chr(code >> 21 * i & (1 << 21) - 1) for i in reversed(range(size)))
+
+
+def in_order(counts):
+    return sorted(counts, key=lambda g: (-counts[g], len(g), g))
+
+
+@pytest.mark.parametrize("block", [7, 1 << 20])
+def test_ngrams_of_any_script(monkeypatch, block):
+    monkeypatch.setattr(language, "BLOCK", block)
+    rnd = random.Random(1)
+    for n in (1, 2, 5, 50, 3000):
+        text = "".join(rnd.choice("abc é漢字\U00010400 .Жд") for _ in range(n))
+        found, counts = language.ngrams(language.letters(text))
+        assert {named(int(c)): int(k) for c, k in zip(found, counts, strict=True)} == brute_ngrams(text)
+
+
+def test_whole_operator_equals_brute_force(spark):
+    rnd = random.Random(2)
+    kinds = {"en": "the of and to in that", "ru": "и в не на я быть", "zh": "的 一 是 不 了 人", "ja": "の に は を た が", "ko": "이 그 저 것 수 등"}
+    rows = []
+    for i in range(200):
+        lang = rnd.choice(list(kinds))
+        rows.append((i, " ".join("".join(rnd.choice(kinds[lang].split()) for _ in range(rnd.randint(1, 3))) for _ in range(rnd.randrange(60))) or None, rnd.choice([lang, lang, lang, None])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    counts = collections.defaultdict(collections.Counter)
+    for i, t, lang in rows:
+        if lang and t and zlib.crc32(str(i).encode()) % 5:
+            counts[lang].update(brute_ngrams(t))
+    profiles = {lang: {g: k for k, g in enumerate(in_order(c)[:300])} for lang, c in counts.items()}
+
+    def predict(text):
+        top = in_order(brute_ngrams(text or ""))[:300]
+        if not top:
+            return "und", 0.0
+        far = {lang: sum(min(300, abs(p[g] - k)) if g in p else 300 for k, g in enumerate(top)) for lang, p in profiles.items()}
+        best = min(sorted(far), key=far.get)
+        return best, 1 - far[best] / (300 * len(top))
+
+    model = language.learn(language.train_rows(docs))
+    got = {r.doc_id: (r.lang_pred, r.score) for r in language.identify(docs, model).collect()}
+    assert got == {i: predict(t) for i, t, _ in rows}
+    assert all(got[i][0] == lang for i, t, lang in rows if lang and t and len(t) > 20)
+
+
+def test_any_column_names(spark):
+    names = ["my col", "a-b", "a.b", "_", "row", "text ", "c"]
+    docs = spark.createDataFrame([(1, "the words", "en", *names)], ["doc_id", "text", "lang", *names])
+    out = language.identify(docs, language.learn(language.train_rows(docs))).collect()
+    assert tuple(out[0])[: 3 + len(names)] == (1, "the words", "en", *names)
+
+
 def test_out_of_place_distance():
-    model = language.Model("abc", ["x", "y"], [[3, 2, 4], [4, 9]])
+    code = {g: int(c) for c in language.ngrams(language.letters("b"))[0] for g in [named(int(c))]}
+    a = int(language.ngrams(language.letters("a"))[0][0])
+    model = language.Model(["x", "y"], [[a, code["b"], code["\0b"]], [code["\0b"], a]])
     scorer = language.Scorer(model, 3)
-    # of "b" alone the n-grams are "b", "_b", "b_", "_b_": four, of which the three first by code are kept
-    assert scorer.predict("b") == ("x", 1 - (0 + 3 + 3) / 9)
+    # of "b" alone the n-grams are "b", "_b" and "_b_"
+    assert scorer.predict("b") == ("x", 1 - (1 + 1 + 3) / 9)

@@ -36,7 +36,7 @@ _LETTERS, _NUMBERS = ("".join(re.escape(c) for c in _PLAIN if unicodedata.catego
 _SPACES = "\t-\r \x85\xa0"
 #: The tokenizer's own splitting, for plain characters.
 _SPLIT = re.compile(f"'(?:s|t|re|ve|m|ll|d)|[{_LETTERS}]+|[{_NUMBERS}]|[^{_SPACES}{_LETTERS}{_NUMBERS}]+")
-_NOT_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+_NOT_PLAIN = "[^\x00-\u012f\u0131-\u017f]"
 
 
 def _byte_letters() -> list[str]:
@@ -50,15 +50,17 @@ class WordIds(dict):
     """Ids of the tokenizer's words, as packed unsigned 32-bit numbers.
 
     Texts of plain characters are lower-cased and split here, and only words not
-    seen lately reach the model; any other text goes to the tokenizer whole.
+    seen lately reach the model; any other text, and one that holds the string of an
+    added token, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.model, self.letters, self.old = self.tokenizer.model, _byte_letters(), {}
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.whole = re.compile("|".join([_NOT_PLAIN, *map(re.escape, added)]))
 
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
@@ -72,7 +74,7 @@ class WordIds(dict):
         return ids
 
     def of(self, text: str) -> bytes:
-        if _NOT_PLAIN.search(text):
+        if self.whole.search(text):
             return array.array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(self.__getitem__, _SPLIT.findall(text.lower())))
 
@@ -171,16 +173,16 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, slack: int = SLACK) -> Dat
     bins = pieces.select(F.col("length").alias("total"), F.array(F.struct("doc_id", "piece", "start", "length", "ids_crc32").cast(MEMBER)).alias("members"))
     done = bins.filter(F.col("total") >= capacity - slack)
     open_ = bins.filter(F.col("total") < capacity - slack)
-    n, last = open_.count(), None
+    n = open_.count()
     while n:
         wide = -(-n // ITEMS_PER_TASK)
         merged = cut(open_.repartition(wide).mapInArrow(_pack_partition(capacity), f"total bigint, members array<{MEMBER}>"))
         done = done.unionAll(merged.filter(F.col("total") >= capacity - slack))
         open_ = merged.filter(F.col("total") < capacity - slack)
         left = open_.count()
-        if wide == 1 or last is not None and left > 0.98 * n:
+        if wide == 1 or left == n:
             break
-        n, last = left, n
+        n = left
     if n:
         done = done.unionAll(open_)
     numbered = done.select(F.monotonically_increasing_id().alias("sequence_id"), "members")

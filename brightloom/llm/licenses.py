@@ -13,11 +13,12 @@ from __future__ import annotations
 
 import json
 import re
+import string
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table
+from .common import named, read_table, row_of
 from .license_rules import Rule, rules
 
 #: Phrases whose places are counted and located, and their labels.
@@ -48,8 +49,9 @@ def _spaces(x: Column) -> Column:
 
 
 def normal(text: Column) -> Column:
-    """The words, lower-case, one space between them and one at either end."""
-    words = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _NOT_WORD, " ")
+    """The words, A-Z lower-cased, one space between them and one at either end."""
+    lower = F.translate(F.coalesce(text, F.lit("")), string.ascii_uppercase, string.ascii_lowercase)
+    words = F.regexp_replace(lower, _NOT_WORD, " ")
     return F.concat(F.lit(" "), F.trim(words), F.lit(" "))
 
 
@@ -106,7 +108,7 @@ def scan(docs: DataFrame, text: str = "text", found: list[Rule] | None = None) -
     table = F.from_json(F.lit(json.dumps([r._asdict() for r in found])), _RULE)
     base = "(?<= )(?:" + "|".join(BASE) + ")(?= )"
     kept = [c for c in docs.columns if c not in {"n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"}]
-    out = docs.select(*(F.col(f"`{c}`") for c in kept), normal(F.col(text)).alias("_t"))
+    out = docs.select(row_of(kept), normal(named(text)).alias("_t"))
     t = F.col("_t")
     has = {label: t.contains(f" {phrase} ") for phrase, label in BASE.items()}
     any_base = F.greatest(*has.values())
@@ -115,7 +117,7 @@ def scan(docs: DataFrame, text: str = "text", found: list[Rule] | None = None) -
         gate = gate | t.contains(g)
     none = F.array().cast(_FOUND)
     out = out.select(
-        *(F.col(f"`{c}`") for c in kept),
+        "row",
         "_t",
         F.when(t == "  ", F.lit(0)).otherwise(_spaces(t) - 1).cast("long").alias("n_words"),
         F.when(any_base, F.regexp_extract_all(t, F.lit(base), F.lit(0))).otherwise(F.array().cast("array<string>")).alias("_hits"),
@@ -127,7 +129,7 @@ def scan(docs: DataFrame, text: str = "text", found: list[Rule] | None = None) -
     after = _spaces(F.element_at(F.split(t, base), -1)) - 1
     last = F.col("n_words") - after - _spaces(F.element_at("_hits", -1)) - 1
     out = out.select(
-        *(F.col(f"`{c}`") for c in kept),
+        "row",
         "n_words",
         F.size("_hits").cast("long").alias("n_base"),
         F.when(hit, before.cast("long")).alias("first_word"),
@@ -138,7 +140,7 @@ def scan(docs: DataFrame, text: str = "text", found: list[Rule] | None = None) -
     best = F.col("_kept.best")
     score = F.when(best == 1, CONFIDENCE[1]).when(best == 2, CONFIDENCE[2]).when(best == 3, CONFIDENCE[3]).when(F.size("_base") > 0, BASE_CONFIDENCE).otherwise(0.0)
     return out.select(
-        *(F.col(f"`{c}`") for c in kept),
+        *(named(c, "row").alias(c) for c in kept),
         "n_words",
         "n_base",
         "first_word",

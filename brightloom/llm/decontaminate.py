@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, read_table, ship
+from .common import ascii_lower, named, read_table, row_of, ship, with_fields
 from .passages import mix
 
 Q = 10
@@ -31,7 +31,7 @@ SEGMENT, STEP = 80, 1
 BUDGET = 5
 #: Bytes of items that one pass over the documents looks for. Larger benchmarks are
 #: looked for block by block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _BITS = 22
 #: Diagonals of a band, without what it overlaps with the next.
 BAND = 8
@@ -128,8 +128,8 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
         else:
             h = grams(data)
             hashes.append(h)
-            of.append(np.full(len(h), len(texts)))
-            place.append(np.arange(len(h)))
+            of.append(np.full(len(h), len(texts), np.int32))
+            place.append(np.arange(len(h), dtype=np.int32))
         owner.append(item_id)
         texts.append(data)
     h = np.concatenate([*hashes, np.empty(0, np.uint64)])
@@ -137,9 +137,9 @@ def build(items: list[tuple[int | None, str | None]]) -> Index:
     names, starts = np.unique(h[order], return_index=True)
     present = np.zeros(1 << _BITS, bool)
     present[(names >> np.uint64(64 - _BITS)).astype(np.int64)] = True
-    cat = lambda x: np.concatenate([*x, np.empty(0, np.int64)]).astype(np.int64)[order]
+    cat = lambda x: np.concatenate([*x, np.empty(0, np.int32)]).astype(np.int32)[order]
     exact = {n: (np.array([v for v, _ in sorted(x)], np.uint64), np.array([i for _, i in sorted(x)], np.int64)) for n, x in short.items()}
-    return Index(owner, Segments(texts), present, names, np.append(starts, len(h)), cat(of), cat(place), exact)
+    return Index(owner, Segments(texts), present, names, np.append(starts, len(h)).astype(np.int32), cat(of), cat(place), exact)
 
 
 def _distances(segment: bytes, window: bytes, anchored: bool) -> list[int]:
@@ -224,7 +224,7 @@ def _candidates(data: bytes, index: Index) -> Iterator[tuple[int, int, int, int]
         return
     counts = index.starts[at + 1] - index.starts[at]
     each = np.repeat(index.starts[at] - np.concatenate([[0], np.cumsum(counts)[:-1]]), counts) + np.arange(counts.sum())
-    item, place = index.item[each], index.place[each]
+    item, place = index.item[each].astype(np.int64), index.place[each].astype(np.int64)
     diagonal = np.repeat(near, counts) - place + _FAR
     band, rest = diagonal // BAND, diagonal % BAND
     names = np.unique(item)
@@ -287,9 +287,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str]
     """
     spark = docs.sparkSession
     ship(spark)
-    row = F.struct(*(F.col(f"`{c}`") for c in (docs.columns if carry is None else carry))).alias("row")
-    source = docs.select(row, F.col(f"`{text}`").alias("text"))
-    kind = source.schema["row"].dataType.simpleString()
+    source = docs.select(row_of(docs.columns if carry is None else carry), named(text).alias("text"))
     found = None
     for block in item_blocks(items):
         index = spark.sparkContext.broadcast(build(block))
@@ -307,7 +305,7 @@ def find(docs: DataFrame, items: DataFrame, text: str = "text", carry: list[str]
                             column.append(v)
                 yield pa.RecordBatch.from_arrays([batch.column("row").take(pa.array(out[0], pa.int64())), *(pa.array(c, pa.int64()) for c in out[1:])], ["row", "item_id", "n_segments", "edits", "first", "last"])
 
-        part = source.mapInArrow(run, f"row {kind}, item_id bigint, n_segments bigint, edits bigint, first bigint, last bigint")
+        part = source.mapInArrow(run, with_fields(source, ["row"], "item_id bigint, n_segments bigint, edits bigint, first bigint, last bigint"))
         found = part if found is None else found.unionAll(part)
     return found
 
@@ -317,15 +315,16 @@ def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     spark = docs.sparkSession
     ship(spark)
     columns = docs.columns
+    kept = docs.select(row_of(columns), named(text).alias("text"))
     for block in item_blocks(items):
         index = spark.sparkContext.broadcast(build(block))
 
         def run(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                yield batch.filter(pa.array([not regions(t.as_py(), index.value, one=True) for t in batch.column(text)], pa.bool_()))
+                yield batch.filter(pa.array([not regions(t.as_py(), index.value, one=True) for t in batch.column("text")], pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs.select(*(F.col(f"`{c}`") for c in columns))
+        kept = kept.mapInArrow(run, kept.schema)
+    return kept.select(*(named(c, "row").alias(c) for c in columns))
 
 
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read_table, ship, stored
+from .common import named, read_table, row_of, ship, stored, with_fields
 
 RATE, FRAME, HOP = 8000, 1024, 512
 #: Octaves of A that are folded, in Hz.
@@ -110,16 +110,14 @@ def fingerprints(media: DataFrame, column: str = "pcm", carry: list[str] | None
     Null, empty and too short recordings have no codes. Rows are looked at one by one.
     """
     ship(media.sparkSession)
-    row = F.struct(*(F.col(f"`{c}`") for c in ([c for c in media.columns if c != column] if carry is None else carry))).alias("row")
-    source = media.select(row, F.col(f"`{column}`").alias("pcm"))
-    kind = source.schema["row"].dataType.simpleString()
+    source = media.select(row_of([c for c in media.columns if c != column] if carry is None else carry), named(column).alias("pcm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             codes = [fingerprint(np.frombuffer((x.as_py() or b"")[: (len(x.as_py() or b"") // 2) * 2], "<i2")).astype(np.int64) for x in batch.column("pcm")]
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(codes, pa.list_(pa.int64()))], ["row", "codes"])
 
-    return source.mapInArrow(run, f"row {kind}, codes array<bigint>")
+    return source.mapInArrow(run, with_fields(source, ["row"], "codes array<bigint>"))
 
 
 def different(query: np.ndarray, other: np.ndarray, offset: int) -> tuple[float, int]:
@@ -240,7 +238,7 @@ def tune(vector: list[float] | None) -> bytes:
 def tunes(vectors: DataFrame, vector: str, carry: list[str]) -> DataFrame:
     """A media column ``pcm`` from a vector column, since the tables hold no audio."""
     ship(vectors.sparkSession)
-    source = vectors.select(*carry, F.col(vector).alias("vector"))
+    source = vectors.select(*map(named, carry), named(vector).alias("vector"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -248,8 +246,7 @@ def tunes(vectors: DataFrame, vector: str, carry: list[str]) -> DataFrame:
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in carry), pa.array([tune(x.as_py()) for x in part.column("vector")], pa.binary())], [*carry, "pcm"])
 
-    types = ", ".join(f"`{c}` {source.schema[c].dataType.simpleString()}" for c in carry)
-    return source.mapInArrow(run, f"{types}, pcm binary")
+    return source.mapInArrow(run, with_fields(source, carry, "pcm binary"))
 
 
 def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, parts, read_table, ship
+from .common import cut, named, parts, read_table, row_of, ship, with_fields
 
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template head title svg canvas iframe object select option textarea button datalist".split())
@@ -395,10 +395,8 @@ def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     equal texts. Other columns may have any names: they travel inside ``row``.
     """
     ship(pages.sparkSession)
-    row = F.struct(*(F.col(f"`{c}`") for c in (pages.columns if carry is None else carry))).alias("row")
-    source = pages.select(row, "url", "html")
+    source = pages.select(row_of(pages.columns if carry is None else carry), "url", "html")
     shared = shared_lines(source)
-    kind = source.schema["row"].dataType.simpleString()
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -410,7 +408,7 @@ def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(out[0], pa.string()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.list_(pa.string())), pa.array(["".join(x) for x in out[3]], pa.string())], ["row", "host", "digest", "lines", "places"])
 
-    parsed = source.mapInArrow(keys, f"row {kind}, host string, digest bigint, lines array<string>, places string")
+    parsed = source.mapInArrow(keys, with_fields(source, ["row"], "host string, digest bigint, lines array<string>, places string"))
     joined = parsed.join(shared, ["host", "digest"], "left")
     place = lambda i: F.substring(F.col("places"), i + 1, F.lit(1))
     kept = F.filter("lines", lambda _, i: (place(i) == "a") | ((place(i) == "?") & ~F.coalesce(F.array_contains("shared", i), F.lit(False))))

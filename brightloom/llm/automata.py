@@ -169,7 +169,7 @@ def _decide(span: int):
             found.append([(a, b, least) for a, b, least in runs])
         return found
 
-    def decide(rows: list[tuple[int, bytes, int, int]]) -> list[list[tuple[int, int, int]]]:
+    def decide(rows: list[tuple[int, bytes, int, int]], number: int) -> list[list[tuple[int, int, int]]]:
         out: list[list[tuple[int, int, int]]] = []
         held: list[tuple[int, list[bytes], int]] = []
         size = 0
@@ -199,7 +199,7 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col
     rows = passages.keyed(docs, text, id_col, docs.columns if carry is None else carry)
     anchors = passages.anchor_table(rows, units)
     places = passages.passage_table(rows, anchors, units)
-    runs = passages.resolved(places, units, _decide(span), F.col("least"))
+    runs = passages.resolved(places, _decide(span), units)
     windows = passages.located(places, runs, F.col("value") < F.col("doc"))
     return passages.without(rows, anchors, windows, units, F.col("doc") > F.col("min_doc"), with_kept)
 

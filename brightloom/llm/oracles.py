@@ -24,15 +24,17 @@ marked AS (SELECT e.doc_id, e.i, e.word, max(CASE WHEN g.i IS NULL THEN 0 ELSE 1
 kept AS (SELECT doc_id, CAST(count(*) AS BIGINT) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, coalesce(string_agg(word, ' ' ORDER BY i) FILTER (WHERE gone = 0), '') AS text FROM marked GROUP BY doc_id)
 SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM documents d LEFT JOIN kept ON kept.doc_id = d.doc_id"""
 
-#: Strings of 400 bytes, in hexadecimal digits, that start twice.
+#: Strings of 400 bytes, in hexadecimal digits, that start twice; and of 200.
 SUFFIX_ARRAY_DEDUP = r"""WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS t, strlen(coalesce(text, '')) AS n FROM documents),
-starts AS (SELECT doc_id, i, md5(substr(t, 2 * i + 1, 800)) AS k FROM h, unnest(range(0, n - 399)) AS u(i)),
-twice AS (SELECT k FROM starts GROUP BY k HAVING count(*) > 1),
-gone AS (SELECT doc_id, i FROM starts JOIN twice USING (k)),
+starts AS (SELECT span, doc_id, i, md5(substr(t, 2 * i + 1, 2 * span)) AS k FROM h, unnest([200, 400]) AS s(span), unnest(range(0, n - span + 1)) AS u(i)),
+twice AS (SELECT span, k FROM starts GROUP BY span, k HAVING count(*) > 1),
+gone AS (SELECT span, doc_id, i FROM starts JOIN twice USING (span, k)),
 touched AS (SELECT doc_id, t, n FROM h WHERE doc_id IN (SELECT doc_id FROM gone)),
-marked AS (SELECT b.doc_id, b.i, b.byte, max(CASE WHEN g.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS 399 PRECEDING) AS gone
-  FROM (SELECT doc_id, i, substr(t, 2 * i + 1, 2) AS byte FROM touched, unnest(range(0, n)) AS u(i)) b LEFT JOIN gone g ON g.doc_id = b.doc_id AND g.i = b.i),
+marked AS (SELECT b.doc_id, b.i, b.byte, max(CASE WHEN g.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS 399 PRECEDING) AS gone,
+    max(CASE WHEN s.i IS NULL THEN 0 ELSE 1 END) OVER (PARTITION BY b.doc_id ORDER BY b.i ROWS 199 PRECEDING) AS shorter
+  FROM (SELECT doc_id, i, substr(t, 2 * i + 1, 2) AS byte FROM touched, unnest(range(0, n)) AS u(i)) b
+  LEFT JOIN gone g ON g.span = 400 AND g.doc_id = b.doc_id AND g.i = b.i LEFT JOIN gone s ON s.span = 200 AND s.doc_id = b.doc_id AND s.i = b.i),
 runs AS (SELECT *, CASE WHEN gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY doc_id ORDER BY i) = 0 THEN 1 ELSE 0 END AS opens FROM marked),
-kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(opens) AS BIGINT) AS n_spans, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS t FROM runs GROUP BY doc_id)
-SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.t, h.t))) AS kept_sha256
+kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(opens) AS BIGINT) AS n_spans, CAST(sum(shorter) AS BIGINT) AS n_shorter, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS t FROM runs GROUP BY doc_id)
+SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.t, h.t))) AS kept_sha256, coalesce(n_shorter, 0) AS n_repeated_200
 FROM h LEFT JOIN kept ON kept.doc_id = h.doc_id"""

@@ -23,13 +23,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, tidy
+from .common import cut, named, row_of, stored, tidy, with_fields
 
 #: Units hashed at a time; an anchor's place takes 20 bits beside its hash.
 BLOCK = 1 << 17
-#: Distinct passages of one anchor that a bucket holds. Windows of larger buckets
-#: are grouped by their 128-bit digests instead, which no single task gathers.
-BUCKET = 4096
+#: Distinct passages of one anchor that a bucket holds. Larger buckets are refined: their
+#: passages are cut into pieces of so many windows, and the pieces put in buckets again.
+BUCKET, STEPS = 1024, (16, 1)
 #: Bytes of distinct passages that one shard of buckets holds.
 SHARD_BYTES = 1 << 20
 #: Bytes of passages that a worker holds before it hands them on.
@@ -152,10 +152,9 @@ def _anchor_batches(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterat
 def keyed(docs: DataFrame, text: str, id_col: str, carry: list[str]) -> DataFrame:
     """doc (NO_ID where null), text (empty where null), absent (whether it was null),
     the text's two hashes, ``row`` with the columns to carry."""
-    t = F.coalesce(F.col(f"`{text}`"), F.lit(""))
+    t = F.coalesce(named(text), F.lit(""))
     sha = F.sha2(t, 256)
-    row = F.struct(*(F.col(f"`{c}`") for c in carry)).alias("row")
-    return docs.select(row, F.coalesce(F.col(f"`{id_col}`").cast("bigint"), F.lit(NO_ID)).alias("doc"), t.alias("text"), F.col(f"`{text}`").isNull().alias("absent"), F.xxhash64(sha).alias("d1"), F.xxhash64(F.lit(7), sha).alias("d2"))
+    return docs.select(row_of(carry), F.coalesce(named(id_col).cast("bigint"), F.lit(NO_ID)).alias("doc"), t.alias("text"), named(text).isNull().alias("absent"), F.xxhash64(sha).alias("d1"), F.xxhash64(F.lit(7), sha).alias("d2"))
 
 
 def anchor_table(rows: DataFrame, units: Units) -> DataFrame:
@@ -168,9 +167,9 @@ def anchor_table(rows: DataFrame, units: Units) -> DataFrame:
 def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFrame:
     """Passages around anchors that stand in two places, one row for each place."""
     each = anchors.select("d1", "d2", F.inline(F.arrays_zip("keys", "lo", "hi", "again"))).withColumnRenamed("keys", "key")
-    two = each.groupBy("key").agg(*(f(c).alias(f"{c}{n}") for c in ("d1", "d2") for n, f in (("a", F.min), ("b", F.max))), F.max("again").alias("again"))
-    two = cut(two.filter("d1a <> d1b OR d2a <> d2b OR again").select("key"))  # so that a hot key's side of the join can be split
-    shared = each.join(two, "key").groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
+    two = each.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("again").alias("again"))
+    two = cut(two.filter("a <> b OR again").select("key"))  # so that a hot key's side of the join can be split
+    shared = each.drop("again").join(two, "key").groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
     shared = shared.join(anchors.select("d1", "d2", F.col("min_doc").alias("doc"), "copies"), ["d1", "d2"])
     texts = rows.select("doc", "text", "d1", "d2").join(shared, ["d1", "d2", "doc"])
 
@@ -202,55 +201,102 @@ def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFram
     return stored(found)
 
 
-def resolved(places: DataFrame, units: Units, decide: Callable[[list[tuple[int, bytes, int, int]]], list[list[tuple[int, int, int]]]], value: F.Column) -> DataFrame:
+def _pieces(units: Units, step: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Cut passages of crowded buckets into pieces of up to ``step`` windows.
+
+    Equal windows stand at one distance from their anchor, so in pieces of one number,
+    and have the units in common that all windows of such a piece share. Bucket, number
+    and these units make up a piece's own bucket.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list] = [[] for _ in PIECES]
+            size = 0
+            for doc, copies, p1, p2, key, anchor, passage in zip(*(batch.column(c).to_pylist() for c in ("doc", "copies", "p1", "p2", "key", "anchor", "passage")), strict=True):
+                sequence = units.split(passage)
+                n = len(sequence) - units.span + 1
+                if anchor is None:  # the bucket's name is the anchor's hash
+                    anchor = int(np.flatnonzero(units.grams(sequence)[: units.span - units.q + 1].view(np.int64) == key)[-1])
+                for number in range(-anchor // step, (n - 1 - anchor) // step + 1):
+                    start = anchor + number * step
+                    first, last = max(0, start), min(n, start + step)
+                    piece = units.join(sequence[first : last - 1 + units.span])
+                    common = sequence[start + step - 1 : start + units.span] if step <= units.span else sequence[:0]
+                    bucket = two_longs(b"%d %d " % (key, number) + units.join(common))[0]
+                    for column, v in zip(out, (doc, copies, p1, p2, first, bucket, *two_longs(piece), anchor - first, piece), strict=True):
+                        column.append(v)
+                    size += len(piece)
+                if size > FLUSH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, PIECES.values(), strict=True)], list(PIECES))
+                    out, size = [[] for _ in PIECES], 0
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, PIECES.values(), strict=True)], list(PIECES))
+        tidy()
+
+    return run
+
+
+#: Columns of a piece: of its passage, its first window there, and its own; ``anchor`` is its anchor's place in it.
+PIECES = dict.fromkeys(("doc", "copies", "p1", "p2"), pa.int64()) | {"at": pa.int32(), "key": pa.int64(), "q1": pa.int64(), "q2": pa.int64(), "anchor": pa.int32(), "passage": pa.binary()}
+
+
+def resolved(places: DataFrame, decide: Callable[[list[tuple[int, bytes, int, int]], int], list[list[tuple[int, int, int]]]], units: Units) -> DataFrame:
     """Runs of windows and their values, for each distinct passage: p1, p2, runs.
 
-    ``decide`` gets whole buckets as (key, passage, smallest id, places) and returns
-    each passage's runs (first, last, value) of window offsets, those to keep only.
-    ``value`` says the same of one window of a larger bucket, from ``least`` (the
-    smallest id over all its places) and ``places``; null where it isn't kept.
+    ``decide`` gets whole buckets as (key, passage, smallest id, places) and a number
+    that tells calls apart, and returns each passage's runs (first, last, value) of
+    window offsets, those to keep only.
+    """
+    distinct = places.groupBy("key", "p1", "p2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"))
+    distinct = stored(distinct.withColumn("anchor", F.lit(None).cast("int")))
+    return _resolved(distinct, decide, units, STEPS)
+
+
+def _resolved(distinct: DataFrame, decide: Callable, units: Units, steps: tuple[int, ...]) -> DataFrame:
+    """Decide on buckets; crowded ones are refined to buckets of pieces first, by ``steps``.
+
+    Pieces of one window have buckets that hold nothing but that window, so the last
+    step leaves none crowded.
     """
-    spark = places.sparkSession
-    distinct = stored(places.groupBy("key", "p1", "p2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies")))
+    spark = distinct.sparkSession
     total = distinct.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
     shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
-    crowded = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("key"))
+    level = len(steps)
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("p1", "ascending")])
         rows = list(zip(table["key"].to_pylist(), table["passage"].to_pylist(), table["doc"].to_pylist(), table["copies"].to_pylist(), strict=True))
-        runs = [[dict(zip(("first", "last", "value"), r, strict=True)) for r in x] for x in decide(rows)]
+        runs = [[dict(zip(("first", "last", "value"), r, strict=True)) for r in x] for x in decide(rows, level << 28 | table["shard"][0].as_py())]
         kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("value", pa.int64())]))
         out = pa.table({"p1": table["p1"], "p2": table["p2"], "runs": pa.array(runs, kind)})
         tidy()
         return out.filter(pa.compute.greater(pa.compute.list_value_length(out["runs"]), 0))
 
-    bounded = distinct.join(crowded, "key", "left_anti").withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
-    small = bounded.groupBy("shard").applyInArrow(shard, f"p1 bigint, p2 bigint, runs {RUNS}")
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["p1", "p2", "doc", "copies", "at", "w1", "w2"]
-        for batch in batches:
-            for r in range(batch.num_rows):
-                sequence = units.split(batch.column("passage")[r].as_py())
-                n = len(sequence) - units.span + 1
-                ws = [units.join(sequence[i : i + units.span]) for i in range(n)]
-                w1, w2 = zip(*map(two_longs, ws), strict=True)
-                fixed = [pa.array([batch.column(c)[r].as_py()] * n, pa.int64()) for c in names[:4]]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(range(n), pa.int32()), pa.array(w1, pa.int64()), pa.array(w2, pa.int64())], names)
-
-    each = distinct.join(crowded, "key", "left_semi").mapInArrow(windows, "p1 bigint, p2 bigint, doc bigint, copies bigint, at int, w1 bigint, w2 bigint")
-    grouped = each.groupBy("w1", "w2").agg(F.min("doc").alias("least"), F.sum("copies").alias("places"))
-    grouped = grouped.withColumn("value", value).filter("value IS NOT NULL").select("w1", "w2", "value")
-    large = each.join(grouped, ["w1", "w2"]).groupBy("p1", "p2").agg(F.collect_list(F.struct(F.col("at").alias("first"), F.col("at").alias("last"), "value")).cast(RUNS).alias("runs"))
-    return small.unionAll(large)
+    bounded, crowded = distinct, None
+    if steps:
+        crowded = cut(distinct.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > BUCKET).select("key"))
+        if crowded.isEmpty():
+            crowded = None
+        else:
+            bounded = distinct.join(crowded, "key", "left_anti")
+    sharded = bounded.withColumn("shard", F.pmod(F.xxhash64("key"), F.lit(shards)).cast("int"))
+    small = sharded.groupBy("shard").applyInArrow(shard, f"p1 bigint, p2 bigint, runs {RUNS}")
+    if crowded is None:
+        return small
+    pieces = stored(distinct.join(crowded, "key").mapInArrow(_pieces(units, steps[0]), "doc bigint, copies bigint, p1 bigint, p2 bigint, at int, key bigint, q1 bigint, q2 bigint, anchor int, passage binary"))
+    own = stored(pieces.groupBy("key", "q1", "q2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"), F.first("anchor").alias("anchor")).withColumnsRenamed({"q1": "p1", "q2": "p2"}))
+    inner = cut(_resolved(own, decide, units, steps[1:])).withColumnsRenamed({"p1": "q1", "p2": "q2"})
+    each = pieces.select("p1", "p2", "at", "q1", "q2").join(inner, ["q1", "q2"]).select("p1", "p2", "at", F.inline("runs"))
+    moved = F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"), "value")
+    return small.unionAll(each.groupBy("p1", "p2").agg(F.collect_list(moved).alias("runs")))
 
 
 def located(places: DataFrame, runs: DataFrame, keep: F.Column) -> DataFrame:
-    """Windows to remove, for each distinct text: d1, d2, windows (first and last start)."""
-    each = places.select("d1", "d2", "doc", "lo", "p1", "p2").join(runs, ["p1", "p2"]).select("d1", "d2", "doc", "lo", F.inline("runs"))
-    kept = each.filter(keep).select("d1", "d2", F.struct((F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last")).alias("w"))
-    return kept.groupBy("d1", "d2").agg(F.collect_list("w").alias("windows"))
+    """Windows that are kept, for each distinct text: d1, d2, copies, windows (first and
+    last start, value)."""
+    each = places.select("d1", "d2", "copies", "doc", "lo", "p1", "p2").join(runs, ["p1", "p2"]).select("d1", "d2", "copies", "doc", "lo", F.inline("runs"))
+    window = F.struct((F.col("lo") + F.col("first")).alias("first"), (F.col("lo") + F.col("last")).alias("last"), "value")
+    return each.filter(keep).groupBy("d1", "d2").agg(F.first("copies").alias("copies"), F.collect_list(window).alias("windows"))
 
 
 def covered(windows: list[dict] | None, span: int) -> list[tuple[int, int]]:
@@ -264,33 +310,43 @@ def covered(windows: list[dict] | None, span: int) -> list[tuple[int, int]]:
     return out
 
 
-def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Units, whole: F.Column, with_kept: bool) -> DataFrame:
+def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Units, whole: F.Column, with_kept: bool, shorter: DataFrame | None = None, shorter_span: int = 0) -> DataFrame:
     """Each row's n_units, n_removed, n_spans, kept_sha256 and, if asked for, the kept text.
 
     The digest is of the kept bytes, those of a null text are none; in the text a character that a cut goes through
     is left out.
 
     ``whole`` says of a row with doc, min_doc and copies that all its windows go.
+    n_shorter is what ``shorter`` windows of ``shorter_span`` units cover; null if not given.
     """
-    marks = anchors.select("d1", "d2", "min_doc", "copies").join(windows, ["d1", "d2"], "left")
-    marked = rows.join(marks, ["d1", "d2"], "left").select("row", "text", "absent", F.coalesce(whole, F.lit(False)).alias("whole"), "windows")
-    row = marked.schema["row"].dataType.simpleString()
+    marks = anchors.select("d1", "d2", "min_doc", "copies").join(windows.select("d1", "d2", "windows"), ["d1", "d2"], "left")
+    other = F.lit(None).cast("array<struct<first:int,last:int>>")
+    if shorter is not None:
+        marks, other = marks.join(shorter.select("d1", "d2", F.col("windows").alias("shorter")), ["d1", "d2"], "left"), F.col("shorter")
+    marks = marks.withColumn("shorter", other)
+    marked = rows.join(marks, ["d1", "d2"], "left").select("row", "text", "absent", F.coalesce(whole, F.lit(False)).alias("whole"), "windows", "shorter")
+    names = ["n_units", "n_removed", "n_spans", "kept_sha256", "kept", "n_shorter"]
+    kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
+    asked = shorter is not None
+
+    def covers(all_: bool, found: list[dict] | None, n: int, span: int) -> list[tuple[int, int]]:
+        return ([(0, n)] if n >= span else []) if all_ else covered(found, span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[], [], [], [], []]
-            for t, absent, all_, found in zip(*(batch.column(c) for c in ("text", "absent", "whole", "windows")), strict=True):
+            out: list[list] = [[] for _ in names]
+            for t, absent, all_, found, less in zip(*(batch.column(c) for c in ("text", "absent", "whole", "windows", "shorter")), strict=True):
                 data = t.as_py().encode()
                 sequence = units.split(data)
                 n = len(sequence)
-                spans = [(0, n)] if all_.as_py() else covered(found.as_py(), units.span)
+                spans = covers(all_.as_py(), found.as_py(), n, units.span)
+                n_shorter = sum(b - a for a, b in covers(all_.as_py(), less.as_py(), n, shorter_span)) if asked else None
                 kept = sequence[:0]
                 for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), n], strict=True):
                     kept += sequence[a:b]
                 kept = units.join(kept)
-                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept and not absent.as_py() else None), strict=True):
+                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept and not absent.as_py() else None, n_shorter), strict=True):
                     column.append(v)
-            columns = [pa.array(c, k) for c, k in zip(out, [pa.int64()] * 3 + [pa.string(), pa.string()], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), *columns], ["row", "n_units", "n_removed", "n_spans", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["row", *names])
 
-    return marked.mapInArrow(run, f"row {row}, n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string")
+    return marked.mapInArrow(run, with_fields(marked, ["row"], "n_units bigint, n_removed bigint, n_spans bigint, kept_sha256 string, kept string, n_shorter bigint"))

@@ -4,21 +4,32 @@ Passages around shared anchors (``passages``) are put in buckets by anchor hash,
 equal strings are always in one shard. A shard sorts the suffixes of its passages:
 initial buckets are q-grams of 8 bytes, and a bucket is refined by sorting on the
 bucket identifiers that its suffixes have d bytes on. Refined identifiers are the
-pointers of the next round, so the depth doubles: 8, 16, ... 256, and 400 as
-256 + 128 + 16. Buckets of one suffix are final and leave the sort.
+pointers of the next round, so the depth doubles: 8, 16, ... 128, and 200 as
+128 + 64 + 8. Buckets of one suffix are final and leave the sort.
+
+The last round goes over the corpus: strings of 400 bytes are pairs of pointers to
+strings of 200, those at their start and 200 bytes on.
 """
 
 from __future__ import annotations
 
+import dataclasses
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import passages
-from .common import read_table
+from .common import cut, read_table, stored
 from .passages import Units, mix
 
 SPAN = 400
+#: Bytes of repeated strings that are counted too, and that strings of SPAN bytes are refined from: most
+#: passages of fifty words have more than these, about half of them less than SPAN.
+SHORTER = 200
 
 
 def _grams8(data: bytes, order: str) -> np.ndarray:
@@ -59,8 +70,9 @@ def refine(ids: np.ndarray, valid: np.ndarray, offset: int, pointers: np.ndarray
     return refined, buckets + len(names)
 
 
-def repeated(texts: list[bytes], span: int) -> list[np.ndarray]:
-    """For each text, whether the string of ``span`` bytes at each place starts elsewhere too."""
+def pointers(texts: list[bytes], span: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """For each text and each place of a string of ``span`` bytes: the final bucket's first
+    place in all texts joined, and whether the bucket has another place."""
     sizes = np.array([len(t) for t in texts])
     ends = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)
     at = np.arange(len(ends), dtype=np.int32)
@@ -80,49 +92,119 @@ def repeated(texts: list[bytes], span: int) -> list[np.ndarray]:
             step, depth = 8, span - 8
         ids, buckets = refine(ids, windows, depth, levels[step], buckets)
         depth += step
-    twice = np.zeros(len(ends), bool)
+    twice, first = np.zeros(len(ends), bool), at.astype(np.int64)
     twice[windows] = np.bincount(ids[windows], minlength=buckets)[ids[windows]] > 1
+    least = np.zeros(buckets, np.int64)
+    least[ids[windows][::-1]] = windows[::-1]
+    first[windows] = least[ids[windows]]
     bounds = np.cumsum([0, *sizes])
-    return [twice[a : max(a, b - span + 1)] for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    cut = [(a, max(a, b - span + 1)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+    return [first[a:b] for a, b in cut], [twice[a:b] for a, b in cut]
+
+
+def repeated(texts: list[bytes], span: int) -> list[np.ndarray]:
+    """For each text, whether the string of ``span`` bytes at each place starts elsewhere too."""
+    return pointers(texts, span)[1]
 
 
 def _decide(span: int):
-    def decide(rows: list[tuple[int, bytes, int, int]]) -> list[list[tuple[int, int, int]]]:
+    def decide(rows: list[tuple[int, bytes, int, int]], number: int) -> list[list[tuple[int, int, int]]]:
+        """Runs of strings that stand in two places; values are pointers, equal for equal strings
+        only, and count up along a run. A passage alone in its bucket has no two equal strings."""
         keys, counts = np.unique(np.array([r[0] for r in rows], np.int64), return_counts=True)
         alone = set(keys[counts == 1].tolist())
-        runs: list[list[tuple[int, int, int]]] = []
-        sort = []
-        for i, (key, passage, _, copies) in enumerate(rows):
-            runs.append([(0, len(passage) - span, 2)] if copies > 1 else [])
-            if copies == 1 or key not in alone:
-                sort.append(i)
-        for i, twice in zip(sort, repeated([rows[i][1] for i in sort], span) if sort else [], strict=True):
-            if rows[i][3] == 1:
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], twice.view(np.int8), [0]])))
-                runs[i] = [(int(a), int(b) - 1, 2) for a, b in zip(edge[::2], edge[1::2], strict=True)]
+        sort = [i for i, r in enumerate(rows) if r[0] not in alone]
+        starts = np.cumsum([0, *(len(r[1]) for r in rows)])
+        place = np.concatenate([*(np.arange(starts[i], starts[i + 1]) for i in sort), np.empty(0, np.int64)])
+        own = (number << 32) + starts
+        runs: list[list[tuple[int, int, int]]] = [[(0, len(passage) - span, int(own[i]))] if copies > 1 and key in alone else [] for i, (key, passage, _, copies) in enumerate(rows)]
+        if sort:
+            for i, first, twice in zip(sort, *pointers([rows[i][1] for i in sort], span), strict=True):
+                keep = np.flatnonzero(twice | (rows[i][3] > 1))
+                values = (number << 32) + place[first[keep]]
+                cuts = np.flatnonzero((np.diff(keep) != 1) | (np.diff(values) != 1)) + 1
+                runs[i] = [(int(k[0]), int(k[-1]), int(v[0])) for k, v in zip(np.split(keep, cuts), np.split(values, cuts), strict=True) if len(k)]
         return runs
 
     return decide
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, with_kept: bool = True) -> DataFrame:
+def _later(offset: int):
+    """Strings of which both the one at their start and the one ``offset`` bytes on repeat."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[np.ndarray] = []
+            for row, windows in enumerate(batch.column("windows").to_pylist()):
+                first, last, value = np.array(sorted((w["first"], w["last"], w["value"]) for w in windows), np.int64).T
+                at = np.unique(np.concatenate([first, last + 1, first - offset, last + 1 - offset]))
+                stop = at[1:]
+                i, j = np.searchsorted(first, at[:-1], "right") - 1, np.searchsorted(first, at[:-1] + offset, "right") - 1
+                both = (i >= 0) & (j >= 0) & (at[:-1] <= last[i]) & (at[:-1] + offset <= last[j])
+                at, stop, i, j = at[:-1][both], stop[both], i[both], j[both]
+                a, b = value[i] + at - first[i], value[j] + at + offset - first[j]
+                out.append(np.stack([np.full(len(at), row), at, a, b - a, stop - at]))
+            found = np.concatenate([*out, np.empty((5, 0), np.int64)], axis=1)
+            columns = [*(batch.column(c).take(pa.array(found[0])) for c in ("d1", "d2", "copies")), pa.array(found[1].astype(np.int32)), pa.array(found[2]), pa.array(found[3]), pa.array(found[4].astype(np.int32))]
+            yield pa.RecordBatch.from_arrays(columns, ["d1", "d2", "copies", "first", "value", "apart", "n"])
+
+    return run
+
+
+#: Pointers that one cell counts places of, as a power of two.
+_CELL = 12
+
+
+def refined(windows: DataFrame, offset: int) -> DataFrame:
+    """Windows of repeated strings that are ``offset`` bytes longer: d1, d2, windows.
+
+    ``windows`` has the pointers of the shorter strings, as ``located`` returns them. A
+    longer string is known by two of them: at its start and ``offset`` bytes on. Runs of
+    such pairs lie on lines of one difference; pairs that two places have are where runs
+    overlap, counted in cells of a line.
+    """
+    pairs = windows.select("d1", "d2", "copies", "windows").mapInArrow(_later(offset), "d1 bigint, d2 bigint, copies bigint, first int, value bigint, apart bigint, n int")
+    cell = F.explode(F.sequence(F.shiftright("value", _CELL), F.shiftright(F.col("value") + F.col("n") - 1, _CELL))).alias("cell")
+    base = F.shiftleft("cell", _CELL)
+    each = pairs.select("*", cell)
+    each = stored(each.select("d1", "d2", "copies", "apart", "cell", (F.col("first") + F.greatest(F.lit(0), base - F.col("value"))).cast("int").alias("first"), F.greatest(F.lit(0), F.col("value") - base).cast("int").alias("a"), F.least(F.lit((1 << _CELL) - 1), F.col("value") - base + F.col("n") - 1).cast("int").alias("z")))
+    ends = each.groupBy("apart", "cell", "a", "z").agg(F.sum("copies").alias("n")).select("apart", "cell", F.inline(F.array(F.struct(F.col("a").alias("x"), F.col("n")), F.struct((F.col("z") + 1).alias("x"), (-F.col("n")).alias("n")))))
+    ends = ends.groupBy("apart", "cell", "x").agg(F.sum("n").alias("n"))
+    line = Window.partitionBy("apart", "cell").orderBy("x")
+    over = ends.select("apart", "cell", "x", F.lead("x").over(line).alias("stop"), F.sum("n").over(line).alias("places")).filter("places > 1")
+    over = cut(over.groupBy("apart", "cell").agg(F.collect_list(F.struct("x", (F.col("stop") - 1).alias("z"))).alias("over")))
+    twice = each.join(over, ["apart", "cell"]).select("d1", "d2", "first", "a", "z", F.explode("over").alias("o")).filter("o.x <= z AND o.z >= a")
+    moved = F.struct((F.col("first") + F.greatest(F.col("o.x"), F.col("a")) - F.col("a")).alias("first"), (F.col("first") + F.least(F.col("o.z"), F.col("z")) - F.col("a")).alias("last"))
+    return twice.groupBy("d1", "d2").agg(F.collect_list(moved).alias("windows"))
+
+
+def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, with_kept: bool = True, shorter: int | None = None) -> DataFrame:
     """Remove every byte that a string of ``span`` bytes covers which also starts elsewhere.
 
     Returns ``row`` (a struct of the ``carry`` columns, all by default), n_units
-    (bytes), n_removed, n_spans, kept_sha256 and kept. Null text is empty; texts of
-    under ``span`` bytes stay. Repeated rows and equal texts lose everything from
-    ``span`` bytes on, in every copy; null ids change nothing. Columns may have any
+    (bytes), n_removed, n_spans, kept_sha256, kept and n_shorter. Null text is empty;
+    texts of under ``span`` bytes stay. Repeated rows and equal texts lose everything
+    from ``span`` bytes on, in every copy; null ids change nothing. Columns may have any
     names: they travel inside ``row``.
+
+    With ``shorter`` (half of ``span`` to all of it), strings of so many bytes are
+    looked for first and those of ``span`` bytes are refined from them; n_shorter says
+    how many bytes a removal of ``shorter`` would take. Without it n_shorter is null.
     """
-    units = byte_units(span)
+    if shorter is not None and not span <= 2 * shorter <= 2 * span:
+        raise ValueError("a shorter span is half of the span at least, and not longer")
+    units = byte_units(shorter or span)
     rows = passages.keyed(docs, text, id_col, docs.columns if carry is None else carry)
     anchors = passages.anchor_table(rows, units)
     places = passages.passage_table(rows, anchors, units)
-    runs = passages.resolved(places, units, _decide(span), F.when(F.col("places") > 1, F.lit(2).cast("bigint")))
-    windows = passages.located(places, runs, F.lit(True))
-    return passages.without(rows, anchors, windows, units, F.col("copies") > 1, with_kept)
+    windows = passages.located(places, passages.resolved(places, _decide(units.span), units), F.lit(True))
+    whole = F.col("copies") > 1
+    if shorter is None:
+        return passages.without(rows, anchors, windows, units, whole, with_kept)
+    windows = stored(windows)
+    return passages.without(rows, anchors, refined(windows, span - shorter), dataclasses.replace(units, span=span), whole, with_kept, windows, shorter)
 
 
 def op10_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = remove_repeats(read_table(spark, sf_dir, "documents"), carry=["doc_id"], with_kept=False)
-    return out.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256")
+    out = remove_repeats(read_table(spark, sf_dir, "documents"), carry=["doc_id"], with_kept=False, shorter=SHORTER)
+    return out.select("row.doc_id", F.col("n_units").alias("n_bytes"), "n_removed", "n_spans", "kept_sha256", F.col("n_shorter").alias(f"n_repeated_{SHORTER}"))

@@ -1,12 +1,15 @@
 """The pipeline's stages, each on its own input."""
 
 import collections
+import random
+import string
 
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline as cp
 from brightloom.llm import language, packing
+from tests.llm.test_substrings import _each
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -28,7 +31,13 @@ def test_stages_are_as_contracted():
 
 def test_language_stage_keeps_what_is_like_a_language(spark, docs, sf_dir):
     odd = spark.createDataFrame([(-1, None, None, "s", 0), (-2, "123 --", "en", None, 6), (-3, "", "en", "s", 0), (None, "and the of words that", None, None, 21)], SCHEMA)
-    out = STAGES["language ID"](spark, docs.unionByName(odd), sf_dir)
+    rnd = random.Random(3)
+    letters = " ".join("".join(rnd.choice(string.ascii_lowercase) for _ in range(rnd.randint(2, 9))) for _ in range(300))
+    polish = "W wyniku tego posiedzenia postanowiono, że wszyscy uczestnicy będą zobowiązani do przestrzegania zasad, które zostały przyjęte w zeszłym roku przez zarząd spółki."
+    finnish = "Kaikki ihmiset syntyvät vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan. Heille on annettu järki ja omatunto."
+    russian = "Все счастливые семьи похожи друг на друга, каждая несчастливая семья несчастлива по-своему."
+    foreign = spark.createDataFrame([(-10 - i, t, None, "s", len(t)) for i, t in enumerate((letters, polish, finnish, russian))], SCHEMA)
+    out = STAGES["language ID"](spark, docs.unionByName(odd).unionByName(foreign), sf_dir)
     assert out.columns == COLUMNS and ids(out) == ids(docs) + collections.Counter([None])
 
 
@@ -48,7 +57,15 @@ def test_repeated_strings_are_cut(spark, docs, sf_dir):
     out = {r.doc_id: r for r in STAGES["suffix-array dedup"](spark, odd, sf_dir).collect()}
     assert (out[-1].text, out[-2].text, out[-4].text, out[-5].text) == ("startone", "begintwo", None, "") or (out[-1].text.split(), out[-2].text.split()) == (["start", "one"], ["begin", "two"])
     assert -3 not in out and out[-1].n_chars == len(out[-1].text) and out[-4].n_chars is None
+    short = " ".join(f"word{i}" for i in range(51))
+    two = spark.createDataFrame([(-1, "one side " + short + " x", "en", "s", 1), (-2, "another " + short, "en", "s", 1), (-3, "left alone " + short[:150], "en", "s", 1)], SCHEMA)
+    out = {r.doc_id: r.text for r in STAGES["suffix-array dedup"](spark, two, sf_dir).collect()}
+    assert out[-1].split() == ["one", "side", "x"] and out[-2].split() == ["another"] and out[-3] == "left alone " + short[:150]
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = STAGES["suffix-array dedup"](spark, docs, sf_dir)
+    whole = {d: (n, gone) for d, n, gone, _, _ in _each(rows, cp.REPEATED)[0]}
+    assert set(ids(kept)) == {d for d, (n, gone) in whole.items() if gone < n or not n}
+    assert {r.doc_id for r in kept.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").filter("text <> old").collect()} == {d for d, (n, gone) in whole.items() if 0 < gone < n}
     assert kept.columns == COLUMNS and not ids(kept) - ids(docs)
     assert kept.filter(F.length("text") != F.col("n_chars")).count() == 0
 
@@ -62,6 +79,14 @@ def test_benchmark_copies_go_and_the_rest_stays(spark, docs, sf_dir):
     assert out.columns == COLUMNS and len(gone) < 0.1 * len(text)
 
 
+def test_any_column_names(spark, sf_dir):
+    names = ["my col", "a-b", "a.b", "_", "row", "text ", "c"]
+    docs = spark.createDataFrame([(i, f"the {x} of words that were written by somebody", "en", "s", 9, *names) for i, x in enumerate("abcdefg")], ["doc_id", "text", "lang", "source", "n_chars", *names])
+    for name, stage in cp.STAGES[:-1]:
+        out = stage(spark, docs, sf_dir)
+        assert out.columns == docs.columns and out.count() >= 1, name
+
+
 def test_run(spark, sf_dir):
     out = cp.run(spark, sf_dir)
     load = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()

@@ -13,24 +13,6 @@ from brightloom.llm import automata, passages, suffix_array
 from brightloom.llm.passages import NO_ID
 
 
-def brute_bytes(rows, span):
-    count = collections.Counter()
-    for _, t in rows:
-        b = (t or "").encode()
-        count.update(b[i : i + span] for i in range(len(b) - span + 1))
-    out = collections.Counter()
-    for d, t in rows:
-        b = (t or "").encode()
-        gone = bytearray(len(b))
-        for i in range(len(b) - span + 1):
-            if count[b[i : i + span]] > 1:
-                gone[i : i + span] = b"\1" * span
-        kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
-        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
-        out[d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()] += 1
-    return out
-
-
 def brute_words(rows, span):
     least = {}
     for d, t in rows:
@@ -72,19 +54,60 @@ def corpus(seed):
     return rows
 
 
-@pytest.mark.parametrize("bucket", [4096, 2])
+def brute_shorter(rows, span, shorter):
+    """``brute_bytes``, and how much the shorter span would take."""
+    less = {(d, n, h): gone for (d, n, gone, _, _), h in zip(*_each(rows, shorter), strict=True)}
+    return collections.Counter((*x, less[x[0], x[1], h]) for x, h in zip(*_each(rows, span), strict=True))
+
+
+def _each(rows, span):
+    """The brute-force row of each row, and its text."""
+    count, out = collections.Counter(), []
+    for _, t in rows:
+        b = (t or "").encode()
+        count.update(b[i : i + span] for i in range(len(b) - span + 1))
+    for d, t in rows:
+        b = (t or "").encode()
+        gone = bytearray(len(b))
+        for i in range(len(b) - span + 1):
+            if count[b[i : i + span]] > 1:
+                gone[i : i + span] = b"\1" * span
+        kept = bytes(x for x, y in zip(b, gone, strict=True) if not y)
+        spans = sum(1 for i in range(len(b)) if gone[i] and (i == 0 or not gone[i - 1]))
+        out.append((d, len(b), sum(gone), spans, hashlib.sha256(kept).hexdigest()))
+    return out, [t for _, t in rows]
+
+
+def brute_bytes(rows, span):
+    return collections.Counter(_each(rows, span)[0])
+
+
+@pytest.mark.parametrize("bucket", [1024, 2])
 def test_both_removals_equal_brute_force(spark, monkeypatch, bucket):
     monkeypatch.setattr(passages, "BUCKET", bucket)
+    if bucket == 2:
+        monkeypatch.setattr(suffix_array, "_CELL", 3)
     rows = corpus(5)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     for span in (40, 101):
         got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.remove_repeats(docs, span).collect())
         assert got == brute_bytes(rows, span)
+    for span, shorter in ((101, 60), (68, 34), (120, 64)):
+        got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256, r.n_shorter) for r in suffix_array.remove_repeats(docs, span, shorter=shorter).collect())
+        assert got == brute_shorter(rows, span, shorter)
     for span in (10, 17):
         got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.kept_sha256) for r in automata.remove_repeats(docs, span).collect())
         assert got == brute_words(rows, span)
 
 
+def test_any_column_names(spark):
+    names = ["my col", "a-b", "a.b", "_", "row", "text ", "c`d", "doc"]
+    docs = spark.createDataFrame([(1, "x y", *names), (2, None, *names)], ["doc_id", "text", *names])
+    for module in (automata, suffix_array):
+        out = module.remove_repeats(docs).collect()
+        assert {tuple(r.row) for r in out} == {(1, "x y", *names), (2, None, *names)}
+
+
 def test_empty_table_and_clashing_columns(spark):
     schema = "doc_id long, text string, d1 string, n_removed string, row string"
     for module in (automata, suffix_array):
@@ -95,7 +118,7 @@ def test_empty_table_and_clashing_columns(spark):
 
 def test_queries_on_the_table(spark, sf_dir):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    assert collections.Counter(map(tuple, suffix_array.op10_suffix_array_dedup(spark, sf_dir).collect())) == brute_bytes(rows, 400)
+    assert collections.Counter(map(tuple, suffix_array.op10_suffix_array_dedup(spark, sf_dir).collect())) == brute_shorter(rows, 400, 200)
     assert collections.Counter(map(tuple, automata.op8_substring_dedup(spark, sf_dir).collect())) == brute_words(rows, 50)
 
 

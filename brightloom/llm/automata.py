@@ -169,19 +169,21 @@ def _decide(span: int):
             found.append([(a, b, least) for a, b, least in runs])
         return found
 
-    def decide(rows: list[tuple[int, bytes, int, int]], number: int) -> list[list[tuple[int, int, int]]]:
+    def decide(keys: np.ndarray, passages_: list[bytes], docs: np.ndarray, copies: np.ndarray, number: int) -> tuple[np.ndarray, ...]:
         out: list[list[tuple[int, int, int]]] = []
         held: list[tuple[int, list[bytes], int]] = []
         size = 0
         same: dict[bytes, bytes] = {}
-        for key, passage, doc, _ in rows:
+        for key, passage, doc in zip(keys.tolist(), passages_, docs.tolist(), strict=True):
             words = [same.setdefault(w, w) for w in passage.split()]
             if held and held[-1][0] != key and size + len(words) > AUTOMATON_WORDS:
                 out += shard(held)
                 held, size = [], 0
             held.append((key, words, doc))
             size += len(words)
-        return out + (shard(held) if held else [])
+        out += shard(held)
+        found = np.array([(i, *run) for i, runs in enumerate(out) for run in runs], np.int64).reshape(-1, 4)
+        return tuple(found.T)
 
     return decide
 

@@ -58,6 +58,18 @@ def two_longs(data: bytes) -> tuple[int, int]:
     return (h >> 64) - (1 << 63), (h & ((1 << 64) - 1)) - (1 << 63)
 
 
+def lists(column: pa.ListArray, fields: tuple[str, ...]) -> Iterator[list[np.ndarray] | None]:
+    """The fields of each row's list of structs, as arrays; None where the list is null."""
+    if not len(column):
+        return
+    offsets = column.offsets.to_numpy()
+    values = column.values
+    flat = [values.field(f).to_numpy(zero_copy_only=False) for f in fields]
+    valid = column.is_valid().to_numpy(zero_copy_only=False)
+    for ok, a, b in zip(valid.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        yield [x[a:b] for x in flat] if ok else None
+
+
 @dataclass(frozen=True)
 class Units:
     """How texts are cut into units. ``span`` units make a window, ``q`` a q-gram."""
@@ -136,13 +148,14 @@ def _anchor_batches(units: Units) -> Callable[[Iterator[pa.RecordBatch]], Iterat
                 continue
             rows = sorted(found)
             per = [[np.concatenate(x) for x in zip(*found[r], strict=True)] for r in rows]
-            repeats = []
-            for keys, _, _ in per:
-                _, back, count = np.unique(keys, return_inverse=True, return_counts=True)
-                repeats.append(count[back] > 1)
+            all_keys, owner = np.concatenate([p[0] for p in per]), np.repeat(np.arange(len(per)), [len(p[0]) for p in per])
+            order = np.lexsort((all_keys, owner))
+            same = (np.diff(all_keys[order].view(np.int64)) == 0) & (np.diff(owner[order]) == 0)
+            again = np.zeros(len(order), bool)
+            again[order[1:][same]] = again[order[:-1][same]] = True
             offsets = pa.array(np.cumsum([0, *(len(p[0]) for p in per)]), pa.int32())
             as_list = lambda parts, kind: pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(parts).astype(kind)))
-            lists = [as_list([p[0].view(np.int64) for p in per], np.int64), as_list([p[1] for p in per], np.int32), as_list([p[2] for p in per], np.int32), as_list(repeats, bool)]
+            lists = [as_list([p[0].view(np.int64) for p in per], np.int64), as_list([p[1] for p in per], np.int32), as_list([p[2] for p in per], np.int32), as_list([again], bool)]
             taken = batch.take(pa.array(rows))
             yield pa.RecordBatch.from_arrays([taken.column("doc"), taken.column("d1"), taken.column("d2"), *lists], ["doc", "d1", "d2", "keys", "lo", "hi", "again"])
 
@@ -183,12 +196,12 @@ def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFram
         out: list[tuple] = []
         size = 0
         for batch in batches:
-            for d1, d2, doc, copies, t, places in zip(*(batch.column(c) for c in ("d1", "d2", "doc", "copies", "text", "places")), strict=True):
-                fixed = (d1.as_py(), d2.as_py(), doc.as_py(), copies.as_py())
+            fixed_ = zip(*(batch.column(c).to_pylist() for c in ("d1", "d2", "doc", "copies")), strict=True)
+            for fixed, t, places in zip(fixed_, batch.column("text"), lists(batch.column("places"), ("key", "lo", "hi")), strict=True):
                 sequence = units.split(t.as_py().encode())
-                for p in places.as_py():
-                    passage = units.join(sequence[p["lo"] : p["hi"] + units.span])
-                    out.append((*fixed, p["lo"], p["key"], *two_longs(passage), passage))
+                for key, lo, hi in zip(*(x.tolist() for x in places), strict=True):
+                    passage = units.join(sequence[lo : hi + units.span])
+                    out.append((*fixed, lo, key, *two_longs(passage), passage))
                     size += len(passage)
                     if size > FLUSH_BYTES:
                         yield batch_of(out)
@@ -240,12 +253,12 @@ def _pieces(units: Units, step: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 PIECES = dict.fromkeys(("doc", "copies", "p1", "p2"), pa.int64()) | {"at": pa.int32(), "key": pa.int64(), "q1": pa.int64(), "q2": pa.int64(), "anchor": pa.int32(), "passage": pa.binary()}
 
 
-def resolved(places: DataFrame, decide: Callable[[list[tuple[int, bytes, int, int]], int], list[list[tuple[int, int, int]]]], units: Units) -> DataFrame:
+def resolved(places: DataFrame, decide: Callable[..., tuple[np.ndarray, ...]], units: Units) -> DataFrame:
     """Runs of windows and their values, for each distinct passage: p1, p2, runs.
 
-    ``decide`` gets whole buckets as (key, passage, smallest id, places) and a number
-    that tells calls apart, and returns each passage's runs (first, last, value) of
-    window offsets, those to keep only.
+    ``decide`` gets whole buckets as keys, passages, smallest ids, places, and a number
+    that tells calls apart, and returns runs of window offsets, those to keep only, as
+    passage (its place among them, ascending), first, last and value.
     """
     distinct = places.groupBy("key", "p1", "p2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"))
     distinct = stored(distinct.withColumn("anchor", F.lit(None).cast("int")))
@@ -265,12 +278,13 @@ def _resolved(distinct: DataFrame, decide: Callable, units: Units, steps: tuple[
 
     def shard(table: pa.Table) -> pa.Table:
         table = table.sort_by([("key", "ascending"), ("p1", "ascending")])
-        rows = list(zip(table["key"].to_pylist(), table["passage"].to_pylist(), table["doc"].to_pylist(), table["copies"].to_pylist(), strict=True))
-        runs = [[dict(zip(("first", "last", "value"), r, strict=True)) for r in x] for x in decide(rows, level << 28 | table["shard"][0].as_py())]
-        kind = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("value", pa.int64())]))
-        out = pa.table({"p1": table["p1"], "p2": table["p2"], "runs": pa.array(runs, kind)})
+        numbers = [table[c].to_numpy() for c in ("key", "doc", "copies")]
+        row, first, last, value = decide(numbers[0], table["passage"].to_pylist(), *numbers[1:], level << 28 | table["shard"][0].as_py())
+        own, at = np.unique(row, return_index=True)
+        runs = pa.StructArray.from_arrays([pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(value.astype(np.int64))], ["first", "last", "value"])
+        out = pa.table({c: table[c].take(pa.array(own)) for c in ("p1", "p2")} | {"runs": pa.ListArray.from_arrays(pa.array(np.append(at, len(row)).astype(np.int32)), runs)})
         tidy()
-        return out.filter(pa.compute.greater(pa.compute.list_value_length(out["runs"]), 0))
+        return out
 
     bounded, crowded = distinct, None
     if steps:
@@ -299,15 +313,14 @@ def located(places: DataFrame, runs: DataFrame, keep: F.Column) -> DataFrame:
     return each.filter(keep).groupBy("d1", "d2").agg(F.first("copies").alias("copies"), F.collect_list(window).alias("windows"))
 
 
-def covered(windows: list[dict] | None, span: int) -> list[tuple[int, int]]:
-    """Maximal runs [from, to) of units that the windows cover."""
-    out: list[tuple[int, int]] = []
-    for first, last in sorted((w["first"], w["last"]) for w in windows or ()):
-        if out and first <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], last + span))
-        else:
-            out.append((first, last + span))
-    return out
+def covered(windows: list[np.ndarray] | None, span: int) -> list[tuple[int, int]]:
+    """Maximal runs [from, to) of units that windows, given by first and last starts, cover."""
+    if windows is None or not len(windows[0]):
+        return []
+    order = np.argsort(windows[0], kind="stable")
+    first, end = windows[0][order], np.maximum.accumulate(windows[1][order]) + span
+    new = np.flatnonzero(np.concatenate([[True], first[1:] > end[:-1]]))
+    return list(zip(first[new].tolist(), end[np.append(new[1:], len(end)) - 1].tolist(), strict=True))
 
 
 def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Units, whole: F.Column, with_kept: bool, shorter: DataFrame | None = None, shorter_span: int = 0) -> DataFrame:
@@ -329,23 +342,25 @@ def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Unit
     kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
     asked = shorter is not None
 
-    def covers(all_: bool, found: list[dict] | None, n: int, span: int) -> list[tuple[int, int]]:
+    def covers(all_: bool, found: list[np.ndarray] | None, n: int, span: int) -> list[tuple[int, int]]:
         return ([(0, n)] if n >= span else []) if all_ else covered(found, span)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in names]
-            for t, absent, all_, found, less in zip(*(batch.column(c) for c in ("text", "absent", "whole", "windows", "shorter")), strict=True):
+            flags = zip(batch.column("absent").to_pylist(), batch.column("whole").to_pylist(), strict=True)
+            windows_ = zip(*(lists(batch.column(c), ("first", "last")) for c in ("windows", "shorter")), strict=True)
+            for t, (absent, all_), (found, less) in zip(batch.column("text"), flags, windows_, strict=True):
                 data = t.as_py().encode()
                 sequence = units.split(data)
                 n = len(sequence)
-                spans = covers(all_.as_py(), found.as_py(), n, units.span)
-                n_shorter = sum(b - a for a, b in covers(all_.as_py(), less.as_py(), n, shorter_span)) if asked else None
+                spans = covers(all_, found, n, units.span)
+                n_shorter = sum(b - a for a, b in covers(all_, less, n, shorter_span)) if asked else None
                 kept = sequence[:0]
                 for a, b in zip([0, *(b for _, b in spans)], [*(a for a, _ in spans), n], strict=True):
                     kept += sequence[a:b]
                 kept = units.join(kept)
-                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept and not absent.as_py() else None, n_shorter), strict=True):
+                for column, v in zip(out, (n, sum(b - a for a, b in spans), len(spans), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "ignore") if with_kept and not absent else None, n_shorter), strict=True):
                     column.append(v)
             yield pa.RecordBatch.from_arrays([batch.column("row"), *(pa.array(c, k) for c, k in zip(out, kinds, strict=True))], ["row", *names])
 

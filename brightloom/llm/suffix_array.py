@@ -54,6 +54,15 @@ def byte_units(span: int = SPAN) -> Units:
     return Units(span, 32, bytes, _grams, bytes)
 
 
+def named(keys: np.ndarray) -> tuple[np.ndarray, int]:
+    """A number for each distinct key, and how many there are."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))[: len(keys)]
+    return out, int(out.max(initial=-1)) + 1
+
+
 def refine(ids: np.ndarray, valid: np.ndarray, offset: int, pointers: np.ndarray, buckets: int) -> tuple[np.ndarray, int]:
     """Refine the buckets of ``valid`` suffixes by sorting on their pointers at an offset.
 
@@ -64,67 +73,99 @@ def refine(ids: np.ndarray, valid: np.ndarray, offset: int, pointers: np.ndarray
     active = valid[sizes[ids[valid]] > 1]
     if not len(active):
         return ids, buckets
-    names, named = np.unique(ids[active] * np.int64(buckets) + pointers[active + offset], return_inverse=True)
+    names, n = named(ids[active] * np.int64(buckets) + pointers[active + offset])
     refined = ids.copy()
-    refined[active] = buckets + named
-    return refined, buckets + len(names)
+    refined[active] = buckets + names
+    return refined, buckets + n
 
 
-def pointers(texts: list[bytes], span: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """For each text and each place of a string of ``span`` bytes: the final bucket's first
-    place in all texts joined, and whether the bucket has another place."""
+def initial(data: bytes, at: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.ndarray, int]:
+    """Buckets of the q-grams that begin at each place, those cut off in one of their own.
+
+    Buckets of 32 bytes come from a sort of 64-bit hashes, and all that one holds is
+    compared; if hashes ever clash, buckets of 8 bytes are refined instead.
+    """
+    eight = _grams8(data, ">")
+    ids, whole = np.zeros(len(data), np.int64), max(0, len(data) - q + 1)
+    if q == 8:
+        ids[:whole], n = named(eight)
+    else:
+        keys = _grams(data)[:whole]
+        ids[:whole], n = named(keys)
+        order = np.argsort(ids[:whole], kind="stable")
+        left, right = order[:-1], order[1:]
+        same = ids[left] == ids[right]
+        left, right = left[same], right[same]
+        if any((eight[left + d] != eight[right + d]).any() for d in range(0, q, 8)):
+            ids, n = initial(data, at, ends, 8)
+            for d in (8, 16):
+                ids, n = refine(ids, np.flatnonzero(at + 2 * d <= len(data)), d, ids, n)
+            return ids, n
+    ids[whole:] = n
+    return ids, n + 1
+
+
+def pointers(texts: list[bytes], span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of all texts joined: the places where a string of ``span`` bytes of one text starts,
+    the first place of each one's final bucket, and whether the bucket has another."""
     sizes = np.array([len(t) for t in texts])
     ends = np.repeat(np.cumsum(sizes).astype(np.int32), sizes)
     at = np.arange(len(ends), dtype=np.int32)
-    initial = np.zeros(len(ends), np.int64)
-    _, initial[: max(0, len(ends) - 7)] = np.unique(_grams8(b"".join(texts), ">"), return_inverse=True)
-    initial[max(0, len(ends) - 7) :] = initial.max(initial=0) + 1
-    levels, buckets, depth = {8: initial}, int(initial.max(initial=0)) + 1, 8
+    q = 32 if span >= 32 else 8
+    ids, buckets = initial(b"".join(texts), at, ends, q)
+    levels, depth = {q: ids}, q
     while depth * 2 <= span:
         levels[2 * depth], buckets = refine(levels[depth], np.flatnonzero(at + 2 * depth <= ends), depth, levels[depth], buckets)
         depth *= 2
-        if not span & (depth // 2) and (depth > 16 or span % 8 == 0):
+        if depth // 2 > q and not span & (depth // 2):
             levels.pop(depth // 2)
     ids, windows = levels[depth], np.flatnonzero(at + span <= ends)
     while depth < span:
         step = max((d for d in levels if d <= span - depth), default=0)
         if not step:  # what is left is shorter than the initial q-grams: let them overlap
-            step, depth = 8, span - 8
+            step, depth = q, span - q
         ids, buckets = refine(ids, windows, depth, levels[step], buckets)
         depth += step
-    twice, first = np.zeros(len(ends), bool), at.astype(np.int64)
-    twice[windows] = np.bincount(ids[windows], minlength=buckets)[ids[windows]] > 1
+    own = ids[windows]
     least = np.zeros(buckets, np.int64)
-    least[ids[windows][::-1]] = windows[::-1]
-    first[windows] = least[ids[windows]]
-    bounds = np.cumsum([0, *sizes])
-    cut = [(a, max(a, b - span + 1)) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
-    return [first[a:b] for a, b in cut], [twice[a:b] for a, b in cut]
+    least[own[::-1]] = windows[::-1]
+    return windows, least[own], np.bincount(own, minlength=buckets)[own] > 1
 
 
 def repeated(texts: list[bytes], span: int) -> list[np.ndarray]:
     """For each text, whether the string of ``span`` bytes at each place starts elsewhere too."""
-    return pointers(texts, span)[1]
+    windows, _, twice = pointers(texts, span)
+    return np.split(twice, np.searchsorted(windows, np.cumsum([len(t) for t in texts]))[:-1])
 
 
 def _decide(span: int):
-    def decide(rows: list[tuple[int, bytes, int, int]], number: int) -> list[list[tuple[int, int, int]]]:
+    def decide(keys: np.ndarray, passages_: list[bytes], docs: np.ndarray, copies: np.ndarray, number: int) -> tuple[np.ndarray, ...]:
         """Runs of strings that stand in two places; values are pointers, equal for equal strings
         only, and count up along a run. A passage alone in its bucket has no two equal strings."""
-        keys, counts = np.unique(np.array([r[0] for r in rows], np.int64), return_counts=True)
-        alone = set(keys[counts == 1].tolist())
-        sort = [i for i, r in enumerate(rows) if r[0] not in alone]
-        starts = np.cumsum([0, *(len(r[1]) for r in rows)])
-        place = np.concatenate([*(np.arange(starts[i], starts[i + 1]) for i in sort), np.empty(0, np.int64)])
-        own = (number << 32) + starts
-        runs: list[list[tuple[int, int, int]]] = [[(0, len(passage) - span, int(own[i]))] if copies > 1 and key in alone else [] for i, (key, passage, _, copies) in enumerate(rows)]
-        if sort:
-            for i, first, twice in zip(sort, *pointers([rows[i][1] for i in sort], span), strict=True):
-                keep = np.flatnonzero(twice | (rows[i][3] > 1))
-                values = (number << 32) + place[first[keep]]
-                cuts = np.flatnonzero((np.diff(keep) != 1) | (np.diff(values) != 1)) + 1
-                runs[i] = [(int(k[0]), int(k[-1]), int(v[0])) for k, v in zip(np.split(keep, cuts), np.split(values, cuts), strict=True) if len(k)]
-        return runs
+        sizes = np.array([len(p) for p in passages_])
+        starts = np.cumsum([0, *sizes])[:-1]
+        _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
+        alone = counts[at] == 1
+        whole = np.flatnonzero(alone & (copies > 1))
+        out = [np.stack([whole, np.zeros_like(whole), sizes[whole] - span, starts[whole]])]
+        sort = np.flatnonzero(~alone)
+        if len(sort):
+            ends = np.cumsum(sizes[sort])
+            windows, first, twice = pointers([passages_[i] for i in sort], span)
+            owner = np.searchsorted(ends, windows, "right")
+            keep = twice | (copies[sort][owner] > 1)
+            windows, first, owner = windows[keep], first[keep], owner[keep]
+            # from places in what was sorted to places in all passages of the call
+            shift = starts[sort] - (ends - sizes[sort])
+            value = first + shift[np.searchsorted(ends, first, "right")]
+            cut_ = np.flatnonzero((np.diff(windows) != 1) | (np.diff(value) != 1) | (np.diff(owner) != 0)) + 1
+            if len(windows):
+                a, z = np.concatenate([[0], cut_]), np.concatenate([cut_, [len(windows)]]) - 1
+                begin = (ends - sizes[sort])[owner[a]]
+                out.append(np.stack([sort[owner[a]], windows[a] - begin, windows[z] - begin, value[a]]))
+        found = np.concatenate(out, axis=1)
+        row, first, last, value = found[:, np.argsort(found[0], kind="stable")]
+        return row, first, last, (number << 32) + value
 
     return decide
 
@@ -135,8 +176,9 @@ def _later(offset: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[np.ndarray] = []
-            for row, windows in enumerate(batch.column("windows").to_pylist()):
-                first, last, value = np.array(sorted((w["first"], w["last"], w["value"]) for w in windows), np.int64).T
+            for row, (first, last, value) in enumerate(passages.lists(batch.column("windows"), ("first", "last", "value"))):
+                order = np.argsort(first)
+                first, last, value = first[order].astype(np.int64), last[order].astype(np.int64), value[order]
                 at = np.unique(np.concatenate([first, last + 1, first - offset, last + 1 - offset]))
                 stop = at[1:]
                 i, j = np.searchsorted(first, at[:-1], "right") - 1, np.searchsorted(first, at[:-1] + offset, "right") - 1

@@ -9,10 +9,10 @@ more. The join is exact:
    prefix token in common, whichever they are.
 3. Similar sets are put in groups by smallest hashes. A set is held against the
    connected parts of its group until one member of a part links.
-4. The matrix says which groups hold a token in a member's prefix. Only for a set and
-   a group that aren't connected yet and meet in it, the group's token union bounds
-   the overlap, and only a group that passes the bound is opened. The first member
-   that links connects the set with the whole group, so it is closed again.
+4. The matrix says which groups hold a token in a member's prefix. For a set and a
+   group that aren't connected yet and meet in it, the group's stored token union
+   bounds the overlap, and only a group that passes the bound is opened. The first
+   member that links connects the set with the whole group, so it is closed again.
 
 Groups are blocks of bounded size, and queries of a group are split the same way.
 """
@@ -235,45 +235,92 @@ def group_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     return placed.groupBy("sign", "block").applyInArrow(inside, "a bigint, b bigint")
 
 
-def cross_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Edges between connected groups: ``sets`` has node, n, tokens, prefix, rests, label."""
-    label_n = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    grouped = sets.select("node", "n", "prefix", "rests", "label").join(label_n, "label")
-    grouped = grouped.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int"))
+def _met(grouped: DataFrame, percent: int) -> DataFrame:
+    """The matrix: which sets meet which groups in a prefix token (node, label, block).
+
+    A token of very many sets is split by classes of size and of place in the prefix, a
+    few hundred at most, and only classes that can hold sets that link are joined.
+    """
     each = grouped.select("node", "n", "label", "block", F.inline(F.arrays_zip("prefix", "rests"))).withColumnsRenamed({"prefix": "token", "rests": "rest"})
     two = each.groupBy("token").agg(F.min("label").alias("la"), F.max("label").alias("lb")).filter("la <> lb").select("token")
-    each = each.join(two, "token")
-    matrix = each.groupBy("token", "label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"))
-    q = each.select("token", "node", F.col("n").alias("qn"), F.col("label").alias("ql"), F.col("rest").alias("qrest"))
+    size, place = F.floor(F.log(F.col("n")) / F.log(F.lit(1.05))).cast("int"), F.floor((F.col("n") - F.col("rest")) * 20 / F.col("n")).cast("int")
+    each = each.join(two, "token").withColumn("s", size).withColumn("p", place)
+    classes = each.groupBy("token", "s", "p").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest"), F.min("label").alias("la"), F.max("label").alias("lb"))
+    mine = classes.toDF("token", "s", "p", "n", "qmost", "qrest", "qla", "qlb")
+    theirs = classes.withColumnsRenamed({"s": "ts", "p": "tp"})
     # at the first token that two sets have in common, what follows must suffice
-    enough = (100 + percent) * F.least("qrest", "rest") >= percent * (F.col("qn") + F.col("least"))
-    sized = (100 * F.col("qn") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("qn"))
-    met = q.join(matrix, "token").filter((F.col("ql") < F.col("label")) & sized & enough)
-    met = cut(met.select("node", "label", "block").distinct())
-    queries = cut(met.groupBy("label", "block").agg(F.count(F.lit(1)).alias("q")))
-    splits = F.ceil(F.col("q") / GROUP).cast("int")
-    opened = grouped.select("node", "label", "block").join(queries, ["label", "block"])
-    opened = opened.select("node", "label", "block", F.explode(F.sequence(F.lit(0), splits - 1)).alias("part"), F.lit(False).alias("query"))
-    asked = met.join(queries, ["label", "block"]).select("node", "label", "block", F.pmod(F.xxhash64("node"), splits).cast("int").alias("part"), F.lit(True).alias("query"))
-    loaded = opened.unionAll(asked).join(sets.select("node", "tokens"), "node")
-
-    def open_group(table: pa.Table) -> pa.Table:
-        rows = list(zip(table["node"].to_pylist(), table["query"].to_pylist(), (_tokens(t.as_py()) for t in table["tokens"]), strict=True))
-        members = [(node, tokens) for node, query, tokens in rows if not query]
-        members.sort(key=lambda x: x[0])
+    enough = (100 + percent) * F.least("qrest", "rest") >= percent * (F.col("n") + F.col("least"))
+    sized = (100 * F.col("qmost") >= percent * F.col("least")) & (100 * F.col("most") >= percent * F.col("n"))
+    pairs = mine.join(theirs, "token").filter(enough & sized & (F.col("qla") < F.col("lb"))).select("token", "s", "p", "ts", "tp")
+    matrix = each.groupBy("token", "s", "p", "label", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("rest")).withColumnsRenamed({"s": "ts", "p": "tp"})
+    asks = each.select("token", "s", "p", "node", "n", F.col("n").alias("qmost"), F.col("label").alias("ql"), F.col("rest").alias("qrest"))
+    met = asks.join(pairs, ["token", "s", "p"]).join(matrix, ["token", "ts", "tp"]).filter((F.col("ql") < F.col("label")) & sized & enough)
+    return met.select("node", "label", "block").distinct()
+
+
+def _overlapping(percent: int):
+    """Of the queries of one group those whose overlap with its union reaches the bound."""
+
+    def run(table: pa.Table) -> pa.Table:
+        query = table["query"].to_numpy()
+        at = int(np.flatnonzero(~query)[0])
+        union, least = _tokens(table["tokens"][at].as_py()), table["least"][at].as_py()
+        keep = []
+        for i in np.flatnonzero(query).tolist():
+            tokens = _tokens(table["tokens"][i].as_py())
+            both = overlap(tokens, union)
+            if 100 * both >= percent * len(tokens) and (100 + percent) * both >= percent * (len(tokens) + least):
+                keep.append(i)
+        return table.select(["node", "label", "block", "part"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _opened(percent: int):
+    """Edges from queries to the first member of their group that they link with."""
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = sorted(zip(table["query"].to_pylist(), table["node"].to_pylist(), (_tokens(t.as_py()) for t in table["tokens"]), strict=True), key=lambda x: x[:2])
+        members = [(node, tokens) for query, node, tokens in rows if not query]
         a, b = [], []
-        union = np.unique(np.concatenate([t for _, t in members])) if members else np.empty(0, np.uint64)
-        for node, query, tokens in rows:
-            if not query or 100 * overlap(tokens, union) < percent * len(tokens):
-                continue
-            for other, theirs in members:
-                if linked(tokens, theirs, percent):
-                    a.append(node)
-                    b.append(other)
-                    break
+        for query, node, tokens in rows:
+            other = next((m for m, theirs in members if linked(tokens, theirs, percent)), None) if query else None
+            if other is not None:
+                a.append(node)
+                b.append(other)
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return loaded.groupBy("label", "block", "part").applyInArrow(open_group, "a bigint, b bigint")
+    return run
+
+
+def cross_edges(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Edges between connected groups: ``sets`` has node, n, tokens, prefix, rests, label.
+
+    The unions of all groups that are met are stored, each query is held against the
+    union, and only where that bound is reached are the group's members sent and opened.
+    """
+    label_n = sets.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
+    grouped = sets.select("node", "n", "prefix", "rests", "label").join(label_n, "label")
+    grouped = grouped.withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / GROUP)).cast("int"))
+    met = cut(_met(grouped, percent))
+    queries = cut(met.groupBy("label", "block").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("parts")))
+    tokens = sets.select("node", "n", "tokens")
+    members = grouped.select("node", "label", "block").join(queries.select("label", "block"), ["label", "block"]).join(tokens, "node")
+
+    def unite(table: pa.Table) -> pa.Table:
+        union = np.unique(np.concatenate([_tokens(t.as_py()) for t in table["tokens"]]))
+        return pa.table({"label": table["label"][:1], "block": table["block"][:1], "least": pa.array([min(table["n"].to_pylist())], pa.int64()), "tokens": pa.array([union.tobytes()], pa.binary())})
+
+    unions = stored(members.groupBy("label", "block").applyInArrow(unite, "label bigint, block int, least bigint, tokens binary"))
+    part = F.explode(F.sequence(F.lit(0), F.col("parts").cast("int") - 1)).alias("part")
+    bound = unions.join(queries, ["label", "block"]).select(F.lit(None).cast("bigint").alias("node"), "label", "block", part, F.lit(False).alias("query"), "least", "tokens")
+    asked = met.join(queries, ["label", "block"]).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int")).join(tokens.drop("n"), "node")
+    asked = asked.select("node", "label", "block", "part", F.lit(True).alias("query"), F.lit(None).cast("bigint").alias("least"), "tokens")
+    fit = cut(bound.unionAll(asked).groupBy("label", "block", "part").applyInArrow(_overlapping(percent), "node bigint, label bigint, block int, part int"))
+    doors = fit.select("label", "block", "part").distinct()
+    opened = members.select("node", "label", "block", "tokens").join(doors, ["label", "block"]).select("node", "label", "block", "part", F.lit(False).alias("query"), "tokens")
+    asking = fit.join(tokens.drop("n"), "node").select("node", "label", "block", "part", F.lit(True).alias("query"), "tokens")
+    return opened.unionAll(asking).groupBy("label", "block", "part").applyInArrow(_opened(percent), "a bigint, b bigint")
 
 
 def text_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
@@ -293,7 +340,7 @@ def text_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("doc"))
     each = each.select("d1", "d2", "n", F.coalesce("root", "label").alias("c")).join(first, ["d1", "d2"])
     each = cut(each)
-    least = each.filter("n > 0").groupBy("c").agg(F.min(F.struct("doc", "d1", "d2")).alias("least"))
+    least = cut(each.filter("n > 0").groupBy("c").agg(F.min(F.struct("doc", "d1", "d2")).alias("least")))  # so that a hot component's side of the join can be split
     some = each.filter("n > 0").join(least, "c").select("d1", "d2", "n", "least")
     return some.unionByName(each.filter("n = 0").select("d1", "d2", "n").withColumn("least", F.lit(None).cast("struct<doc:bigint,d1:bigint,d2:bigint>")))
 

@@ -3,8 +3,8 @@
 A recording's spectrum is folded to twelve pitch classes for each frame. Filters of
 an integral image over (frame, pitch class) compare rectangles of it; each answers in
 two bits, and sixteen of them pack one integer for each frame. Recordings are aligned
-by the histogram of offsets at which equal halves of integers stand, and compared by
-the share of bits that differ at the offsets near its top.
+by the offsets at which integers are equal, but for bits that were uncertain, and
+compared by the share of bits that differ at each of these offsets.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ THRESHOLDS = (-0.25, 0.0, 0.25)
 #: Recordings match with at most so many of a hundred bits different, over at least
 #: so many integers.
 MOST_BITS, LEAST_ALIGNED = 25, 64
-#: Offsets are verified that have at least one in so many of the best one's equal halves.
-NEAR = 2
-#: Query recordings that are held against all recordings in one pass.
-QUERY_BLOCK = 4096
+#: Bits of each of a query's integers that may be turned: those of the answers nearest to
+#: a threshold. Each one doubles the integers that are looked up.
+WEAK = 4
+#: Integers of the queries that are held against all recordings in one pass.
+QUERY_CODES = 1 << 19
 #: Every so many ids is a query.
 QUERY_STEP = 20
 
@@ -65,20 +66,20 @@ def filters() -> list[tuple[int, int, int, int]]:
     return [(i % 6, (5 * i) % 7, 3 + i % 4 if i % 6 != 1 else 4, (2, 4, 8)[i % 3]) for i in range(16)]
 
 
-def fingerprint(pcm: np.ndarray) -> np.ndarray:
-    """One packed integer for each frame that has WIDTH frames from it on."""
+def answers(pcm: np.ndarray) -> np.ndarray:
+    """The sixteen filters' answers for each frame that has WIDTH frames from it on."""
     c = chroma(pcm)
     n = len(c) - WIDTH + 1
     if n <= 0:
-        return np.empty(0, np.uint32)
+        return np.empty((0, 16))
     image = np.pad(np.cumsum(np.cumsum(c, axis=0), axis=1), ((1, 0), (1, 0)))
     t = np.arange(n)
 
     def area(t0: int, t1: int, p0: int, p1: int) -> np.ndarray:
         return image[t + t1, p1] - image[t + t0, p1] - image[t + t1, p0] + image[t + t0, p0]
 
-    out = np.zeros(n, np.uint32)
-    for kind, p, h, w in filters():
+    out = np.empty((n, 16))
+    for i, (kind, p, h, w) in enumerate(filters()):
         q, v = p + h // 2, w // 2
         whole = area(0, w, p, p + h)
         if kind == 0:
@@ -98,26 +99,51 @@ def fingerprint(pcm: np.ndarray) -> np.ndarray:
         else:
             a = area(w // 4, w - w // 4, p, p + h) * 2
             b = whole
-        answer = np.log((1 + a) / (1 + b))
-        level = sum((answer >= x).astype(np.uint32) for x in THRESHOLDS)
-        out = (out << np.uint32(2)) | (level ^ (level >> np.uint32(1)))
+        out[:, i] = np.log((1 + a) / (1 + b))
     return out
 
 
+def _gray(level: np.ndarray) -> np.ndarray:
+    return level ^ (level >> np.uint32(1))
+
+
+def packed(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """One integer for each frame, two bits an answer; and its least certain bits.
+
+    Neighbouring levels differ in one bit, so an answer near a threshold makes one bit
+    uncertain. The WEAK bits nearest to theirs are given as places of five bits each.
+    """
+    limits = np.array(THRESHOLDS)
+    level = (found[:, :, None] >= limits).sum(axis=2).astype(np.uint32)
+    shift = np.uint32(2) * np.arange(15, -1, -1, dtype=np.uint32)
+    codes = (_gray(level) << shift).sum(axis=1, dtype=np.uint32)
+    nearest = np.abs(found[:, :, None] - limits).argmin(axis=2)
+    beyond = np.where(level > nearest, nearest, nearest + 1).astype(np.uint32)
+    bit = shift + (_gray(level) ^ _gray(beyond)) // np.uint32(2)
+    first = np.argsort(np.abs(found - limits[nearest]), axis=1, kind="stable")[:, :WEAK]
+    return codes, (np.take_along_axis(bit, first, 1).astype(np.int64) << (5 * np.arange(WEAK))).sum(axis=1)
+
+
+def fingerprint(pcm: np.ndarray) -> np.ndarray:
+    """One packed integer for each frame that has WIDTH frames from it on."""
+    return packed(answers(pcm))[0]
+
+
 def fingerprints(media: DataFrame, column: str = "pcm", carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the ``carry`` columns) and codes of a column of 16-bit PCM at RATE.
+    """``row`` (the ``carry`` columns), codes and weak of a column of 16-bit PCM at RATE.
 
-    Null, empty and too short recordings have no codes. Rows are looked at one by one.
+    ``weak`` has the least certain bits of each code (``packed``). Null, empty and too
+    short recordings have no codes. Rows are looked at one by one.
     """
     ship(media.sparkSession)
     source = media.select(row_of([c for c in media.columns if c != column] if carry is None else carry), named(column).alias("pcm"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = [fingerprint(np.frombuffer((x.as_py() or b"")[: (len(x.as_py() or b"") // 2) * 2], "<i2")).astype(np.int64) for x in batch.column("pcm")]
-            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(codes, pa.list_(pa.int64()))], ["row", "codes"])
+            found = [packed(answers(np.frombuffer((x.as_py() or b"")[: (len(x.as_py() or b"") // 2) * 2], "<i2"))) for x in batch.column("pcm")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array([c.astype(np.int64) for c, _ in found], pa.list_(pa.int64())), pa.array([w for _, w in found], pa.list_(pa.int64()))], ["row", "codes", "weak"])
 
-    return source.mapInArrow(run, with_fields(source, ["row"], "codes array<bigint>"))
+    return source.mapInArrow(run, with_fields(source, ["row"], "codes array<bigint>, weak array<bigint>"))
 
 
 def different(query: np.ndarray, other: np.ndarray, offset: int) -> tuple[float, int]:
@@ -127,93 +153,105 @@ def different(query: np.ndarray, other: np.ndarray, offset: int) -> tuple[float,
     return (float(np.bitwise_count(a[:n] ^ b[:n]).sum()) / (32 * n) if n else 1.0), n
 
 
-def all_different(queries: np.ndarray, sizes: np.ndarray, other: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """``different`` for many queries, rows of a padded table, at once."""
-    at = np.arange(queries.shape[1])
+def all_different(queries: np.ndarray, starts: np.ndarray, sizes: np.ndarray, other: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """``different`` for many queries at once, parts of one array of joined codes."""
+    at = np.arange(sizes.max(initial=0))
     place = at + offsets[:, None]
     valid = (at < sizes[:, None]) & (place >= 0) & (place < len(other))
-    bits = np.where(valid, np.bitwise_count(queries ^ other[place.clip(0, len(other) - 1)]), 0).sum(axis=1)
+    mine = queries[np.minimum(starts[:, None] + at, len(queries) - 1)]
+    bits = np.where(valid, np.bitwise_count(mine ^ other[place.clip(0, len(other) - 1)]), 0).sum(axis=1)
     n = valid.sum(axis=1)
-    return np.where(n > 0, bits / np.maximum(32 * n, 1), 1.0), n
-
-
-def halves(codes: np.ndarray) -> np.ndarray:
-    """The upper halves of integers, then the lower ones, told apart."""
-    return np.concatenate([codes >> np.uint32(16), codes & np.uint32(0xFFFF) | np.uint32(1 << 16)])
+    return np.where(n > 0, bits / np.maximum(32 * n, 1), 1.0)
+
+
+class Index:
+    """Codes of a block of queries, each also with any of its least certain bits turned."""
+
+    def __init__(self, queries: list[tuple[int, np.ndarray, np.ndarray | None]]) -> None:
+        self.ids = [q[0] for q in queries]
+        self.sizes = np.array([len(c) for _, c, _ in queries], np.int64)
+        self.starts = np.cumsum([0, *self.sizes])[:-1]
+        self.codes = np.concatenate([*(c for _, c, _ in queries), np.empty(0, np.uint32)])
+        weak = np.concatenate([*(np.full(len(c), -1) if w is None else w for _, c, w in queries), np.empty(0, np.int64)])
+        probes = [self.codes]
+        for k in range(WEAK):
+            turned = np.where(weak < 0, 0, np.uint32(1) << ((weak >> 5 * k) & 31).astype(np.uint32)).astype(np.uint32)
+            probes += [p ^ turned for p in probes]
+        at = np.tile(np.arange(len(self.codes), dtype=np.int32), len(probes))
+        names = np.concatenate(probes)
+        order = np.argsort(names, kind="stable")
+        self.names, self.at = names[order], at[order]
+
+    def matches(self, other: np.ndarray) -> dict[int, tuple[float, int]]:
+        """For each query number that matches: fewest bits different, and at which offset.
+
+        Every offset at which a code of the index stands is verified.
+        """
+        a, b = np.searchsorted(self.names, other), np.searchsorted(self.names, other, "right")
+        n = b - a
+        hit = self.at[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
+        q = np.searchsorted(self.starts, hit, "right") - 1
+        offset = np.repeat(np.arange(len(other)), n) - (hit - self.starts[q])
+        enough = np.minimum(self.sizes[q], len(other) - offset) - np.maximum(0, -offset) >= LEAST_ALIGNED
+        histogram = np.unique(q[enough] * (1 << 32) + offset[enough] + (1 << 31))
+        q, offset = histogram >> 32, (histogram & ((1 << 32) - 1)) - (1 << 31)
+        order = np.argsort(self.sizes[q], kind="stable")
+        q, offset = q[order], offset[order]
+        found: dict[int, tuple[float, int]] = {}
+        at = 0
+        while at < len(q):
+            end = at + max(1, (1 << 18) // int(self.sizes[q[min(len(q) - 1, at + 4096)]]))
+            share = all_different(self.codes, self.starts[q[at:end]], self.sizes[q[at:end]], other, offset[at:end])
+            for i in np.flatnonzero(share * 100 <= MOST_BITS).tolist():
+                this = (float(share[i]), int(offset[at + i]))
+                found[int(q[at + i])] = min(found.get(int(q[at + i]), this), this)
+            at = end
+        return found
 
 
 def search(recordings: DataFrame, is_query: F.Column, id_col: str = "id") -> DataFrame:
     """For each query its matches among all other recordings, one row each query.
 
-    ``recordings`` has ``id_col`` (a long) and codes. Returns id, n_matches, best_id
-    (fewest bits different, then the smallest id), best_offset and best_difference,
-    null where nothing matches. Recordings of one id don't match each other; a null
-    id is no query and matches none; recordings without codes match nothing.
+    ``recordings`` has ``id_col`` (a long), codes, and weak if queries are to be looked
+    for with their least certain bits turned. Returns id, n_matches, best_id (fewest bits
+    different, then the smallest id), best_offset and best_difference, null where nothing
+    matches. Recordings of one id don't match each other; a null id is no query and
+    matches none; recordings without codes match nothing.
 
-    Queries are held against all recordings in blocks of QUERY_BLOCK; every
-    recording is looked up by both halves of all its integers, and each offset with
-    half as many equal halves as the best one is verified. Each batch sends one row for each query it matches.
+    Queries are held against all recordings in blocks of about QUERY_CODES integers; every
+    recording is looked up by all its integers, and each offset at which one is equal is
+    verified. Each batch sends one row for each query it matches.
     """
     spark = recordings.sparkSession
     ship(spark)
-    rows = recordings.select(F.col(id_col).cast("bigint").alias("id"), "codes").filter("id IS NOT NULL")
-    asked = rows.filter(is_query).select("id", "codes")
-    n = asked.count()
-    blocks = -(-n // QUERY_BLOCK) or 1
+    weak = F.col("weak") if "weak" in recordings.columns else F.lit(None).cast("array<bigint>")
+    rows = recordings.select(named(id_col).cast("bigint").alias("id"), "codes", weak.alias("weak")).filter("id IS NOT NULL")
+    asked = rows.filter(is_query)
+    total = asked.agg(F.sum(F.size("codes"))).first()[0] or 0
+    blocks = -(-total // QUERY_CODES) or 1
     asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
     found = None
     for block in range(blocks):
-        queries = [(r["id"], np.array(r["codes"], np.uint32)) for r in asked.filter(F.col("block") == block).collect() if r["codes"]]
+        queries = [(r["id"], np.array(r["codes"], np.uint32), None if r["weak"] is None else np.array(r["weak"], np.int64)) for r in asked.filter(F.col("block") == block).collect() if r["codes"]]
         held = spark.sparkContext.broadcast(queries)
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            queries = held.value
-            sizes = np.array([len(q) for _, q in queries], np.int64)
-            table = np.zeros((len(queries), sizes.max(initial=0)), np.uint32)
-            for i, (_, q) in enumerate(queries):
-                table[i, : len(q)] = q
-            codes = halves(np.concatenate([*(q for _, q in queries), np.empty(0, np.uint32)]))
-            owner = np.tile(np.repeat(np.arange(len(queries)), sizes), 2)
-            place = np.tile(np.concatenate([*(np.arange(len(q)) for _, q in queries), np.empty(0, np.int64)]), 2)
-            order = np.argsort(codes, kind="stable")
-            codes, owner, place = codes[order], owner[order], place[order].astype(np.int64)
+            index = Index(held.value)
             for batch in batches:
                 best: dict[int, list] = {}
                 for other_id, other in zip(batch.column("id").to_pylist(), batch.column("codes"), strict=True):
-                    other = np.array(other.as_py() or [], np.uint32)
-                    parts = halves(other)
-                    a, b = np.searchsorted(codes, parts), np.searchsorted(codes, parts, "right")
-                    n = b - a
-                    at = np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-                    where = np.repeat(np.tile(np.arange(len(other)), 2), n)
-                    histogram, counts = np.unique(owner[at] * (1 << 32) + (where - place[at] + (1 << 31)), return_counts=True)
-                    q, offset = histogram >> 32, (histogram & ((1 << 32) - 1)) - (1 << 31)
-                    enough = np.minimum(sizes[q], len(other) - offset) - np.maximum(0, -offset) >= LEAST_ALIGNED
-                    q, offset, counts = q[enough], offset[enough], counts[enough]
-                    if not len(q):
-                        continue
-                    first = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]]))
-                    top = np.repeat(np.maximum.reduceat(counts, first), np.diff(np.append(first, len(q))))
-                    near = NEAR * counts >= top
-                    q, offset = q[near], offset[near]
-                    step = max(1, (1 << 20) // table.shape[1])
-                    share = np.concatenate([all_different(table[q[i : i + step]], sizes[q[i : i + step]], other, offset[i : i + step])[0] for i in range(0, len(q), step)])
-                    match: dict[int, tuple[float, int]] = {}
-                    for i in np.flatnonzero(share * 100 <= MOST_BITS).tolist():
-                        found_at = (float(share[i]), int(offset[i]))
-                        match[int(q[i])] = min(match.get(int(q[i]), found_at), found_at)
-                    for i, (difference, at_offset) in match.items():
-                        query_id = queries[i][0]
+                    for i, (difference, offset) in index.matches(np.array(other.as_py() or [], np.uint32)).items():
+                        query_id = index.ids[i]
                         if query_id != other_id:
                             x = best.setdefault(query_id, [0, (2.0, 0, 0)])
                             x[0] += 1
-                            x[1] = min(x[1], (difference, other_id, at_offset))
+                            x[1] = min(x[1], (difference, other_id, offset))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(list(best), pa.int64()), pa.array([x[0] for x in best.values()], pa.int64()), *(pa.array([x[1][i] for x in best.values()], k) for i, k in enumerate((pa.float64(), pa.int64(), pa.int64())))],
                     ["id", "n", "difference", "other", "offset"],
                 )
 
-        part = rows.mapInArrow(run, "id bigint, n bigint, difference double, other bigint, offset bigint")
+        part = rows.select("id", "codes").mapInArrow(run, "id bigint, n bigint, difference double, other bigint, offset bigint")
         found = part if found is None else found.unionAll(part)
     best = found.groupBy("id").agg(F.sum("n").alias("n_matches"), F.min(F.struct("difference", "other", "offset")).alias("b"))
     out = asked.select("id").distinct().join(best, "id", "left")
@@ -226,7 +264,7 @@ def tune(vector: list[float] | None) -> bytes:
     Its size picks one of 24 semitones, so near-equal vectors sound alike but for a
     note here and there.
     """
-    if not vector:
+    if vector is None or not len(vector):
         return b""
     v = np.nan_to_num(np.array([0.0 if x is None else x for x in vector], np.float64))
     spread = float(np.sqrt((v**2).mean())) or 1.0
@@ -251,5 +289,5 @@ def tunes(vectors: DataFrame, vector: str, carry: list[str]) -> DataFrame:
 
 def op5_chroma_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = tunes(read_table(spark, sf_dir, "embeddings"), "embedding", ["vec_id"])
-    recordings = stored(fingerprints(media).select("row.vec_id", "codes"))
-    return search(recordings.select(F.col("vec_id").alias("id"), "codes"), F.col("id") % QUERY_STEP == 0).withColumnRenamed("id", "vec_id")
+    recordings = stored(fingerprints(media).select("row.vec_id", "codes", "weak"))
+    return search(recordings.withColumnRenamed("vec_id", "id"), F.col("id") % QUERY_STEP == 0).withColumnRenamed("id", "vec_id")

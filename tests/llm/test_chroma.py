@@ -6,6 +6,12 @@ from pyspark.sql import functions as F
 from brightloom.llm import chroma
 
 
+def table_of(spark, vectors):
+    """Codes of the vectors' tunes, and a table of them with their least certain bits."""
+    found = [chroma.packed(chroma.answers(np.frombuffer(chroma.tune(v.tolist()), "<i2"))) for v in vectors]
+    return [c for c, _ in found], spark.createDataFrame([(i, [int(x) for x in c], [int(x) for x in w]) for i, (c, w) in enumerate(found)], "id long, codes array<long>, weak array<long>")
+
+
 def song(seed, notes=80):
     return np.frombuffer(chroma.tune(np.random.default_rng(seed).normal(size=notes).tolist()), "<i2")
 
@@ -31,8 +37,7 @@ def test_recall_against_brute_force(spark):
     rng = np.random.default_rng(3)
     base = rng.normal(size=(6, 70))
     vectors = [base[i % 6] + rng.normal(scale=0.07, size=70) for i in range(60)] + list(rng.normal(size=(60, 70)))
-    codes = [chroma.fingerprint(np.frombuffer(chroma.tune(v.tolist()), "<i2")) for v in vectors]
-    table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(codes)], "id long, codes array<long>")
+    codes, table = table_of(spark, vectors)
     got = {r.id: r for r in chroma.search(table, F.col("id") % 5 == 0).collect()}
     assert set(got) == set(range(0, 120, 5))
     want = hit = 0
@@ -48,8 +53,7 @@ def test_recall_up_to_the_most_bits(spark):
     rng = np.random.default_rng(5)
     base = rng.normal(size=(30, 64))
     vectors = list(base) + [base[i % 30] + rng.normal(scale=0.02 + 0.3 * rng.random(), size=64) for i in range(270)]
-    codes = [chroma.fingerprint(np.frombuffer(chroma.tune(v.tolist()), "<i2")) for v in vectors]
-    table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(codes)], "id long, codes array<long>")
+    codes, table = table_of(spark, vectors)
     got = {r.id: r.n_matches for r in chroma.search(table, F.col("id") < 30).collect()}
     far = len(codes[0]) - chroma.LEAST_ALIGNED
     least = [[min(chroma.different(codes[q], x, o)[0] for o in range(-far, far + 1)) * 100 for i, x in enumerate(codes) if i != q] for q in range(30)]
@@ -65,11 +69,31 @@ def test_blocks_of_queries_change_nothing(spark, monkeypatch):
     codes = [chroma.fingerprint(song(s % 7)) for s in range(30)]
     table = spark.createDataFrame([(i, [int(c) for c in x]) for i, x in enumerate(codes)], "id long, codes array<long>")
     one = sorted(chroma.search(table, F.lit(True)).collect())
-    monkeypatch.setattr(chroma, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(chroma, "QUERY_CODES", 400)
     assert sorted(chroma.search(table, F.lit(True)).collect()) == one
     assert all(r.n_matches >= 3 and r.best_difference == 0 and r.best_offset == 0 for r in one)
 
 
+def test_weak_bits_are_what_a_small_change_turns():
+    found = chroma.answers(song(4))
+    codes, weak = chroma.packed(found)
+    assert (codes == chroma.fingerprint(song(4))).all()
+    limits = np.array(chroma.THRESHOLDS)
+    for row in range(0, len(found), 7):
+        margin = [min((abs(x - y), y) for y in limits) for x in found[row]]
+        order = sorted(range(16), key=lambda i: margin[i][0])[: chroma.WEAK]
+        for k, i in enumerate(order):
+            changed = found[row].copy()
+            changed[i] = margin[i][1] + (1e-9 if found[row][i] < margin[i][1] else -1e-9)
+            assert int(chroma.packed(changed[None])[0][0] ^ codes[row]) == 1 << (int(weak[row]) >> 5 * k & 31)
+
+
+def test_any_column_names(spark):
+    names = ["my col", "a-b", "a.b", "_", "row", "text "]
+    media = spark.createDataFrame([(1, bytearray(song(1).tobytes()), *names)], ["id", "pcm", *names])
+    assert tuple(chroma.fingerprints(media).collect()[0].row) == (1, *names)
+
+
 def test_odd_recordings(spark):
     media = spark.createDataFrame([(1, None, "a"), (2, bytearray(b""), "b"), (None, bytearray(b"\1"), None), (3, bytearray(song(1).tobytes()) + b"x", "c"), (3, bytearray(song(1).tobytes()), "c")], "id long, pcm binary, codes string")
     rows = chroma.fingerprints(media).collect()

@@ -318,7 +318,7 @@ def _digest(hashes: list[int]) -> int:
 
 
 def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The first and the last row of a partition."""
+    """The first and the last row of a partition, with its number; one row may be both."""
     from pyspark import TaskContext
 
     first = last = None
@@ -326,9 +326,9 @@ def _edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if batch.num_rows:
             first = first or batch.slice(0, 1)
             last = batch.slice(batch.num_rows - 1, 1)
-    for row in (first, last):
+    for row, is_last in ((first, False), (last, True)):
         if row is not None:
-            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([TaskContext.get().partitionId()], pa.int32())], [*row.schema.names, "part"])
+            yield pa.RecordBatch.from_arrays([*row.columns, pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([is_last])], [*row.schema.names, "part", "last"])
 
 
 def nearness(a: str, b: str) -> int:
@@ -341,54 +341,69 @@ def nearness(a: str, b: str) -> int:
     return n
 
 
+def _judged(row: tuple, other: tuple, before: bool) -> tuple:
+    """host, digest, how near the other page is, whether it comes before, places of shared lines."""
+    host, path, digest, hashes = row
+    return host, digest, nearness(other[1], path), before, sorted(common_lines(hashes, other[3]))
+
+
+_JUDGED = {"host": pa.string(), "digest": pa.int64(), "near": pa.int32(), "before": pa.bool_(), "shared": pa.list_(pa.int32())}
+_JUDGED_DDL = "host string, digest bigint, near int, before boolean, shared array<int>"
+
+
+def _judgements(found: list[tuple]) -> list[pa.Array]:
+    return [pa.array([x[i] for x in found], k) for i, k in enumerate(_JUDGED.values())]
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hold each page against the nearer of its two neighbours; at either end of a partition against the one there is."""
+    rows: list[tuple | None] = [None]
+
+    def decided(prev: tuple | None, row: tuple, following: tuple | None) -> list[tuple]:
+        near = [x for x in (prev, following) if x and x[0] == row[0]]
+        other = max(near, key=lambda x: nearness(x[1], row[1]), default=None)
+        return [_judged(row, other, other is prev)] if other else []
+
+    for batch in batches:
+        rows += list(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "digest", "hashes")), strict=True))
+        yield pa.RecordBatch.from_arrays(_judgements([x for i in range(1, len(rows) - 1) for x in decided(*rows[i - 1 : i + 2])]), list(_JUDGED))
+        rows = rows[-2:]
+    if len(rows) == 2:
+        yield pa.RecordBatch.from_arrays(_judgements(decided(rows[0], rows[1], None)), list(_JUDGED))
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """What the last page of a partition and the first of the next one say of each other."""
+    rows = {last: row for last, *row in zip(*(table[c].to_pylist() for c in ("last", "host", "path", "digest", "hashes")), strict=True)}
+    found = [_judged(rows[True], rows[False], False), _judged(rows[False], rows[True], True)] if len(rows) == 2 and rows[True][0] == rows[False][0] else []
+    return pa.table(_judgements(found), names=list(_JUDGED))
+
+
 def shared_lines(pages: DataFrame) -> DataFrame:
     """host, digest, shared: places of the lines that a page and its nearest neighbour have.
 
-    Pages are sorted over all partitions, so one host may fill many of them; what a
-    partition lacks of its neighbours are two rows, gathered from each.
+    Pages are sorted over all partitions, so one host may fill many of them. Where two
+    partitions meet, the two pages there meet in a task of their own; of the partitions
+    only numbers reach the driver.
     """
     spark = pages.sparkSession
     hashed = pages.select("url", "html").mapInArrow(_hashed, "host string, path string, hashes array<bigint>, digest bigint")
     one = hashed.groupBy("host", "digest").agg(F.min("path").alias("path"), F.first("hashes").alias("hashes"))
     one = cut(one.select("host", "path", "digest", "hashes"))
     ordered = cut(one.repartitionByRange(parts(spark, one.count(), 50_000), "host", "path", "digest").sortWithinPartitions("host", "path", "digest"))
-    ends = ordered.mapInArrow(_edges, "host string, path string, digest bigint, hashes array<bigint>, part int").collect()
-    firsts: dict[int, tuple] = {}
-    lasts: dict[int, tuple] = {}
-    for r in ends:
-        row = (r["host"], r["path"], r["digest"], r["hashes"])
-        firsts.setdefault(r["part"], row)
-        lasts[r["part"]] = row
-    before = {p: lasts[q] for q, p in zip(sorted(lasts), sorted(lasts)[1:], strict=False)}
-    after = {p: firsts[q] for p, q in zip(sorted(firsts), sorted(firsts)[1:], strict=False)}
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part = TaskContext.get().partitionId()
-        rows: list[tuple | None] = [before.get(part)]
-
-        def decided(prev: tuple | None, row: tuple, following: tuple | None) -> tuple:
-            host, path, digest, hashes = row
-            near = [x for x in (prev, following) if x and x[0] == host]
-            other = max(near, key=lambda x: nearness(x[1], path), default=None)
-            return host, digest, sorted(common_lines(hashes, other[3])) if other else []
-
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.int64()), pa.array([x[2] for x in found], pa.list_(pa.int32()))], ["host", "digest", "shared"])
-
-        for batch in batches:
-            rows += list(zip(*(batch.column(c).to_pylist() for c in ("host", "path", "digest", "hashes")), strict=True))
-            yield batch_of([decided(*rows[i - 1 : i + 2]) for i in range(1, len(rows) - 1)])
-            rows = rows[-2:]
-        if len(rows) == 2 and rows[1]:
-            yield batch_of([decided(rows[0], rows[1], after.get(part))])
-
-    return ordered.mapInArrow(compare, "host string, digest bigint, shared array<int>").filter(F.size("shared") > 0)
+    ends = cut(ordered.mapInArrow(_edges, "host string, path string, digest bigint, hashes array<bigint>, part int, last boolean"))
+    filled = sorted(r["part"] for r in ends.filter("last").select("part").collect())
+    order = spark.createDataFrame(list(enumerate(filled)), "place int, part int")
+    borders = ends.join(order, "part").withColumn("border", F.col("place") - F.when(F.col("last"), 0).otherwise(1))
+    met = borders.select("border", "last", "host", "path", "digest", "hashes").groupBy("border").applyInArrow(_meet, _JUDGED_DDL)
+    judged = ordered.mapInArrow(_compare, _JUDGED_DDL).unionAll(met)
+    nearest = judged.groupBy("host", "digest").agg(F.max_by("shared", F.struct("near", "before")).alias("shared"))
+    return nearest.filter(F.size("shared") > 0)
 
 
 def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the ``carry`` columns of ``pages``, all by default) and text.
+    """``row`` (the ``carry`` columns of ``pages``, all by default), text, and how many
+    lines the nearest page (n_shared) and, beyond these, only the markup took (n_marked).
 
     Null html is an empty page, with an empty text. A null url has no host, like any
     other relative address. Repeated rows and pages of equal lines on one host get
@@ -412,7 +427,9 @@ def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     joined = parsed.join(shared, ["host", "digest"], "left")
     place = lambda i: F.substring(F.col("places"), i + 1, F.lit(1))
     kept = F.filter("lines", lambda _, i: (place(i) == "a") | ((place(i) == "?") & ~F.coalesce(F.array_contains("shared", i), F.lit(False))))
-    return joined.select("row", F.array_join(kept, "\n").alias("text"))
+    outside = F.filter(F.coalesce("shared", F.array().cast("array<int>")), lambda i: place(i) != "a")
+    marked = F.length("places") - F.length(F.replace("places", F.lit("b"), F.lit(""))) - F.size(F.filter(outside, lambda i: place(i) == "b"))
+    return joined.select("row", F.array_join(kept, "\n").alias("text"), F.size(outside).alias("n_shared"), marked.alias("n_marked"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

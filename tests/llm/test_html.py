@@ -120,6 +120,53 @@ def test_lines_that_neighbours_share_go(spark):
     assert got[3] == "Site menu line\nOwn 3\nAlso 3\nAll about us"
 
 
+def longest(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+@pytest.mark.parametrize("size", [3, 50_000])
+def test_whole_operator_equals_brute_force(spark, monkeypatch, size):
+    """Pages without an article, of classes that say nothing: the nearest page decides on every line."""
+    monkeypatch.setattr(html, "parts", lambda spark, rows, per: -(-rows // size))
+    rnd = random.Random(size)
+    pages = {}
+    for i in range(60):
+        host, path = rnd.choice(["a.example", "b.example"]), "/".join(rnd.choice(["x", "y", "yy", "z"]) for _ in range(rnd.randrange(1, 4))) + f"/{i}"
+        common = [f"{host} line {k}" for k in range(12) if rnd.random() < 0.5]
+        rnd.shuffle(common)
+        lines = common + [f"page {i} line {k}" for k in range(rnd.randrange(4))]
+        rnd.shuffle(lines)
+        pages[i] = (host, f"/{path}", lines)
+    rows = [(i, f"https://{host}{path}", "".join(f"<div class='c{k % 3} box'>{x}</div>" for k, x in enumerate(lines))) for i, (host, path, lines) in pages.items()]
+    got = {r.row.page_id: r for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert set(got) == set(pages)
+    deleted = 0
+    for i, (host, path, lines) in pages.items():
+        same = sorted((p, j) for j, (h, p, x) in pages.items() if h == host and x)
+        at = [j for _, j in same].index(i) if lines else 0
+        around = [same[k] for k in (at - 1, at + 1) if 0 <= k < len(same)] if lines else []
+        other = max(around, key=lambda x: html.nearness(x[0], path))[1] if around else None
+        kept = got[i].text.split("\n") if got[i].text else []
+        gone = [x for x in lines if x not in kept]
+        assert [x for x in lines if x not in gone] == kept
+        rest = iter(pages[other][2] if other is not None else [])
+        assert len(gone) == (longest(lines, pages[other][2]) if other is not None else 0) == got[i].n_shared and all(x in rest for x in gone)
+        assert got[i].n_marked == 0
+        deleted += len(gone)
+    assert deleted > 100
+
+
+def test_any_column_names(spark):
+    names = ["my col", "a-b", "a.b", "_", "row", "text ", "lines", "host"]
+    pages = spark.createDataFrame([(1, "http://h/1", "<p>x</p>", *names)], ["page_id", "url", "html", *names])
+    (row,) = html.main_text(pages).collect()
+    assert tuple(row.row) == (1, "http://h/1", "<p>x</p>", *names) and row.text == "x"
+
+
 @pytest.mark.parametrize("size", [1, 50_000])
 def test_neighbours_across_partitions(spark, monkeypatch, size):
     monkeypatch.setattr(html, "parts", lambda spark, rows, per: -(-rows // size))

@@ -2,26 +2,35 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from brightloom.session import cut
 
 
+#: Tables of found nodes that stand side by side before they are joined into one.
+TABLES = 8
+
+
 def closure(roots: DataFrame, edges: DataFrame) -> DataFrame:
     """(root, node, depth) for each node reachable from each root; depth is the least.
 
     ``roots`` has root, ``edges`` has src and dst. A root reaches itself at depth 0.
     A node met on several ways counts once, so diamonds and cycles end. Null roots and
     ends are ignored, an end without edges of its own is a leaf. Each step joins only
-    the nodes that were new in the last one, and its checkpoint keeps the plan flat.
+    the nodes that were new in the last one. What was found stands in at most TABLES
+    checkpointed tables, so the plan stays the same however deep the graph is.
     """
-    edges = edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct()
-    frontier = cut(roots.filter("root IS NOT NULL").select("root", F.col("root").alias("node")).distinct())
-    found, depth = frontier.withColumn("depth", F.lit(0)), 0
+    edges = cut(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
+    frontier = cut(roots.filter("root IS NOT NULL").select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    tables, depth = [frontier], 0
     while not frontier.isEmpty():
         depth += 1
         met = frontier.join(edges, F.col("node") == F.col("src")).select("root", F.col("dst").alias("node")).distinct()
-        frontier = cut(met.join(found, ["root", "node"], "left_anti"))
-        found = found.unionAll(frontier.withColumn("depth", F.lit(depth)))
-    return found
+        frontier = cut(met.join(reduce(DataFrame.unionAll, tables), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+        tables.append(frontier)
+        if len(tables) > TABLES:
+            tables = [cut(reduce(DataFrame.unionAll, tables))]
+    return reduce(DataFrame.unionAll, tables)

@@ -5,11 +5,14 @@ from __future__ import annotations
 import tarfile
 from io import BytesIO
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from brightloom.operators.bundle import bundle, manifest
 from brightloom.operators.closure import closure
+from brightloom.session import cut
 from brightloom.sources import module_tree
 
 
@@ -23,22 +26,48 @@ def resolve(spark: SparkSession, tree: str, roots: list[str]) -> tuple[DataFrame
     return reached, files, outside
 
 
+def members(listed: DataFrame) -> DataFrame:
+    """(root, path, offset, length): where each file stands in its root's archive.
+
+    ``listed`` has root, path and length. Members come in order of their paths, a header
+    of 512 bytes (more where the path needs it) and the content in blocks of 512 each.
+    Paths are sorted over all partitions, and what each holds is summed first, so one
+    package of any size is spread over them.
+    """
+
+    @F.pandas_udf("long")
+    def header(path: pd.Series) -> pd.Series:
+        return path.map(lambda x: len(tarfile.TarInfo(x).tobuf(tarfile.PAX_FORMAT)))
+
+    plain = (F.octet_length("path") <= 100) & ~F.col("path").rlike(r"[^\x00-\x7F]")
+    sized = listed.withColumn("size", F.when(plain, F.lit(512).cast("long")).otherwise(header("path")) + F.ceil(F.col("length") / 512) * 512)
+    ordered = cut(sized.repartitionByRange("root", "path").withColumn("part", F.spark_partition_id()))
+    sums = ordered.groupBy("root", "part").agg(F.sum("size").alias("total"))
+    before = Window.partitionBy("root").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("root", "part", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before"))
+    within = Window.partitionBy("root", "part").orderBy("path").rowsBetween(Window.unboundedPreceding, -1)
+    placed = ordered.withColumn("within", F.coalesce(F.sum("size").over(within), F.lit(0))).join(sums, ["root", "part"])
+    return placed.select("root", "path", (F.col("before") + F.col("within")).cast("long").alias("offset"), "length")
+
+
 def pack(spark: SparkSession, tree: str, root: str, out: str) -> dict:
     """Write ``out``, a tar archive of all files of a module and what it reaches.
 
     Files keep their places in the tree, so references hold as they are. They are
     streamed to the archive one by one, in order of their paths, with fixed times and
     owners: equal trees make equal archives. Returns the manifest's totals and the
-    references that the tree can't resolve, which the package then lacks.
+    references that the tree can't resolve, which the package then lacks. ``out`` is a
+    file of the driver, so its bytes pass through it, a partition at a time.
     """
     reached, files, outside = resolve(spark, tree, [root])
+    reached = cut(reached)
     listed = manifest(reached, files)
     rows = files.join(listed.select("path").distinct(), "path", "left_semi").orderBy("path")
-    with tarfile.open(out, "w") as archive:
+    with tarfile.open(out, "w", format=tarfile.PAX_FORMAT) as archive:
         for r in rows.toLocalIterator():
             content = bytes(r["content"] or b"")
             info = tarfile.TarInfo(r["path"])
             info.size = len(content)
             archive.addfile(info, BytesIO(content))
     total = bundle(reached, files).first()
-    return {"root": root, "files": total["n_files"] if total else 0, "bytes": total["n_bytes"] if total else 0, "digest": total["digest"] if total else None, "missing": sorted(r["dst"] for r in outside.collect())}
+    return {"root": root, "files": total["n_files"] if total else 0, "bytes": total["n_bytes"] if total else 0, "digest": total["digest"] if total else None, "missing": sorted(r["dst"] for r in outside.select("dst").distinct().collect())}

@@ -1,16 +1,19 @@
 """Packing queries over a graph made from foreign keys.
 
 Regions, nations, customers and orders stand for modules; each refers to those below
-it. The graph is a tree of four levels; tests cover diamonds and cycles.
+it, a tree of four levels. Suppliers and parts refer to each other, in cycles.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brightloom.operators import bundle, closure
+from brightloom.operators import bundle, closure, pack
 from brightloom.plans.registry import query, table
+from brightloom.session import cut
 
 _EDGES = """edges AS (
     SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
@@ -21,11 +24,13 @@ _REACHED = f"""WITH RECURSIVE {_EDGES}, reached AS (
     UNION ALL SELECT root, dst, depth + 1 FROM reached JOIN edges ON node = src)"""
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    def pairs(name: str, src: str, a: str, dst: str, b: str) -> DataFrame:
-        return table(spark, sf_dir, name).select(F.concat(F.lit(src), F.col(a)).alias("src"), F.concat(F.lit(dst), F.col(b)).alias("dst"))
+def _pairs(spark: SparkSession, sf_dir: str, name: str, src: str, a: str, dst: str, b: str) -> DataFrame:
+    return table(spark, sf_dir, name).select(F.concat(F.lit(src), F.col(a)).alias("src"), F.concat(F.lit(dst), F.col(b)).alias("dst"))
 
-    return pairs("nation", "r", "n_regionkey", "n", "n_nationkey").union(pairs("customer", "n", "c_nationkey", "c", "c_custkey")).union(pairs("orders", "c", "o_custkey", "o", "o_orderkey"))
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = (("nation", "r", "n_regionkey", "n", "n_nationkey"), ("customer", "n", "c_nationkey", "c", "c_custkey"), ("orders", "c", "o_custkey", "o", "o_orderkey"))
+    return reduce(DataFrame.union, (_pairs(spark, sf_dir, *x) for x in found))
 
 
 def roots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,11 +53,42 @@ def module_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bundle.manifest(closure.closure(roots(spark, sf_dir), edges(spark, sf_dir)), _files(spark, sf_dir))
 
 
+_ENTRY = "sha256(sha256(node) || sha256(c_name) || sha256(sha256(c_name)))"
+
+
 @query(
-    f"""{_REACHED} SELECT root, count(*) AS n_files, CAST(sum(strlen(c_name)) AS BIGINT) AS n_bytes,
-    sha256(CAST(sum(CAST(('0x' || substr(sha256(node || chr(10) || c_name || chr(10) || sha256(c_name)), 1, 12)) AS BIGINT)) AS VARCHAR)) AS digest
-    FROM reached JOIN customer ON node = 'c' || c_custkey GROUP BY root"""
+    f"""{_REACHED}, entries AS (SELECT root, strlen(c_name) AS n, {_ENTRY} AS member FROM reached JOIN customer ON node = 'c' || c_custkey),
+    cells AS (SELECT root, substr(member, 1, 3) AS cell, count(*) AS n_files, sum(n) AS n_bytes, sha256(string_agg(member, '' ORDER BY member)) AS inner_digest FROM entries GROUP BY 1, 2)
+    SELECT root, CAST(sum(n_files) AS BIGINT) AS n_files, CAST(sum(n_bytes) AS BIGINT) AS n_bytes, sha256(string_agg(cell || inner_digest, '' ORDER BY cell)) AS digest FROM cells GROUP BY root"""
 )
 def module_package(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One package for each root: its files' count, bytes and digest."""
-    return bundle.bundle(closure.closure(roots(spark, sf_dir), edges(spark, sf_dir)), _files(spark, sf_dir))
+    return bundle.bundle(cut(closure.closure(roots(spark, sf_dir), edges(spark, sf_dir))), _files(spark, sf_dir))
+
+
+@query(
+    f"""{_REACHED} SELECT root, c_name AS path, CAST(strlen(c_name) AS BIGINT) AS length,
+    CAST(coalesce(sum(512 + 512 * ((strlen(c_name) + 511) // 512)) OVER (PARTITION BY root ORDER BY encode(c_name) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset"
+    FROM reached JOIN customer ON node = 'c' || c_custkey"""
+)
+def module_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The members of each root's archive and where they stand in it."""
+    reached = closure.closure(roots(spark, sf_dir), edges(spark, sf_dir))
+    return pack.members(bundle.manifest(reached, _files(spark, sf_dir)).select("root", "path", "length"))
+
+
+@query(
+    """WITH RECURSIVE edges AS (
+    SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
+    UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+    UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM lineitem
+    UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM lineitem),
+    reached AS (SELECT 'r' || r_regionkey AS root, 'r' || r_regionkey AS node FROM region UNION SELECT root, dst FROM reached JOIN edges ON node = src)
+    SELECT root, node FROM reached"""
+)
+def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recursive resolution of a graph full of cycles and diamonds: suppliers refer to parts and back."""
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
+    lines = cut(lines)
+    down = _pairs(spark, sf_dir, "nation", "r", "n_regionkey", "n", "n_nationkey").union(_pairs(spark, sf_dir, "supplier", "n", "s_nationkey", "s", "s_suppkey"))
+    return closure.closure(roots(spark, sf_dir), down.union(lines).union(lines.select("dst", "src"))).select("root", "node")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from brightloom.plans.registry import query, table
+from brightloom.streaming import events
 
 
 @query(
@@ -82,6 +83,12 @@ def hourly_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("hour", "event_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("user_id").alias("n_users"), F.max(F.get_json_object("props", "$.k").cast("int")).alias("max_k"))
 
 
+@query("SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2")
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of an event-time stream by the hour."""
+    return events.streamed_counts(spark, f"{sf_dir}/events.parquet").select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
 @query(
     """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) OVER w <= INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)),
     s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS session FROM g)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from pathlib import Path
 
@@ -29,12 +30,22 @@ def local(cores: int | str = "*", **conf: str) -> SparkSession:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cut the lineage by a checkpoint in the folder that the cluster names.
+    """Cut the lineage by a checkpoint in the folder that the cluster names."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
 
-    The session's ``spark.checkpoint.dir``; only where it is unset, a temporary one.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only where it is unset and everything runs in one process a temporary one is made.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="brightloom-"))
-    return df.checkpoint(eager=True)
+    found = sc._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="brightloom-"))
+    return sc._jsc.sc().getCheckpointDir().get()

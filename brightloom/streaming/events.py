@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.session import shared_dir
+
 
 def tumbling_counts(events: DataFrame, every: str = "1 hour", late: str = "1 hour") -> DataFrame:
     """(start, event_type, n) of a stream or a table of events (ts, event_type).
@@ -16,3 +20,16 @@ def tumbling_counts(events: DataFrame, every: str = "1 hour", late: str = "1 hou
     rows = rows.withWatermark("ts", late) if events.isStreaming else rows
     counted = rows.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count(F.lit(1)).alias("n"))
     return counted.select(F.col("w.start").alias("start"), "event_type", "n")
+
+
+def streamed_counts(spark: SparkSession, path: str, every: str = "1 hour") -> DataFrame:
+    """``tumbling_counts`` of all that a Parquet path holds now, as a stream that has ended.
+
+    Checkpoints and the result are in the shared folder; every window is in the result,
+    also those that a watermark would hold back.
+    """
+    at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    counts = tumbling_counts(spark.readStream.schema(spark.read.parquet(path).schema).option("basePath", path.rpartition("/")[0]).parquet(path), every)
+    put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
+    counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
+    return spark.read.parquet(f"{at}/out")

@@ -23,6 +23,22 @@ def test_cycles_end(spark):
     assert got == {("a", "a"): 0, ("a", "b"): 1, ("c", "c"): 0, ("c", "a"): 1, ("c", "b"): 2}
 
 
+@pytest.mark.parametrize("tables", [1, 8])
+def test_deep_and_tangled_graphs(spark, monkeypatch, tables):
+    from brightloom.operators import closure as module
+
+    monkeypatch.setattr(module, "TABLES", tables)
+    edges = [(f"n{i}", f"n{j}") for i in range(13) for j in {i + 1, (i * 7 + 3) % 11, i // 2}]
+    want = {}
+    for root in ("n0", "n5", "n13"):
+        depth, level = {root: 0}, {root}
+        while level:
+            level = {d for s, d in edges if s in level} - depth.keys()
+            depth |= dict.fromkeys(level, max(depth.values()) + 1)
+        want |= {(root, n): d for n, d in depth.items()}
+    assert reached(spark, ["n0", "n5", "n13"], edges) == want
+
+
 def test_nulls_repeats_and_no_edges(spark):
     assert reached(spark, ["a", None, "a"], [("a", None), (None, "b"), ("a", "b"), ("a", "b")]) == {("a", "a"): 0, ("a", "b"): 1}
     assert reached(spark, ["a"], []) == {("a", "a"): 0}
@@ -76,6 +92,44 @@ def test_pack_writes_all_that_a_module_reaches(spark, tmp_path):
     assert (tmp_path / "one.tar").read_bytes() == (tmp_path / "two.tar").read_bytes()
 
 
+def test_members_stand_where_the_archive_has_them(spark, tmp_path):
+    from brightloom.operators.pack import members, resolve
+
+    tree = tmp_path / "tree"
+    tree.mkdir()
+    for i in range(40):
+        path = tree / f"{'d' * (i * 3)}é{i}.txt" if i % 2 else tree / f"f{i}.txt"
+        path.write_text("x" * i * 100)
+    (tree / "main.tf").write_text("")
+    (tree / ("long" * 20) / "and").mkdir(parents=True)
+    (tree / ("long" * 20) / "and" / ("more" * 20)).write_text("y" * 512)
+    found = pack(spark, str(tree), ".", str(tmp_path / "one.tar"))
+    reached_, files, _ = resolve(spark, str(tree), ["."])
+    got = {r.path: (r.offset, r.length) for r in members(manifest(reached_, files).select("root", "path", "length")).collect()}
+    with tarfile.open(tmp_path / "one.tar") as t:
+        want = {m.name: (m.offset, m.size) for m in t.getmembers()}
+    assert got == want and found["files"] == len(want) == 42
+
+
+def test_digest_tells_fields_apart(spark):
+    def digest(path, content):
+        files = spark.createDataFrame([("a", path, bytearray(content))], "node string, path string, content binary")
+        return bundle(spark.createDataFrame([("a", "a")], "root string, node string"), files).first().digest
+
+    assert len({digest("x", b"y"), digest("xy", b""), digest("x\ny", b""), digest("", b"xy")}) == 4
+
+
+def test_shared_folder_is_asked_for_on_a_cluster():
+    from types import SimpleNamespace
+
+    from brightloom.session import shared_dir
+
+    none = SimpleNamespace(isDefined=lambda: False)
+    sc = SimpleNamespace(master="spark://h:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: none)))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda *a: None)))
+
+
 def test_command_line(spark, tmp_path, capsys):
     from brightloom.__main__ import main
 

@@ -29,7 +29,7 @@ def streamed_counts(spark: SparkSession, path: str, every: str = "1 hour") -> Da
     also those that a watermark would hold back.
     """
     at = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
-    counts = tumbling_counts(spark.readStream.schema(spark.read.parquet(path).schema).option("basePath", path.rpartition("/")[0]).parquet(path), every)
+    counts = tumbling_counts(spark.readStream.schema(spark.read.parquet(path).schema).parquet(f"{path[:-1]}[{path[-1]}]"), every)  # a pattern may also be one file
     put = lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")
     counts.writeStream.outputMode("complete").option("checkpointLocation", f"{at}/state").trigger(availableNow=True).foreachBatch(put).start().awaitTermination()
     return spark.read.parquet(f"{at}/out")

@@ -9,8 +9,8 @@ import contextlib
 import ctypes
 import os
 import re
-import tempfile
 import uuid
+from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
@@ -18,6 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from brightloom import session
+
 #: Bytes of text that one partition of a text-heavy stage should hold.
 TEXT_PER_TASK = 16 << 20
 
@@ -59,19 +61,37 @@ def tidy() -> None:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    The session's ``spark.checkpoint.dir`` where it is set. Only where it is
-    unset (tests, one machine) a temporary folder is made and set.
-    """
+    """The folder that driver and executors share, the session's ``spark.checkpoint.dir``."""
     ship(spark)
-    sc = spark.sparkContext
-    found = sc._jsc.sc().getCheckpointDir()
-    if found.isDefined():
-        return found.get()
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="brightloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
+    return session.shared_dir(spark)
+
+
+def table_path(spark: SparkSession) -> str:
+    """A new path for a table, in the application's own folder within the shared one."""
+    path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    _MADE.append(path)
+    return path
+
+
+#: Paths of tables that this driver has made and not deleted.
+_MADE: list[str] = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a table in whatever store it is."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found.getFileSystem(spark._jsc.hadoopConfiguration()).delete(found, True)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables that are made within go at its end: for work whose result is written by then."""
+    before = len(_MADE)
+    try:
+        yield
+    finally:
+        while len(_MADE) > before:
+            delete(spark, _MADE.pop())
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -86,7 +106,7 @@ def stored(df: DataFrame) -> DataFrame:
     For wide rows: a checkpoint would write them uncompressed.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
+    path = table_path(spark)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

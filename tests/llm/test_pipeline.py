@@ -3,6 +3,7 @@
 import collections
 import random
 import string
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -89,6 +90,10 @@ def test_any_column_names(spark, sf_dir):
 
 def test_run(spark, sf_dir):
     out = cp.run(spark, sf_dir)
+    tables, pipelines = (list(Path(spark.conf.get("spark.checkpoint.dir")).glob(f"*/{x}")) for x in ("tables-*/*", "pipeline-*"))
+    assert len(pipelines) == 1
+    again = cp.run(spark, sf_dir)
+    assert len(list(Path(spark.conf.get("spark.checkpoint.dir")).glob("*/tables-*/*"))) == len(tables) and again.count() == out.count()
     load = out.groupBy("sequence_id").agg(F.sum("length").alias("n")).collect()
     assert load and max(r.n for r in load) <= packing.CAPACITY
 

@@ -26,7 +26,7 @@ SPAN = 50
 #: Words of passages that one automaton is built from at most, but for a larger bucket.
 AUTOMATON_WORDS = 60_000
 #: Word hashes that a worker keeps.
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 
 
 class _Hashes(dict):

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table
+from .common import cut, read_table, tidy
 
 CAPACITY = 2048
 #: A bin that has at most so many tokens left is nearly full.
@@ -27,7 +27,7 @@ SLACK = 16
 #: Items or bins that one task packs.
 ITEMS_PER_TASK = 60_000
 #: Words whose ids a worker keeps in each of two generations.
-WORDS_KEPT = 600_000
+WORDS_KEPT = 150_000
 MEMBER = "struct<doc_id:bigint,piece:int,start:bigint,length:bigint,ids_crc32:bigint>"
 
 #: Characters whose case and class don't depend on context or Unicode version.
@@ -109,6 +109,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
             types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
             columns = [pa.array(c, t) for c, t in zip(out, types, strict=True)][: 6 if with_ids else 5]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "piece", "start", "length", "ids_crc32", "ids"][: len(columns)])
+        tidy()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return docs.select(F.col(id_col).cast("bigint"), F.col(text)).mapInArrow(run, schema)

@@ -31,7 +31,7 @@ BLOCK = 1 << 17
 #: passages are cut into pieces of so many windows, and the pieces put in buckets again.
 BUCKET, STEPS = 1024, (16, 1)
 #: Bytes of distinct passages that one shard of buckets holds.
-SHARD_BYTES = 1 << 20
+SHARD_BYTES = 1 << 19
 #: Bytes of passages that a worker holds before it hands them on.
 FLUSH_BYTES = 4 << 20
 #: Ranks after every other id: where a document has none.

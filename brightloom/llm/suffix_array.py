@@ -58,7 +58,7 @@ def named(keys: np.ndarray) -> tuple[np.ndarray, int]:
     """A number for each distinct key, and how many there are."""
     order = np.argsort(keys)
     ordered = keys[order]
-    out = np.empty(len(keys), np.int64)
+    out = np.empty(len(keys), np.int32)
     out[order] = np.cumsum(np.concatenate([[0], ordered[1:] != ordered[:-1]]))[: len(keys)]
     return out, int(out.max(initial=-1)) + 1
 
@@ -73,7 +73,7 @@ def refine(ids: np.ndarray, valid: np.ndarray, offset: int, pointers: np.ndarray
     active = valid[sizes[ids[valid]] > 1]
     if not len(active):
         return ids, buckets
-    names, n = named(ids[active] * np.int64(buckets) + pointers[active + offset])
+    names, n = named(ids[active].astype(np.int64) * buckets + pointers[active + offset])
     refined = ids.copy()
     refined[active] = buckets + names
     return refined, buckets + n
@@ -86,7 +86,7 @@ def initial(data: bytes, at: np.ndarray, ends: np.ndarray, q: int) -> tuple[np.n
     compared; if hashes ever clash, buckets of 8 bytes are refined instead.
     """
     eight = _grams8(data, ">")
-    ids, whole = np.zeros(len(data), np.int64), max(0, len(data) - q + 1)
+    ids, whole = np.zeros(len(data), np.int32), max(0, len(data) - q + 1)
     if q == 8:
         ids[:whole], n = named(eight)
     else:

@@ -38,3 +38,34 @@ runs AS (SELECT *, CASE WHEN gone = 1 AND lag(gone, 1, 0) OVER (PARTITION BY doc
 kept AS (SELECT doc_id, CAST(sum(gone) AS BIGINT) AS n_removed, CAST(sum(opens) AS BIGINT) AS n_spans, CAST(sum(shorter) AS BIGINT) AS n_shorter, coalesce(string_agg(byte, '' ORDER BY i) FILTER (WHERE gone = 0), '') AS t FROM runs GROUP BY doc_id)
 SELECT h.doc_id, CAST(n AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept.t, h.t))) AS kept_sha256, coalesce(n_shorter, 0) AS n_repeated_200
 FROM h LEFT JOIN kept ON kept.doc_id = h.doc_id"""
+
+#: The table of CRC-32, and of a text's bytes in hexadecimal digits the CRC.
+_CRC_TABLE = "crc AS MATERIALIZED (SELECT list(c ORDER BY n) AS t FROM (SELECT n, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, n) AS c FROM range(256) AS r(n)))"
+_CRC = "xor(list_reduce(list_transform(range(length({0}) // 2), lambda i: CAST('0x' || substr({0}, 2 * i + 1, 2) AS BIGINT)), lambda c, b: xor(c >> 8, crc.t[(xor(c, b) & 255) + 1]), 4294967295), 4294967295)"
+
+#: Out-of-place distances to the profiles of all labelled documents (no language of the tested table has more than the
+#: operator's sample). An n-gram is its length and three code points, 0 for a border.
+LANGUAGE_ID = rf"""WITH {_CRC_TABLE},
+d AS (SELECT doc_id, lang, text, {_CRC.format("hex(encode(CAST(doc_id AS VARCHAR)))")} % 5 = 0 AS held_out FROM documents, crc),
+chars AS (SELECT doc_id, [0] || list_transform(regexp_extract_all(lower(coalesce(text, '')), '(?s).'), lambda c: CASE WHEN regexp_matches(c, '\pL') THEN unicode(c) ELSE 0 END) || [0] AS x FROM d),
+spots AS (SELECT doc_id, x[i] AS a, x[i + 1] AS b, x[i + 2] AS c FROM chars, unnest(range(1, length(x) - 1)) AS t(i)),
+grams AS (SELECT doc_id, 1 AS k, 0 AS a, 0 AS b, b AS c FROM spots WHERE b > 0 UNION ALL SELECT doc_id, 2, 0, a, b FROM spots WHERE b > 0 OR a > 0 UNION ALL SELECT doc_id, 3, a, b, c FROM spots WHERE b > 0),
+counted AS MATERIALIZED (SELECT doc_id, k, a, b, c, count(*) AS n FROM grams GROUP BY ALL),
+profiles AS MATERIALIZED (SELECT lang, k, a, b, c, row_number() OVER (PARTITION BY lang ORDER BY sum(n) DESC, k, a, b, c) - 1 AS place FROM counted JOIN d USING (doc_id) WHERE lang IS NOT NULL AND text IS NOT NULL AND NOT held_out GROUP BY lang, k, a, b, c QUALIFY place < 300),
+tops AS (SELECT doc_id, k, a, b, c, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, k, a, b, c) - 1 AS place FROM counted QUALIFY place < 300),
+each AS (SELECT doc_id, l.lang, sum(least(300, coalesce(abs(p.place - t.place), 300))) AS far, count(*) AS n FROM tops t CROSS JOIN (SELECT DISTINCT lang FROM profiles) l LEFT JOIN profiles p ON p.lang = l.lang AND p.k = t.k AND p.a = t.a AND p.b = t.b AND p.c = t.c GROUP BY doc_id, l.lang),
+best AS (SELECT doc_id, lang, 1.0::DOUBLE - CAST(far AS DOUBLE) / CAST(300 * n AS DOUBLE) AS score FROM each QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY far, lang) = 1)
+SELECT d.doc_id, d.held_out, coalesce(best.lang, 'und') AS lang_pred, coalesce(score, CAST(0 AS DOUBLE)) AS score FROM d LEFT JOIN best USING (doc_id)"""
+
+#: The heap as a recursion over all groups, largest first; shards of equal load by number.
+LPT_SHARDING = f"""WITH RECURSIVE {_CRC_TABLE},
+rows_ AS MATERIALIZED (SELECT doc_id, strlen(coalesce(text, '')) + 1 AS size, coalesce(text, '') AS t, sha256(coalesce(text, '')) AS key FROM documents),
+groups_ AS MATERIALIZED (SELECT key, sum(size) AS size, CAST('0x' || substr(sha256(unhex(key)), 1, 8) AS BIGINT) % 256 AS cell FROM rows_ GROUP BY key),
+ordered AS MATERIALIZED (SELECT size, row_number() OVER (ORDER BY size DESC) AS i FROM groups_),
+heap AS (SELECT CAST(0 AS BIGINT) AS i, [CAST(0 AS BIGINT) FOR s IN range(8)] AS loads, CAST(-1 AS BIGINT) AS shard, CAST(0 AS BIGINT) AS size
+    UNION ALL SELECT o.i, [CASE WHEN s = list_position(h.loads, list_min(h.loads)) THEN h.loads[s] + CAST(o.size AS BIGINT) ELSE h.loads[s] END FOR s IN range(1, 9)], list_position(h.loads, list_min(h.loads)) - 1, CAST(o.size AS BIGINT) FROM heap h JOIN ordered o ON o.i = h.i + 1),
+given AS (SELECT size, shard, row_number() OVER (PARTITION BY size ORDER BY shard) AS r FROM heap WHERE i > 0),
+ranked AS (SELECT key, size, row_number() OVER (PARTITION BY size ORDER BY cell, key) AS r FROM groups_),
+placed AS (SELECT x.*, g.shard, CAST('0x' || substr(sha256(CAST(x.doc_id AS VARCHAR) || ':' || upper(x.key)), 1, 8) AS BIGINT) % 16 AS cell FROM rows_ x JOIN ranked r USING (key) JOIN given g ON g.size = r.size AND g.r = r.r)
+SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({_CRC.format("hex(encode(placed.t))")} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
+    CAST(row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id, key) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM placed, crc"""

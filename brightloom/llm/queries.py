@@ -35,6 +35,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_language_id": oracles.LANGUAGE_ID,
+    "op4_lpt_sharding": oracles.LPT_SHARDING,
     "op7_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,

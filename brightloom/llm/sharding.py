@@ -58,6 +58,11 @@ def deal(histogram: list[tuple[int, int]], n_shards: int) -> dict[int, list[int]
     return dealt
 
 
+def _cell(data: F.Column, cells: int) -> F.Column:
+    """One of so many cells, by the digest of some bytes."""
+    return F.pmod(F.conv(F.substring(F.sha2(data, 256), 1, 8), 16, 10).cast("bigint"), F.lit(cells))
+
+
 def number_within(df: DataFrame, by: list[str], cell: str, order: list, out: str) -> DataFrame:
     """Number rows from 0 without gaps within ``by``; no task holds more than a cell."""
     counts = df.groupBy(*by, cell).agg(F.count(F.lit(1)).alias("_n"))
@@ -70,14 +75,14 @@ def number_within(df: DataFrame, by: list[str], cell: str, order: list, out: str
 def lpt_shards(rows: DataFrame, n_shards: int, group: str = "group_key", size: str = "size") -> DataFrame:
     """Add ``shard``: all rows of one ``group`` in one shard, loads near equal.
 
-    ``group`` must not be null (nulls would drop out of the join); ``size`` is a
+    ``group`` is binary or text and must not be null (nulls would drop out of the join); ``size`` is a
     long of at least 0. Ties are broken by the group's key, so the result depends
     on the rows only. An empty table gives an empty table. A group of a third of
     all rows is summed before the shuffle and joined back by a skew-split join.
     """
     spark = rows.sparkSession
     groups = rows.groupBy(group).agg(F.sum(size).alias("_size"))
-    groups = cut(groups.withColumn("_cell", F.pmod(F.xxhash64(group), F.lit(RANK_CELLS))))
+    groups = cut(groups.withColumn("_cell", _cell(F.col(group).cast("binary"), RANK_CELLS)))
     histogram = [(int(r["_size"]), int(r["n"])) for r in groups.groupBy("_size").agg(F.count(F.lit(1)).alias("n")).collect()]
     bounds = []
     for s, given in deal(histogram, n_shards).items():
@@ -108,7 +113,7 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, text: str = "text", id_c
     )
     rows = cut(rows)
     cells = max(16, rows.count() // n_shards // ROWS_PER_CELL)
-    placed = lpt_shards(rows, n_shards).withColumn("_cell", F.pmod(F.xxhash64("doc_id", "group_key"), F.lit(cells)))
+    placed = lpt_shards(rows, n_shards).withColumn("_cell", _cell(F.concat_ws(":", F.col("doc_id").cast("string"), F.hex("group_key")), cells))
     return number_within(cut(placed), ["shard"], "_cell", ["doc_id", "group_key"], "slot")
 
 

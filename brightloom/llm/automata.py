@@ -6,25 +6,31 @@ is built where its passages are, and the passages of all documents that could ma
 it are streamed over it for their matching statistics. Each state knows the smallest
 document id that its words come from. An automaton of all reference text would grow
 with the corpus, so it is the shard, of bounded size, that travels to a task, and a
-document meets only the shards that hold one of its anchors.
+document meets only the shards that hold one of its anchors. References that are a set
+of their own, of bounded size, are broadcast (``remove_known``).
 """
 
 from __future__ import annotations
 
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import passages
-from .common import read_table
+from .common import named, read_table, ship
 from .passages import Units, mix
 
 SPAN = 50
 #: Words of passages that one automaton is built from at most, but for a larger bucket.
 AUTOMATON_WORDS = 60_000
+#: Bytes of text of a shard of outside references, whose automaton is broadcast.
+REFERENCE_BYTES = 1 << 20
+WINDOWS = "array<struct<first:int,last:int>>"
 #: Word hashes that a worker keeps.
 WORDS_KEPT = 100_000
 
@@ -206,6 +212,42 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col
     return passages.without(rows, anchors, windows, units, F.col("doc") > F.col("min_doc"), with_kept)
 
 
+def remove_known(docs: DataFrame, references: DataFrame, span: int = SPAN, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, with_kept: bool = True) -> DataFrame:
+    """Remove every word in a window of ``span`` words that stands in a reference text.
+
+    For references of their own, such as texts that are published already: their shards
+    of about REFERENCE_BYTES are taken one by one, the shard's automaton is broadcast, and
+    all documents stream over it. No document is shuffled, so no text of any number of
+    copies matters. Returns what ``remove_repeats`` does; null texts and null references
+    have no words, and no reference leaves documents as they are.
+    """
+    units, spark = word_units(span), docs.sparkSession
+    ship(spark)
+    rows = passages.keyed(docs, text, id_col, docs.columns if carry is None else carry).select("row", "text", "absent")
+    marked = rows.withColumn("windows", F.lit(None).cast(WINDOWS))
+    total = references.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    shards = -(-total // REFERENCE_BYTES)
+    dealt = references.select(named(text).alias("t"), F.pmod(F.xxhash64(named(text)), F.lit(shards or 1)).alias("s"))
+    for shard in range(shards):
+        automaton = Automaton()
+        for r in dealt.filter(F.col("s") == shard).select("t").distinct().toLocalIterator():
+            automaton.add((r["t"] or "").encode().split(), 0)
+        automaton.close()
+        held = spark.sparkContext.broadcast(automaton)
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = []
+                for t, before in zip(batch.column("text"), batch.column("windows").to_pylist(), strict=True):
+                    found = [i for i, least in enumerate(held.value.statistics(t.as_py().encode().split(), span)) if least is not None]
+                    runs = np.split(found, np.flatnonzero(np.diff(found) != 1) + 1) if found else []
+                    out.append((before or []) + [{"first": int(r[0]), "last": int(r[-1])} for r in runs])
+                yield batch.set_column(batch.schema.get_field_index("windows"), "windows", pa.array(out, pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32())]))))
+
+        marked = marked.mapInArrow(run, marked.schema)
+    return passages.cut_out(marked.withColumns({"whole": F.lit(False), "shorter": F.lit(None).cast(WINDOWS)}), units, with_kept)
+
+
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeats(read_table(spark, sf_dir, "documents"), carry=["doc_id"], with_kept=False)
     return out.select("row.doc_id", F.col("n_units").alias("n_words"), "n_removed", "kept_sha256")

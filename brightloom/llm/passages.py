@@ -338,9 +338,13 @@ def without(rows: DataFrame, anchors: DataFrame, windows: DataFrame, units: Unit
         marks, other = marks.join(shorter.select("d1", "d2", F.col("windows").alias("shorter")), ["d1", "d2"], "left"), F.col("shorter")
     marks = marks.withColumn("shorter", other)
     marked = rows.join(marks, ["d1", "d2"], "left").select("row", "text", "absent", F.coalesce(whole, F.lit(False)).alias("whole"), "windows", "shorter")
+    return cut_out(marked, units, with_kept, shorter is not None, shorter_span)
+
+
+def cut_out(marked: DataFrame, units: Units, with_kept: bool, asked: bool = False, shorter_span: int = 0) -> DataFrame:
+    """What ``without`` returns, of rows with row, text, absent, whole, windows and shorter."""
     names = ["n_units", "n_removed", "n_spans", "kept_sha256", "kept", "n_shorter"]
     kinds = [pa.int64()] * 3 + [pa.string(), pa.string(), pa.int64()]
-    asked = shorter is not None
 
     def covers(all_: bool, found: list[np.ndarray] | None, n: int, span: int) -> list[tuple[int, int]]:
         return ([(0, n)] if n >= span else []) if all_ else covered(found, span)

@@ -100,6 +100,27 @@ def test_both_removals_equal_brute_force(spark, monkeypatch, bucket):
         assert got == brute_words(rows, span)
 
 
+@pytest.mark.parametrize("size", [1 << 20, 900])
+def test_known_texts_equal_brute_force(spark, monkeypatch, size):
+    monkeypatch.setattr(automata, "REFERENCE_BYTES", size)
+    rows, span = corpus(7), 10
+    known = [t for _, t in rows[::6]] + [None, ""]
+    docs, references = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(t,) for t in known], "text string")
+    windows = {tuple(w[i : i + span]) for t in known for w in [(t or "").encode().split()] for i in range(len(w) - span + 1)}
+    want = collections.Counter()
+    for d, t in rows:
+        w = (t or "").encode().split()
+        gone = bytearray(len(w))
+        for i in range(len(w) - span + 1):
+            if tuple(w[i : i + span]) in windows:
+                gone[i : i + span] = b"\1" * span
+        want[d, len(w), sum(gone), hashlib.sha256(b" ".join(x for x, y in zip(w, gone, strict=True) if not y)).hexdigest()] += 1
+    got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.kept_sha256) for r in automata.remove_known(docs, references, span).collect())
+    assert got == want and sum(x[2] > 0 for x in want) > 20
+    none = automata.remove_known(docs, references.limit(0), span)
+    assert none.count() == len(rows) and none.filter("n_removed > 0").count() == 0 and automata.remove_known(docs.limit(0), references, span).count() == 0
+
+
 def test_any_column_names(spark):
     names = ["my col", "a-b", "a.b", "_", "row", "text ", "c`d", "doc"]
     docs = spark.createDataFrame([(1, "x y", *names), (2, None, *names)], ["doc_id", "text", *names])

@@ -3,8 +3,8 @@
 A recording's spectrum is folded to twelve pitch classes for each frame. Filters of
 an integral image over (frame, pitch class) compare rectangles of it; each answers in
 two bits, and sixteen of them pack one integer for each frame. Recordings are aligned
-by the offsets at which integers are equal, but for bits that were uncertain, and
-compared by the share of bits that differ at each of these offsets.
+by the histogram of offsets at which integers are equal, but for bits that were
+uncertain, and compared by the share of bits that differ at each offset in it.
 """
 
 from __future__ import annotations

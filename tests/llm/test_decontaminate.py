@@ -1,6 +1,10 @@
 """op2 against edit distances of every segment to every place."""
 
 import random
+import re
+
+import numpy as np
+import pytest
 
 from brightloom.llm import decontaminate as dc
 
@@ -15,6 +19,47 @@ def infix_distance(segment, window):
     return min(before)
 
 
+def infix_distances(segments, window):
+    """``infix_distance`` of many segments to one window, a column of all tables at a time."""
+    sizes, text = np.array([len(s) for s in segments]), np.frombuffer(window, np.uint8)
+    padded = np.array([list(s.ljust(sizes.max(), b"\0")) for s in segments], np.uint8)
+    at = np.arange(len(text) + 1)
+    before, out = np.zeros((len(segments), len(text) + 1), int), np.zeros(len(segments), int)
+    for i in range(sizes.max()):
+        row = before + 1
+        row[:, 1:] = np.minimum(row[:, 1:], before[:, :-1] + (padded[:, i : i + 1] != text))
+        before = np.minimum.accumulate(row - at, axis=1) + at
+        out = np.where(sizes == i + 1, before.min(axis=1), out)
+    return out
+
+
+def test_distances_of_many_segments():
+    rnd = random.Random(8)
+    for _ in range(50):
+        segments, window = [bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 12))) for _ in range(5)], bytes(rnd.choice(b"abc") for _ in range(rnd.randrange(1, 20)))
+        assert infix_distances(segments, window).tolist() == [infix_distance(s, window) for s in segments]
+
+
+@pytest.mark.parametrize("n", [*range(1, 60), 79, 80, 81, 99, 120])
+def test_every_edit_at_every_place_is_found(n):
+    rnd = random.Random(n)
+    item = "".join(rnd.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(n))
+    index = dc.build([(1, item)])
+    segments = list(index.segments)
+    for at in range(n):
+        for edit in ("", "0", item[at] + "0"):
+            text = item[:at] + edit + item[at + 1 :]
+            for k in range(dc.budget(min(n, 80)) - 1):  # more edits, spread over the text
+                place = (at + (k + 1) * len(text) // dc.budget(min(n, 80))) % len(text)
+                text = text[:place] + "1" + text[place + 1 :]
+            text = f"9 {text} 9"
+            want = infix_distances(segments, text.encode()) <= [dc.budget(len(s)) for s in segments]
+            if n < 2 * dc.Q:  # exactly, and as whole words
+                want = np.array([re.search(rf"(?<![a-z0-9]){item}(?![a-z0-9])", text) is not None])
+            assert sorted({s for s, *_ in dc.regions(text, index)}) == np.flatnonzero(want).tolist(), (at, edit)
+            assert n < 2 * dc.Q or want.any()
+
+
 def items_of(spark, sf_dir):
     return [(r.item_id, r.text) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
 
@@ -23,14 +68,14 @@ def test_filter_and_alignment_lose_nothing_within_the_budget(spark, sf_dir):
     rnd = random.Random(4)
     items = items_of(spark, sf_dir)[:6]
     index = dc.build(items)
-    found = 0
+    found, segments = 0, list(index.segments)
     for _ in range(60):
         t = list(rnd.choice(items)[1][rnd.randrange(30) :])
         for _ in range(rnd.randrange(14)):
             t[rnd.randrange(len(t))] = rnd.choice(["", "x", "ab", "é"])
         text = "of the and " * rnd.randrange(12) + "".join(t) + " in the"
         data = dc.normal(text)[0]
-        want = {s for s, x in enumerate(index.segments) if infix_distance(x, data) <= dc.budget(len(x))}
+        want = set(np.flatnonzero(infix_distances(segments, data) <= [dc.budget(len(x)) for x in segments]).tolist())
         assert {s for s, *_ in dc.regions(text, index)} == want
         found += len(want)
     assert found > 30

@@ -1,5 +1,6 @@
 """op3: base phrases against brute force, rules by example, suppression."""
 
+import random
 import re
 
 import pytest
@@ -82,3 +83,72 @@ def test_keywords_stand_in_all_spellings(spark):
         assert any(r.label == label and r.keyword in plain and re.search(r.regex, plain) for r in rules()), text
     rows = found(spark, list(spellings))
     assert all(label in str(rows[text]) for text, label in spellings.items())
+
+
+def spelled(parsed, rnd):
+    """A random text that a regex matches."""
+    out = ""
+    for kind, x in parsed:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(x)
+        elif name == "NOT_LITERAL":
+            out += "w"
+        elif name == "ANY":
+            out += "w"
+        elif name == "IN":
+            out += "w" if str(x[0][0]) == "NEGATE" else rnd.choice([chr(v) if str(k) == "LITERAL" else chr(rnd.randint(*v)) for k, v in x])
+        elif name == "SUBPATTERN":
+            out += spelled(x[3], rnd)
+        elif name == "BRANCH":
+            out += spelled(rnd.choice(x[1]), rnd)
+        elif name == "MAX_REPEAT":
+            out += "".join(spelled(x[2], rnd) for _ in range(rnd.randint(x[0], min(int(x[1]), x[0] + 2))))
+        else:
+            assert name == "ASSERT", name
+    return out
+
+
+def spellings(rule, rnd, n):
+    parsed = re._parser.parse(rule.regex.removeprefix("(?<= )(?:").removesuffix(")(?= )"))
+    return [spelled(parsed, rnd) for _ in range(n)]
+
+
+def test_a_rule_matches_only_where_its_keyword_stands():
+    rnd = random.Random(11)
+    for rule in rules():
+        for text in spellings(rule, rnd, 40):
+            text = re.sub("[^a-z0-9]+", " ", text).strip()
+            if re.search(rule.regex, f" {text} "):
+                assert rule.keyword in f" {text} " and any(g in f" {text} " for g in licenses.gates(rules())), (rule, text)
+
+
+def brute_labels(text):
+    """Every rule on the whole text; what another one contains that is no worse goes."""
+    words = _WORD.findall((text or "").translate(_LOWER))
+    plain = " " + " ".join(words) + " "
+    hits = []
+    for rule in rules():
+        if rule.keyword in plain:
+            hits += [(plain[: m.start()].count(" ") - 1, plain[: m.end()].count(" ") - 1, rule.priority, rule.id, rule.label) for m in re.finditer(rule.regex, plain)]
+    hits.sort(key=lambda h: (h[0], -h[1], h[2], h[3]))
+    kept = [h for i, h in enumerate(hits) if not any(e[1] >= h[1] and e[2] <= h[2] for e in hits[:i])]
+    base = brute(text)[4]
+    labels = {*filter(None, base.split(",")), *(h[4] for h in kept)}
+    best = min((h[2] for h in kept), default=None)
+    return ",".join(sorted(labels)), licenses.CONFIDENCE[best] if best else licenses.BASE_CONFIDENCE if base else 0.0
+
+
+def test_method_labels_equal_brute_force(spark, sf_dir):
+    rnd = random.Random(12)
+    table = rules()
+    texts = [t for rule in table for t in spellings(rule, rnd, 1)]
+    for _ in range(300):
+        parts = [spellings(rnd.choice(table), rnd, 1)[0] if rnd.random() < 0.7 else " ".join(rnd.choice(["the", "license", "of", "mit", "version", "2", "rights"]) for _ in range(4)) for _ in range(rnd.randint(2, 7))]
+        texts.append(rnd.choice([" ", "\n", ", "]).join(x.title() if rnd.random() < 0.3 else x for x in parts))
+    texts += [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("text").distinct().collect()]
+    texts = sorted(set(texts))
+    rows = found(spark, texts)
+    wrong = {t: ((r.labels, r.score), brute_labels(t)) for t, r in rows.items() if (r.labels, r.score) != brute_labels(t)}
+    assert not wrong, next(iter(wrong.items()))
+    assert len({x for r in rows.values() for x in r.labels.split(",")}) > 80

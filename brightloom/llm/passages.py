@@ -177,11 +177,12 @@ def anchor_table(rows: DataFrame, units: Units) -> DataFrame:
     return stored(grouped.select("d1", "d2", "min_doc", "copies", "a.*"))
 
 
-def passage_table(rows: DataFrame, anchors: DataFrame, units: Units) -> DataFrame:
-    """Passages around anchors that stand in two places, one row for each place."""
+def passage_table(rows: DataFrame, anchors: DataFrame, units: Units, across: bool = False) -> DataFrame:
+    """Passages around anchors that stand in two places (``across``: in two texts), one row
+    for each place."""
     each = anchors.select("d1", "d2", F.inline(F.arrays_zip("keys", "lo", "hi", "again"))).withColumnRenamed("keys", "key")
     two = each.groupBy("key").agg(F.min("d1").alias("a"), F.max("d1").alias("b"), F.max("again").alias("again"))
-    two = cut(two.filter("a <> b OR again").select("key"))  # so that a hot key's side of the join can be split
+    two = cut(two.filter("a <> b" if across else "a <> b OR again").select("key"))  # so that a hot key's side of the join can be split
     shared = each.drop("again").join(two, "key").groupBy("d1", "d2").agg(F.collect_list(F.struct("key", "lo", "hi")).alias("places"))
     shared = shared.join(anchors.select("d1", "d2", F.col("min_doc").alias("doc"), "copies"), ["d1", "d2"])
     texts = rows.select("doc", "text", "d1", "d2").join(shared, ["d1", "d2", "doc"])
@@ -253,27 +254,27 @@ def _pieces(units: Units, step: int) -> Callable[[Iterator[pa.RecordBatch]], Ite
 PIECES = dict.fromkeys(("doc", "copies", "p1", "p2"), pa.int64()) | {"at": pa.int32(), "key": pa.int64(), "q1": pa.int64(), "q2": pa.int64(), "anchor": pa.int32(), "passage": pa.binary()}
 
 
-def resolved(places: DataFrame, decide: Callable[..., tuple[np.ndarray, ...]], units: Units) -> DataFrame:
+def resolved(places: DataFrame, decide: Callable[..., tuple[np.ndarray, ...]], units: Units, total: Callable[[str], F.Column] = F.sum) -> DataFrame:
     """Runs of windows and their values, for each distinct passage: p1, p2, runs.
 
-    ``decide`` gets whole buckets as keys, passages, smallest ids, places, and a number
-    that tells calls apart, and returns runs of window offsets, those to keep only, as
-    passage (its place among them, ascending), first, last and value.
+    ``decide`` gets whole buckets as keys, passages, smallest ids, places (the ``total``
+    of copies), and a number that tells calls apart, and returns runs of window offsets,
+    those to keep only, as passage (its place among them, ascending), first, last and value.
     """
-    distinct = places.groupBy("key", "p1", "p2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"))
+    distinct = places.groupBy("key", "p1", "p2", "passage").agg(F.min("doc").alias("doc"), total("copies").alias("copies"))
     distinct = stored(distinct.withColumn("anchor", F.lit(None).cast("int")))
-    return _resolved(distinct, decide, units, STEPS)
+    return _resolved(distinct, decide, units, STEPS, total)
 
 
-def _resolved(distinct: DataFrame, decide: Callable, units: Units, steps: tuple[int, ...]) -> DataFrame:
+def _resolved(distinct: DataFrame, decide: Callable, units: Units, steps: tuple[int, ...], total: Callable[[str], F.Column]) -> DataFrame:
     """Decide on buckets; crowded ones are refined to buckets of pieces first, by ``steps``.
 
     Pieces of one window have buckets that hold nothing but that window, so the last
     step leaves none crowded.
     """
     spark = distinct.sparkSession
-    total = distinct.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // SHARD_BYTES)
+    size = distinct.agg(F.sum(F.octet_length("passage"))).first()[0] or 0
+    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHARD_BYTES)
     level = len(steps)
 
     def shard(table: pa.Table) -> pa.Table:
@@ -298,8 +299,8 @@ def _resolved(distinct: DataFrame, decide: Callable, units: Units, steps: tuple[
     if crowded is None:
         return small
     pieces = stored(distinct.join(crowded, "key").mapInArrow(_pieces(units, steps[0]), "doc bigint, copies bigint, p1 bigint, p2 bigint, at int, key bigint, q1 bigint, q2 bigint, anchor int, passage binary"))
-    own = stored(pieces.groupBy("key", "q1", "q2", "passage").agg(F.min("doc").alias("doc"), F.sum("copies").alias("copies"), F.first("anchor").alias("anchor")).withColumnsRenamed({"q1": "p1", "q2": "p2"}))
-    inner = cut(_resolved(own, decide, units, steps[1:])).withColumnsRenamed({"p1": "q1", "p2": "q2"})
+    own = stored(pieces.groupBy("key", "q1", "q2", "passage").agg(F.min("doc").alias("doc"), total("copies").alias("copies"), F.first("anchor").alias("anchor")).withColumnsRenamed({"q1": "p1", "q2": "p2"}))
+    inner = cut(_resolved(own, decide, units, steps[1:], total)).withColumnsRenamed({"p1": "q1", "p2": "q2"})
     each = pieces.select("p1", "p2", "at", "q1", "q2").join(inner, ["q1", "q2"]).select("p1", "p2", "at", F.inline("runs"))
     moved = F.struct((F.col("at") + F.col("first")).alias("first"), (F.col("at") + F.col("last")).alias("last"), "value")
     return small.unionAll(each.groupBy("p1", "p2").agg(F.collect_list(moved).alias("runs")))

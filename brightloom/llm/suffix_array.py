@@ -138,22 +138,35 @@ def repeated(texts: list[bytes], span: int) -> list[np.ndarray]:
     return np.split(twice, np.searchsorted(windows, np.cumsum([len(t) for t in texts]))[:-1])
 
 
-def _decide(span: int):
+def _shared(first: np.ndarray, owner: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Whether the final bucket of each string has strings of two texts; ``low`` and ``high``
+    are the smallest and largest text of each passage."""
+    size, ends = first.max(initial=-1) + 1, np.iinfo(np.int64)
+    least, most = np.full(size, ends.max), np.full(size, ends.min)
+    np.minimum.at(least, first, low[owner])
+    np.maximum.at(most, first, high[owner])
+    return (least < most)[first]
+
+
+def _decide(span: int, across: bool = False):
     def decide(keys: np.ndarray, passages_: list[bytes], docs: np.ndarray, copies: np.ndarray, number: int) -> tuple[np.ndarray, ...]:
         """Runs of strings that stand in two places; values are pointers, equal for equal strings
-        only, and count up along a run. A passage alone in its bucket has no two equal strings."""
+        only, and count up along a run. A passage alone in its bucket has no two equal strings.
+
+        With ``across``, of strings that stand in two texts: ``docs`` and ``copies`` are then
+        the smallest and the largest text that has the passage."""
         sizes = np.array([len(p) for p in passages_])
         starts = np.cumsum([0, *sizes])[:-1]
         _, at, counts = np.unique(keys, return_inverse=True, return_counts=True)
         alone = counts[at] == 1
-        whole = np.flatnonzero(alone & (copies > 1))
+        whole = np.flatnonzero(alone & (copies > docs if across else copies > 1))
         out = [np.stack([whole, np.zeros_like(whole), sizes[whole] - span, starts[whole]])]
         sort = np.flatnonzero(~alone)
         if len(sort):
             ends = np.cumsum(sizes[sort])
             windows, first, twice = pointers([passages_[i] for i in sort], span)
             owner = np.searchsorted(ends, windows, "right")
-            keep = twice | (copies[sort][owner] > 1)
+            keep = _shared(first, owner, docs[sort], copies[sort]) if across else twice | (copies[sort][owner] > 1)
             windows, first, owner = windows[keep], first[keep], owner[keep]
             # from places in what was sorted to places in all passages of the call
             shift = starts[sort] - (ends - sizes[sort])
@@ -220,8 +233,9 @@ def refined(windows: DataFrame, offset: int) -> DataFrame:
     return twice.groupBy("d1", "d2").agg(F.collect_list(moved).alias("windows"))
 
 
-def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, with_kept: bool = True, shorter: int | None = None) -> DataFrame:
-    """Remove every byte that a string of ``span`` bytes covers which also starts elsewhere.
+def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col: str = "doc_id", carry: list[str] | None = None, with_kept: bool = True, shorter: int | None = None, across: bool = False) -> DataFrame:
+    """Remove every byte that a string of ``span`` bytes covers which also starts elsewhere;
+    with ``across``, which also starts in another document.
 
     Returns ``row`` (a struct of the ``carry`` columns, all by default), n_units
     (bytes), n_removed, n_spans, kept_sha256, kept and n_shorter. Null text is empty;
@@ -232,14 +246,23 @@ def remove_repeats(docs: DataFrame, span: int = SPAN, text: str = "text", id_col
     With ``shorter`` (half of ``span`` to all of it), strings of so many bytes are
     looked for first and those of ``span`` bytes are refined from them; n_shorter says
     how many bytes a removal of ``shorter`` would take. Without it n_shorter is null.
+    ``across`` knows no ``shorter``. What a document has twice and no other has stays then;
+    equal texts and repeated rows are documents of their own.
     """
+    if across and shorter is not None:
+        raise ValueError("strings of other documents are looked for at one span")
     if shorter is not None and not span <= 2 * shorter <= 2 * span:
         raise ValueError("a shorter span is half of the span at least, and not longer")
     units = byte_units(shorter or span)
     rows = passages.keyed(docs, text, id_col, docs.columns if carry is None else carry)
     anchors = passages.anchor_table(rows, units)
-    places = passages.passage_table(rows, anchors, units)
-    windows = passages.located(places, passages.resolved(places, _decide(units.span), units), F.lit(True))
+    places = passages.passage_table(rows, anchors, units, across)
+    if across:
+        texts = places.withColumns({"doc": F.col("d1"), "copies": F.col("d1")})
+        runs = passages.resolved(texts, _decide(units.span, True), units, F.max)
+    else:
+        runs = passages.resolved(places, _decide(units.span), units)
+    windows = passages.located(places, runs, F.lit(True))
     whole = F.col("copies") > 1
     if shorter is None:
         return passages.without(rows, anchors, windows, units, whole, with_kept)

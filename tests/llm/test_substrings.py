@@ -60,12 +60,13 @@ def brute_shorter(rows, span, shorter):
     return collections.Counter((*x, less[x[0], x[1], h]) for x, h in zip(*_each(rows, span), strict=True))
 
 
-def _each(rows, span):
+def _each(rows, span, across=False):
     """The brute-force row of each row, and its text."""
     count, out = collections.Counter(), []
     for _, t in rows:
         b = (t or "").encode()
-        count.update(b[i : i + span] for i in range(len(b) - span + 1))
+        strings = (b[i : i + span] for i in range(len(b) - span + 1))
+        count.update(set(strings) if across else strings)
     for d, t in rows:
         b = (t or "").encode()
         gone = bytearray(len(b))
@@ -78,8 +79,8 @@ def _each(rows, span):
     return out, [t for _, t in rows]
 
 
-def brute_bytes(rows, span):
-    return collections.Counter(_each(rows, span)[0])
+def brute_bytes(rows, span, across=False):
+    return collections.Counter(_each(rows, span, across)[0])
 
 
 @pytest.mark.parametrize("bucket", [1024, 2])
@@ -92,6 +93,8 @@ def test_both_removals_equal_brute_force(spark, monkeypatch, bucket):
     for span in (40, 101):
         got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.remove_repeats(docs, span).collect())
         assert got == brute_bytes(rows, span)
+        got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix_array.remove_repeats(docs, span, across=True).collect())
+        assert got == brute_bytes(rows, span, across=True) != brute_bytes(rows, span)
     for span, shorter in ((101, 60), (68, 34), (120, 64)):
         got = collections.Counter((r.row.doc_id, r.n_units, r.n_removed, r.n_spans, r.kept_sha256, r.n_shorter) for r in suffix_array.remove_repeats(docs, span, shorter=shorter).collect())
         assert got == brute_shorter(rows, span, shorter)

@@ -64,7 +64,9 @@ def test_repeated_strings_are_cut(spark, docs, sf_dir):
     assert out[-1].split() == ["one", "side", "x"] and out[-2].split() == ["another"] and out[-3] == "left alone " + short[:150]
     rows = [(r.doc_id, r.text) for r in docs.collect()]
     kept = STAGES["suffix-array dedup"](spark, docs, sf_dir)
-    whole = {d: (n, gone) for d, n, gone, _, _ in _each(rows, cp.REPEATED)[0]}
+    own = spark.createDataFrame([(-1, short + " and " + short, "en", "s", 1), (-2, "left alone", "en", "s", 1)], SCHEMA)
+    assert {r.doc_id: r.text for r in STAGES["suffix-array dedup"](spark, own, sf_dir).collect()} == {-1: short + " and " + short, -2: "left alone"}
+    whole = {d: (n, gone) for d, n, gone, _, _ in _each(rows, cp.REPEATED, across=True)[0]}
     assert set(ids(kept)) == {d for d, (n, gone) in whole.items() if gone < n or not n}
     assert {r.doc_id for r in kept.join(docs.select("doc_id", F.col("text").alias("old")), "doc_id").filter("text <> old").collect()} == {d for d, (n, gone) in whole.items() if 0 < gone < n}
     assert kept.columns == COLUMNS and not ids(kept) - ids(docs)

@@ -69,3 +69,13 @@ ranked AS (SELECT key, size, row_number() OVER (PARTITION BY size ORDER BY cell,
 placed AS (SELECT x.*, g.shard, CAST('0x' || substr(sha256(CAST(x.doc_id AS VARCHAR) || ':' || upper(x.key)), 1, 8) AS BIGINT) % 16 AS cell FROM rows_ x JOIN ranked r USING (key) JOIN given g ON g.size = r.size AND g.r = r.r)
 SELECT doc_id, CAST(size AS BIGINT) AS size, CAST({_CRC.format("hex(encode(placed.t))")} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INT) AS shard,
     CAST(row_number() OVER (PARTITION BY shard ORDER BY cell, doc_id, key) - 1 AS BIGINT) AS slot, CAST(NULL AS INT) AS grown_shard FROM placed, crc"""
+
+#: Units by one pattern, parts by slices of their list.
+FILL_IN_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+x AS (SELECT *, [CAST('0x' || substr(h, 8 * k + 1, 8) AS BIGINT) FOR k IN range(4)] AS r FROM d),
+y AS (SELECT *, least(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS low, greatest(r[1] % (len(u) + 1), r[2] % (len(u) + 1)) AS high,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r[3] % 100 >= 50 THEN 'plain' WHEN r[4] % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM x),
+z AS (SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS p, coalesce(array_to_string(u[low + 1:high], ''), '') AS m, coalesce(array_to_string(u[high + 1:], ''), '') AS s FROM y)
+SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+    sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+    sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM z"""

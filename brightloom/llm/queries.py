@@ -10,6 +10,7 @@ from . import oracles
 from .automata import op8_substring_dedup
 from .chroma import op5_chroma_fingerprints
 from .decontaminate import op2_benchmark_decontamination
+from .fill_middle import op12_fill_in_middle
 from .html import op6_html_extraction
 from .jaccard import op7_ngram_jaccard_join
 from .language import op1_language_id
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_best_fit_packing,
         op10_suffix_array_dedup,
+        op12_fill_in_middle,
     )
 }
 
@@ -40,4 +42,5 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

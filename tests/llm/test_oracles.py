@@ -9,7 +9,8 @@ from brightloom.llm.queries import ORACLE_SQL, QUERIES
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_equals_its_sql(spark, sf_dir, name):
     con = duckdb.connect()
-    con.sql(f"create view documents as select * from '{sf_dir}/documents.parquet'")
+    for t in ("documents", "embeddings"):
+        con.sql(f"create view {t} as select * from '{sf_dir}/{t}.parquet'")
     rel = con.sql(ORACLE_SQL[name])
     df = QUERIES[name](spark, sf_dir)
     assert sorted(df.columns) == sorted(rel.columns)
@@ -17,4 +18,4 @@ def test_query_equals_its_sql(spark, sf_dir, name):
 
 
 def test_there_is_one_query_for_each_operator():
-    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == [*range(1, 11), 12]

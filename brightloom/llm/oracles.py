@@ -79,3 +79,20 @@ z AS (SELECT *, coalesce(array_to_string(u[1:low], ''), '') AS p, coalesce(array
 SELECT doc_id, CAST(len(u) AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
     sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
     sha256(CASE form WHEN 'plain' THEN t ELSE p || m || s END) AS restored_sha256 FROM z"""
+
+#: All parts against all entries, three times.
+_ASSIGN = "SELECT x.vec_id, x.p, x.v, arg_min(e.i, ({0}, e.i)) AS i, min({0}) AS far FROM parts x JOIN {1} e ON e.p = x.p GROUP BY x.vec_id, x.p, x.v"
+_FAR = "list_sum(list_transform(range(1, len(x.v) + 1), lambda k: (x.v[k] - e.c[k]) * (x.v[k] - e.c[k])))"
+_MEANS = """{1} AS MATERIALIZED (SELECT o.p, o.i, coalesce(m.c, o.c) AS c FROM {0} o LEFT JOIN (SELECT p, i, list(c ORDER BY k) AS c FROM
+    (SELECT p, i, k, CAST(floor(CAST(sum(v[k]) AS DOUBLE) / count(*)) AS BIGINT) AS c FROM a_{0}, unnest(range(1, len(v) + 1)) AS u(k) GROUP BY p, i, k) GROUP BY p, i) m USING (p, i))"""
+VECTOR_CODES = f"""WITH kept AS MATERIALIZED (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT vec_id, label, p, v[p * (len(v) // 16) + 1:(p + 1) * (len(v) // 16)] AS v FROM kept, unnest(range(16)) AS t(p)),
+b0 AS MATERIALIZED (SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS i, v AS c FROM parts WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 64)),
+a_b0 AS MATERIALIZED ({_ASSIGN.format(_FAR, "b0")}), {_MEANS.format("b0", "b1")},
+a_b1 AS MATERIALIZED ({_ASSIGN.format(_FAR, "b1")}), {_MEANS.format("b1", "b2")},
+a_b2 AS MATERIALIZED ({_ASSIGN.format(_FAR, "b2")}),
+books AS (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, i)) AS s FROM b2),
+each AS (SELECT vec_id, string_agg(printf('%02x', i), '' ORDER BY p) AS code, CAST(sum(far) AS BIGINT) AS error FROM a_b2 GROUP BY vec_id),
+labels_ AS (SELECT label, CAST(sum(error) AS BIGINT) AS label_error FROM each JOIN kept USING (vec_id) GROUP BY label)
+SELECT each.vec_id, code, error, label_error, s AS codebooks_sha256 FROM each JOIN kept USING (vec_id) JOIN labels_ ON kept.label IS NOT DISTINCT FROM labels_.label, books"""

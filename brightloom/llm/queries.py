@@ -18,6 +18,7 @@ from .licenses import op3_license_scan
 from .packing import op9_best_fit_packing
 from .sharding import op4_lpt_sharding
 from .suffix_array import op10_suffix_array_dedup
+from .vector_codes import op11_vector_codes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_substring_dedup,
         op9_best_fit_packing,
         op10_suffix_array_dedup,
+        op11_vector_codes,
         op12_fill_in_middle,
     )
 }
@@ -42,5 +44,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_ngram_jaccard_join": oracles.NGRAM_JACCARD_JOIN,
     "op8_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op10_suffix_array_dedup": oracles.SUFFIX_ARRAY_DEDUP,
+    "op11_vector_codes": oracles.VECTOR_CODES,
     "op12_fill_in_middle": oracles.FILL_IN_MIDDLE,
 }

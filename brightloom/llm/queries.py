@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import oracles
 from .automata import op8_substring_dedup
 from .chroma import op5_chroma_fingerprints
+from .cutting_stock import op13_cutting_stock_packing
 from .decontaminate import op2_benchmark_decontamination
 from .fill_middle import op12_fill_in_middle
 from .html import op6_html_extraction
@@ -35,6 +36,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_suffix_array_dedup,
         op11_vector_codes,
         op12_fill_in_middle,
+        op13_cutting_stock_packing,
     )
 }
 

@@ -24,7 +24,11 @@ def bundle(reached: DataFrame, files: DataFrame) -> DataFrame:
     It is a tree of SHA-256 digests over node, path and content of each file, so no task
     ever gathers a root's manifest, however large the package.
     """
-    rows = manifest(reached, files)
+    return bundle_of(manifest(reached, files))
+
+
+def bundle_of(rows: DataFrame) -> DataFrame:
+    """``bundle`` of a manifest's rows."""
     totals = rows.groupBy("root").agg(F.count(F.lit(1)).alias("n_files"), F.sum("length").alias("n_bytes"))
     members = rows.select("root", digests.member(F.col("node"), F.col("path"), F.col("sha256")).alias("member"))
     return totals.join(digests.tree(members, "root"), "root")

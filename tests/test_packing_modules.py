@@ -92,6 +92,60 @@ def test_pack_writes_all_that_a_module_reaches(spark, tmp_path):
     assert (tmp_path / "one.tar").read_bytes() == (tmp_path / "two.tar").read_bytes()
 
 
+@pytest.mark.parametrize("chunk", [1, 700, 64 << 20])
+def test_parts_joined_are_the_archive(spark, tmp_path, monkeypatch, chunk):
+    import random
+    from io import BytesIO
+
+    from brightloom.operators import pack as module
+
+    monkeypatch.setattr(module, "CHUNK_BYTES", chunk)
+    rnd = random.Random(chunk)
+    contents = {f"d{i % 4}/{'long' * (i * 3)}é{i}" if i % 3 else f"f{i:02}": rnd.randbytes(rnd.choice([0, 1, 511, 512, 513, 1024, 5000])) for i in range(40)}
+    contents["zeros"] = bytes(2048)
+    files = spark.createDataFrame([(p, bytearray(c) or None) for p, c in contents.items()], "path string, content binary").repartition(5)
+    listed = spark.createDataFrame([("r", p, len(c)) for p, c in contents.items()], "root string, path string, length long")
+    want = BytesIO()
+    with tarfile.open(fileobj=want, mode="w", format=tarfile.PAX_FORMAT) as t:
+        for path in sorted(contents, key=str.encode):
+            info = tarfile.TarInfo(path)
+            info.size = len(contents[path])
+            t.addfile(info, BytesIO(contents[path]))
+    module.write_parts(listed, files, str(tmp_path / "parts"))
+    parts = len(list((tmp_path / "parts").glob("chunk=*")))
+    assert parts > 1 if chunk < 1000 else parts == 1
+    assert module.join_parts(spark, str(tmp_path / "parts"), str(tmp_path / "out.tar"))
+    assert (tmp_path / "out.tar").read_bytes() == want.getvalue() and not (tmp_path / "parts").exists()
+
+
+def test_archive_of_nothing(spark, tmp_path):
+    from brightloom.operators.pack import join_parts, write_parts
+
+    files = spark.createDataFrame([("a", bytearray(b"x"))], "path string, content binary")
+    write_parts(spark.createDataFrame([], "root string, path string, length long"), files, str(tmp_path / "p"))
+    assert join_parts(spark, str(tmp_path / "p"), str(tmp_path / "o.tar"))
+    with tarfile.open(tmp_path / "o.tar") as t:
+        assert t.getnames() == [] and (tmp_path / "o.tar").stat().st_size == tarfile.RECORDSIZE
+
+
+def test_parts_stay_where_the_store_cannot_join(spark, tmp_path):
+    """A file system that neither is local nor joins blocks: a view of a local folder."""
+    from brightloom.operators.pack import join_parts, write_parts
+
+    spark._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.packs.link./at", f"file://{tmp_path}")
+    files = spark.createDataFrame([("a", bytearray(b"x" * 900)), ("b", bytearray(b"y"))], "path string, content binary")
+    listed = spark.createDataFrame([("r", "a", 900), ("r", "b", 1)], "root string, path string, length long")
+    import brightloom.operators.pack as module
+
+    size, module.CHUNK_BYTES = module.CHUNK_BYTES, 512
+    try:
+        write_parts(listed, files, "viewfs://packs/at/p")
+    finally:
+        module.CHUNK_BYTES = size
+    assert not join_parts(spark, "viewfs://packs/at/p", "viewfs://packs/at/o.tar")
+    assert len(list((tmp_path / "p").glob("chunk=*/part-*"))) > 1
+
+
 def test_members_stand_where_the_archive_has_them(spark, tmp_path):
     from brightloom.operators.pack import members, resolve
 

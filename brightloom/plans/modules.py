@@ -6,14 +6,16 @@ it, a tree of four levels. Suppliers and parts refer to each other, in cycles.
 
 from __future__ import annotations
 
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from brightloom.operators import bundle, closure, pack
+from brightloom.operators import bundle, closure, difference, order, pack
 from brightloom.plans.registry import query, table
-from brightloom.session import cut
+from brightloom.session import cut, shared_dir
 
 _EDGES = """edges AS (
     SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
@@ -92,3 +94,59 @@ def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = cut(lines)
     down = _pairs(spark, sf_dir, "nation", "r", "n_regionkey", "n", "n_nationkey").union(_pairs(spark, sf_dir, "supplier", "n", "s_nationkey", "s", "s_suppkey"))
     return closure.closure(roots(spark, sf_dir), down.union(lines).union(lines.select("dst", "src"))).select("root", "node")
+
+
+_DEAREST = "row_number() OVER (PARTITION BY {} ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+
+
+@query(
+    f"""WITH RECURSIVE edges AS (
+    SELECT 'r' || n_regionkey AS src, 'n' || n_nationkey AS dst FROM nation
+    UNION SELECT 'n' || s_nationkey, 's' || s_suppkey FROM supplier
+    UNION SELECT 's' || l_suppkey, 'p' || l_partkey FROM (SELECT *, {_DEAREST.format("l_suppkey")} AS rn FROM lineitem) WHERE rn <= 3
+    UNION SELECT 'p' || l_partkey, 's' || l_suppkey FROM (SELECT *, {_DEAREST.format("l_partkey")} AS rn FROM lineitem) WHERE rn = 1),
+    nodes AS (SELECT src AS node FROM edges UNION SELECT dst FROM edges),
+    reached AS (SELECT node AS a, node AS b FROM nodes UNION SELECT a, dst FROM reached JOIN edges ON b = src),
+    found AS MATERIALIZED (SELECT x.a AS node, min(x.b) AS component FROM reached x JOIN reached y ON y.a = x.b AND y.b = x.a GROUP BY x.a),
+    between AS (SELECT DISTINCT p.component AS a, q.component AS b FROM edges JOIN found p ON p.node = src JOIN found q ON q.node = dst WHERE p.component <> q.component),
+    depths AS (SELECT component, 0 AS d FROM found UNION SELECT a, d + 1 FROM depths JOIN between ON b = component)
+    SELECT node, component, CAST(layer AS INT) AS layer FROM found JOIN (SELECT component, max(d) AS layer FROM depths GROUP BY component) USING (component)"""
+)
+def module_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Load order of a graph with cycles: suppliers refer to the parts of their three dearest
+    lines, and each part to the supplier of its dearest."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+
+    def dearest(key: str, n: int) -> DataFrame:
+        w = Window.partitionBy(key).orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+        return lines.withColumn("rn", F.row_number().over(w)).filter(F.col("rn") <= n)
+
+    name = lambda kind, key: F.concat(F.lit(kind), F.col(key))
+    parts = dearest("l_suppkey", 3).select(name("s", "l_suppkey").alias("src"), name("p", "l_partkey").alias("dst"))
+    suppliers = dearest("l_partkey", 1).select(name("p", "l_partkey").alias("src"), name("s", "l_suppkey").alias("dst"))
+    down = _pairs(spark, sf_dir, "nation", "r", "n_regionkey", "n", "n_nationkey").union(_pairs(spark, sf_dir, "supplier", "n", "s_nationkey", "s", "s_suppkey"))
+    return order.load_order(down.union(parts).union(suppliers))
+
+
+@query(
+    f"""{_REACHED}, files AS (SELECT root, node, c_name AS path, c_custkey, c_name || CASE WHEN c_acctbal < 0 THEN c_mktsegment ELSE '' END AS content FROM reached JOIN customer ON node = 'c' || c_custkey),
+    older AS (SELECT root, node, path, sha256(path) AS old_sha256 FROM files WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')),
+    newer AS (SELECT root, node, path, sha256(content) AS new_sha256 FROM files WHERE c_custkey IN (SELECT o_custkey FROM orders))
+    SELECT coalesce(o.root, n.root) AS root, coalesce(o.node, n.node) AS node, coalesce(o.path, n.path) AS path,
+    CASE WHEN old_sha256 IS NULL THEN 'added' WHEN new_sha256 IS NULL THEN 'removed' ELSE 'changed' END AS change, old_sha256, new_sha256
+    FROM older o FULL JOIN newer n ON o.root = n.root AND o.node = n.node AND o.path = n.path WHERE old_sha256 IS DISTINCT FROM new_sha256"""
+)
+def module_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two versions of each root's package: customers without an urgent order, then those with any order,
+    and in the second one the segment is added to the files of those in debt."""
+    reached = cut(closure.closure(roots(spark, sf_dir), edges(spark, sf_dir)))
+    orders = table(spark, sf_dir, "orders")
+    customers = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal", "c_mktsegment")
+    older = customers.join(orders.filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti")
+    newer = customers.join(orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_semi")
+    added = F.when(F.col("c_acctbal") < 0, F.col("c_mktsegment")).otherwise("")
+    at = f"{shared_dir(spark)}/packages-{uuid.uuid4().hex}"
+    for name, rows, content in (("old", older, F.col("c_name")), ("new", newer, F.concat("c_name", added))):
+        files = rows.select(F.concat(F.lit("c"), F.col("c_custkey")).alias("node"), F.col("c_name").alias("path"), F.encode(content, "UTF-8").alias("content"))
+        difference.write_index(bundle.manifest(reached, files), f"{at}/{name}")
+    return difference.difference(spark, f"{at}/old", f"{at}/new")

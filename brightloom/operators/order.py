@@ -17,13 +17,11 @@ def _spread(start: DataFrame, along: DataFrame) -> DataFrame:
     ``start`` has node and label. Each step sends only the labels that became smaller in
     the last one.
     """
-    found = news = start
-    while not news.isEmpty():
-        sent = news.join(along, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("sent"))
-        found = cut(found.join(sent, "node", "left").select("node", F.least("label", "sent").alias("label"), (F.col("sent") < F.col("label")).alias("new")))
-        news = found.filter("new").select("node", "label")
-        found = found.select("node", "label")
-    return found
+    found = start.withColumn("new", F.lit(True))
+    while not found.filter("new").isEmpty():
+        sent = found.filter("new").join(along, F.col("node") == F.col("src")).groupBy(F.col("dst").alias("node")).agg(F.min("label").alias("sent"))
+        found = cut(found.join(sent, "node", "left").select("node", F.least("label", "sent").alias("label"), F.coalesce(F.col("sent") < F.col("label"), F.lit(False)).alias("new")))
+    return found.select("node", "label")
 
 
 def strong_components(edges: DataFrame) -> DataFrame:
@@ -38,28 +36,32 @@ def strong_components(edges: DataFrame) -> DataFrame:
     """
     rest = cut(edges.filter("src IS NOT NULL AND dst IS NOT NULL").select("src", "dst").distinct())
     nodes = cut(rest.select(F.col("src").alias("node")).unionAll(rest.select("dst")).distinct())
-    rest, done = rest.filter("src <> dst"), []
-
-    def settle(found: DataFrame) -> None:
-        done.append(found)
+    rest, done = _trimmed(rest.filter("src <> dst")), []
+    while True:
+        core = rest.select(F.col("src").alias("node")).distinct()
+        done.append(cut(nodes.join(core, "node", "left_anti").select("node", F.col("node").alias("component"))))
+        if rest.isEmpty():
+            return reduce(DataFrame.unionAll, done)
+        labels = _spread(cut(core.withColumn("label", F.col("node"))), rest)
+        ends = cut(rest.join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst"))
+        back = cut(_back(labels, ends.filter("a = b").select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
+        done.append(back.select("node", F.col("label").alias("component")))
+        nodes = cut(core.join(back, "node", "left_anti"))
+        rest = _trimmed(rest.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
         if len(done) > TABLES:
-            done[:] = [cut(reduce(DataFrame.unionAll, done))]
-
-    while not nodes.isEmpty():
-        inner = rest.select(F.col("src").alias("node")).intersect(rest.select("dst"))
-        core = cut(nodes.join(inner, "node", "left_semi"))
-        trimmed = cut(nodes.join(core, "node", "left_anti"))
-        if not trimmed.isEmpty():
-            settle(trimmed.select("node", F.col("node").alias("component")))
-        else:
-            labels = _spread(core.select("node", F.col("node").alias("label")), rest)
-            one = rest.join(labels.toDF("src", "a"), "src").join(labels.toDF("dst", "b"), "dst").filter("a = b")
-            back = _back(labels, cut(one.select(F.col("dst").alias("src"), F.col("src").alias("dst"))))
-            settle(back.select("node", F.col("label").alias("component")))
-            core = cut(core.join(back, "node", "left_anti"))
-        nodes = core
-        rest = cut(rest.join(nodes.toDF("src"), "src", "left_semi").join(nodes.toDF("dst"), "dst", "left_semi"))
-    return reduce(DataFrame.unionAll, done) if done else nodes.select("node", F.col("node").alias("component"))
+            done = [cut(reduce(DataFrame.unionAll, done))]
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """The edges from nodes that an edge enters to nodes that an edge leaves, until all are such."""
+    edges = cut(edges)
+    n = edges.count()
+    while n:
+        edges = cut(edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi"))
+        before, n = n, edges.count()
+        if n == before:
+            break
+    return edges
 
 
 def _back(labels: DataFrame, backward: DataFrame) -> DataFrame:
@@ -96,8 +98,7 @@ def load_order(edges: DataFrame) -> DataFrame:
         layer += 1
         settled = between.join(ready.select(F.col("component").alias("b")), "b", "left_semi").groupBy("a").agg(F.count(F.lit(1)).alias("k"))
         left = cut(open_.join(settled, "a", "left").select("a", (F.col("n") - F.coalesce("k", F.lit(0))).alias("n")))
-        ready = cut(left.filter("n = 0").select(F.col("a").alias("component"), F.lit(layer).alias("layer")))
-        open_ = left.filter("n > 0")
+        ready, open_ = left.filter("n = 0").select(F.col("a").alias("component"), F.lit(layer).alias("layer")), left.filter("n > 0")
         tables.append(ready)
         if len(tables) > TABLES:
             tables = [cut(reduce(DataFrame.unionAll, tables))]

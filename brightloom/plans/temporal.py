@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.operators.temporal import asof_join, overlap_join, point_join
 from brightloom.plans.registry import query, table
 from brightloom.plans.relational import user_sessions
+from brightloom.streaming import stateful
 
 
 @query(
@@ -52,3 +53,36 @@ def balances_near_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     suppliers = table(spark, sf_dir, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), (cents("s_acctbal") - 50000).alias("low"), (cents("s_acctbal") + 50000).alias("high"))
     near = point_join(customers, suppliers, "at", ("low", "high"), ["nation"])
     return near.groupBy("r.s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l.at").alias("cents"))
+
+
+@query(
+    f"""{_SESSIONS} SELECT user_id, first_ts, last_ts, n FROM sessions WHERE last_ts + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"""
+)
+def streamed_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a stream that its watermark, an hour behind, has closed."""
+    out = stateful.ended(stateful.sessions(stateful.opened(spark, f"{sf_dir}/events.parquet"), "user_id"))
+    return out.select("user_id", F.col("first").cast("timestamp_ntz").alias("first_ts"), F.col("last").cast("timestamp_ntz").alias("last_ts"), "n")
+
+
+@query(
+    """SELECT v.event_id AS view_id, p.event_id AS purchase_id, v.user_id, v.ts AS view_ts, p.ts AS purchase_ts FROM events v
+    JOIN events p ON p.user_id = v.user_id AND p.ts >= v.ts AND p.ts <= v.ts + INTERVAL '1 hour' WHERE v.event_type = 'view' AND p.event_type = 'purchase'"""
+)
+def streamed_view_purchases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two streams: views, and purchases of the same user within an hour."""
+    of = lambda kind: stateful.opened(spark, f"{sf_dir}/events.parquet").filter(F.col("event_type") == kind).select("event_id", "user_id", "ts")
+    out = stateful.ended(stateful.interval_pairs(of("view"), of("purchase"), "user_id"))
+    return out.select(F.col("l.event_id").alias("view_id"), F.col("r.event_id").alias("purchase_id"), "l.user_id", F.col("l.ts").alias("view_ts"), F.col("r.ts").alias("purchase_ts"))
+
+
+@query(
+    """WITH RECURSIVE e AS (SELECT event_id, user_id, event_type, ts, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS rn FROM events),
+    walk AS (SELECT event_id, user_id, event_type, ts, rn, ts AS kept_ts, true AS kept FROM e WHERE rn = 1
+    UNION ALL SELECT e.event_id, e.user_id, e.event_type, e.ts, e.rn, CASE WHEN e.ts > w.kept_ts + INTERVAL '1 hour' THEN e.ts ELSE w.kept_ts END, e.ts > w.kept_ts + INTERVAL '1 hour'
+    FROM walk w JOIN e ON e.user_id = w.user_id AND e.event_type = w.event_type AND e.rn = w.rn + 1)
+    SELECT event_id, user_id, event_type, ts FROM walk WHERE kept"""
+)
+def streamed_firsts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a stream that repeat none of their user and type of the last hour that was passed on."""
+    rows = stateful.opened(spark, f"{sf_dir}/events.parquet").select("event_id", "user_id", "event_type", "ts")
+    return stateful.ended(stateful.without_repeats(rows, ["user_id", "event_type"]))

@@ -6,8 +6,8 @@ by longest common subsequence, and lines that both have are the site's, not the
 page's: they are deleted. Two kinds of line don't wait for a neighbour: what stands
 in a container that is boilerplate by its element, role or class always goes (a host
 may have one page only), and what stands in an explicit article or main element
-otherwise stays (two pages may quote the same passage). A class or id never marks an
-article or main element, what holds one, or what holds most of the text.
+otherwise stays (two pages may quote the same passage). A form, class, id or role never
+marks an article or main element, what holds one, or what holds most of the text.
 
 Only 64-bit hashes of lines are compared, and equal pages of a host count once, so a
 copy under another address is no neighbour.
@@ -29,7 +29,7 @@ from .common import cut, named, parts, read_table, row_of, ship, with_fields
 #: Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template head title svg canvas iframe object select option textarea button datalist".split())
 #: Elements that are boilerplate as a whole.
-BOILERPLATE = frozenset("nav footer aside form menu dialog".split())
+BOILERPLATE = frozenset("nav footer aside menu dialog".split())
 ARTICLE = frozenset({"article", "main"})
 #: Elements that don't end a block.
 INLINE = frozenset(
@@ -74,8 +74,8 @@ def _names_boilerplate(name: str, token: str) -> bool:
 
 
 def _marked(name: str, attributes: str) -> str:
-    """``hard`` where an element is hidden or has the role of boilerplate, ``mark`` where a class or id says so, else empty."""
-    mark = ""
+    """``hard`` where an element is hidden, ``mark`` where it is a form or a class, id or role says that it is boilerplate, else empty."""
+    mark = "mark" if name == "form" else ""
     for attribute, value in _ATTRIBUTE.findall(attributes):
         attribute, value = attribute.lower(), value.strip("\"'")
         if attribute == "hidden" or (attribute == "aria-hidden" and value.lower() == "true"):
@@ -84,8 +84,6 @@ def _marked(name: str, attributes: str) -> str:
             if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
                 return "hard"
         elif any(_names_boilerplate(name, t) for t in value.split()):
-            if attribute == "role":
-                return "hard"
             mark = "mark"
     return "" if name in ARTICLE else mark
 
@@ -93,9 +91,9 @@ def _marked(name: str, attributes: str) -> str:
 def _places(scopes: list[tuple[int, str]], sizes: list[int]) -> list[str]:
     """Where the lines of each scope stand. ``scopes``: the scope around it and its kind; ``sizes``: its own characters.
 
-    A class or id doesn't mark what holds an article or main element, other than one
-    within another article (a comment), nor what holds more than half of the text: of
-    the article that it stands in, or of a page that has none.
+    A form, class, id or role doesn't mark what holds an article or main element, other
+    than one within another article (a comment), nor what holds more than half of the
+    text: of the article that it stands in, or of a page that has none.
     """
     hard, within, outermost = [False], [False], [0]
     for i, (parent, kind) in enumerate(scopes[1:], 1):
@@ -211,7 +209,7 @@ def lines(page: str) -> list[tuple[str, str]]:
                 parts_.append(" ")
             if name in VOID or m[0].endswith("/>"):
                 continue
-            kind = _marked(name, m[2]) if m[2] and name not in ("html", "body") else ""
+            kind = _marked(name, m[2]) if (m[2] or name == "form") and name not in ("html", "body") else ""
             if name in SKIPPED or name in BOILERPLATE:
                 kind = "hard"
             elif not kind:
@@ -402,8 +400,9 @@ def shared_lines(pages: DataFrame) -> DataFrame:
 
 
 def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
-    """``row`` (the ``carry`` columns of ``pages``, all by default), text, and how many
-    lines the nearest page (n_shared) and, beyond these, only the markup took (n_marked).
+    """``row`` (the ``carry`` columns of ``pages``, all by default), text, how many lines
+    the nearest page took that would stay without it (n_shared), and how many the markup
+    took, whether the nearest page has them or not (n_marked).
 
     Null html is an empty page, with an empty text. A null url has no host, like any
     other relative address. Repeated rows and pages of equal lines on one host get
@@ -427,9 +426,9 @@ def main_text(pages: DataFrame, carry: list[str] | None = None) -> DataFrame:
     joined = parsed.join(shared, ["host", "digest"], "left")
     place = lambda i: F.substring(F.col("places"), i + 1, F.lit(1))
     kept = F.filter("lines", lambda _, i: (place(i) == "a") | ((place(i) == "?") & ~F.coalesce(F.array_contains("shared", i), F.lit(False))))
-    outside = F.filter(F.coalesce("shared", F.array().cast("array<int>")), lambda i: place(i) != "a")
-    marked = F.length("places") - F.length(F.replace("places", F.lit("b"), F.lit(""))) - F.size(F.filter(outside, lambda i: place(i) == "b"))
-    return joined.select("row", F.array_join(kept, "\n").alias("text"), F.size(outside).alias("n_shared"), marked.alias("n_marked"))
+    taken = F.filter(F.coalesce("shared", F.array().cast("array<int>")), lambda i: place(i) == "?")
+    marked = F.length("places") - F.length(F.replace("places", F.lit("b"), F.lit("")))
+    return joined.select("row", F.array_join(kept, "\n").alias("text"), F.size(taken).alias("n_shared"), marked.alias("n_marked"))
 
 
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

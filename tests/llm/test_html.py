@@ -47,6 +47,9 @@ def test_lines(page, want):
         "<div class='sidebar-left'><main>{}</main></div>",
         "<div id='promo'>{}</div><p>less</p>",
         "<main><p>{}</p><div class='ads'><article>x</article></div></main>",
+        "<form id='aspnetForm' action='x'><div><article><p>{}</p></article></div></form>",
+        "<form><div><p>{}</p></div></form><p>less</p>",
+        "<div role='complementary'><main>{}</main></div>",
     ],
 )
 def test_class_or_id_takes_no_article(page):
@@ -54,6 +57,19 @@ def test_class_or_id_takes_no_article(page):
     assert "Text of the page" in [t for t, p in got if p != "boilerplate"] and all(p != "boilerplate" for _, p in got)
 
 
+def test_forms_still_go_beside_what_they_do_not_hold(spark):
+    page = "<form id=all><article><p>Real text</p><form><p>Mail</p></form></article><div role='search'>Look for</div></form>"
+    assert html.lines(page) == [("Real text", "article"), ("Mail", "boilerplate"), ("Look for", "boilerplate")]
+    (row,) = html.main_text(spark.createDataFrame([("u", page)], "url string, html string")).collect()
+    assert (row.text, row.n_shared, row.n_marked) == ("Real text", 0, 2)
+
+
+def test_lines_that_markup_takes_are_not_the_neighbours(spark):
+    page = "<nav>Home</nav><p>Site of the host</p><div><p>Text {}</p></div><footer>(c)</footer>"
+    rows = spark.createDataFrame([(f"http://h/{i}", page.format(i)) for i in range(3)], "url string, html string")
+    assert {(r.text, r.n_shared, r.n_marked) for r in html.main_text(rows).collect()} == {(f"Text {i}", 1, 2) for i in range(3)}
+
+
 @pytest.mark.parametrize("mark", ["class='sidebar'", "class='cookie-notice'", "id='acme-footer'", "class='x share-buttons'", "id='adTop'", "class='comments'", "role='navigation'", "style='display:none'"])
 def test_marked_containers_still_go(mark):
     assert html.lines(f"<article><p>Text of the page</p><div {mark}>Other</div></article>") == [("Text of the page", "article"), ("Other", "boilerplate")]

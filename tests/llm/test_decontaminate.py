@@ -142,3 +142,55 @@ def test_query_finds_every_verbatim_copy(spark, sf_dir):
     docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {(r.doc_id, r.item_id) for r in dc.op2_benchmark_decontamination(spark, sf_dir).collect()}
     assert {(d, i) for d, t in docs for i, b in items if b in t} <= got
+
+
+@pytest.mark.parametrize("odd", ["İ", "K", "ẞ", "Ⱥ", "ΣΑΣ"])
+def test_folding_is_by_character(odd):
+    item = "Déjà vu: Ça ÉTÉ Écrit Àvant, ΟΔΟΣ " * 4
+    index = dc.build([(1, item)])
+    plain = {s for s, *_ in dc.regions(f"x {item.upper()} y", index)}
+    text = f"{odd} x {item.upper()} y {odd}"
+    hits = dc.regions(text, index)
+    assert {s for s, *_ in hits} == plain and len(plain) > 20
+    first, last = min(h[2] for h in hits), max(h[3] for h in hits)
+    assert item.upper().strip().encode() in text.encode()[first:last] and last - first < len(item.encode()) + 12
+    data, places = dc.normal(f"{odd} é")
+    assert len(data) == len(places) and places[-2] == len(f"{odd} ".encode())
+
+
+@pytest.mark.parametrize(("pairs", "stretch", "part"), [(50, 1, 7), (400, 4, 30), (1 << 20, 64, 2048)])
+def test_stretches_and_parts_lose_nothing(monkeypatch, pairs, stretch, part):
+    monkeypatch.setattr(dc, "PAIRS", pairs)
+    monkeypatch.setattr(dc, "STRETCH", stretch)
+    monkeypatch.setattr(dc, "PART", part)
+    rnd = random.Random(pairs)
+    units = ["ab", "-", "| 1 | x |\n", "abcdefgh ij "]
+    for _ in range(12):
+        items = [(i, rnd.choice(units) * rnd.randrange(3, 40)) for i in range(3)]
+        index = dc.build(items)
+        segments = list(index.segments)
+        text = list("".join(rnd.choice(units) * rnd.randrange(30) for _ in range(4)))
+        for _ in range(rnd.randrange(5)):
+            text.insert(rnd.randrange(len(text) + 1), rnd.choice("xyz "))
+        data = dc.normal("".join(text))[0]
+        far = infix_distances(segments, data) if segments and data else []
+        want = {s: int(d) for s, (d, x) in enumerate(zip(far, segments, strict=True)) if len(x) >= 2 * dc.Q and d <= dc.budget(len(x))}
+        got = {s: e for s, e, *_ in dc.regions("".join(text), index) if len(segments[s]) >= 2 * dc.Q}
+        assert got == want
+
+
+def test_a_text_of_one_repeated_unit_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+from brightloom.llm import decontaminate as dc
+index = dc.build([(1, "ab" * 500), (2, "-" * 3000)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+for text in ("ab" * 500_000, "-" * 300_000):
+    found = dc.regions(text, index)
+    assert len(found) == (921 if text[0] == "a" else 2921) and all(x[1:3] == (0, 0) and x[3] > len(text) - 16 for x in found)
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 600_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=240)

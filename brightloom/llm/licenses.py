@@ -25,6 +25,8 @@ from .license_rules import Rule, rules
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 #: What a detection of each priority says about the text.
 CONFIDENCE = {1: 1.0, 2: 0.85, 3: 0.6}
+#: Matches of a rule that are placed in one list.
+RUN = 128
 #: The same for a base phrase.
 BASE_CONFIDENCE = 0.5
 
@@ -56,7 +58,11 @@ def normal(text: Column) -> Column:
 
 
 def _places(t: Column, r: Column) -> Column:
-    """Intervals of words that a rule matches; ``back`` is minus the last word."""
+    """Intervals of words that a rule matches; ``back`` is minus the last word.
+
+    Matches are placed in runs of RUN: appending to a list copies it, so one list of all
+    matches would take time as their square.
+    """
     segments, matches = F.split(t, r["regex"]), F.regexp_extract_all(t, r["regex"], F.lit(0))
     step = lambda acc, x: F.struct(
         (acc["at"] + _spaces(x["segment"]) + _spaces(x["match"])).alias("at"),
@@ -72,7 +78,15 @@ def _places(t: Column, r: Column) -> Column:
         ).alias("out"),
     )
     pairs = F.zip_with(F.slice(segments, 1, F.size(matches)), matches, lambda s, m: F.struct(s.alias("segment"), m.alias("match")))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(_FOUND).alias("out")), step, lambda acc: acc["out"])
+    # a lambda's variable is evaluated once: the matches are one, for all their runs
+    cut_up = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: F.slice(p, i * RUN + 1, F.lit(RUN)))
+    runs = F.flatten(F.transform(F.array(pairs), cut_up))
+
+    def run(acc, these):
+        zero = F.struct(acc["at"].alias("at"), F.array().cast(_FOUND).alias("out"))
+        return F.aggregate(these, zero, step, lambda inner: F.struct(inner["at"].alias("at"), F.array_append(acc["out"], inner["out"]).alias("out")))
+
+    return F.aggregate(runs, F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{_FOUND}>").alias("out")), run, lambda acc: F.flatten(acc["out"]))
 
 
 def _suppressed(found: Column) -> Column:

@@ -152,3 +152,29 @@ def test_method_labels_equal_brute_force(spark, sf_dir):
     wrong = {t: ((r.labels, r.score), brute_labels(t)) for t, r in rows.items() if (r.labels, r.score) != brute_labels(t)}
     assert not wrong, next(iter(wrong.items()))
     assert len({x for r in rows.values() for x in r.labels.split(",")}) > 80
+
+
+def test_time_grows_with_the_detections(spark):
+    import time
+
+    took, n = [], 10_000
+    for _ in range(2):
+        docs = spark.createDataFrame([(1, "mit license " * n)], "doc_id long, text string")
+        best = 1e9
+        for _ in range(2):
+            began = time.perf_counter()
+            (row,) = licenses.scan(docs).collect()
+            best = min(best, time.perf_counter() - began)
+        assert row.labels == "mit" and row.n_words == 2 * n
+        took.append(best)
+        n *= 4
+    assert took[1] < 8 * took[0], "sixteen times, were it the square"
+
+
+def test_runs_of_matches_are_one_list(spark, monkeypatch):
+    texts = [(i, "Apache License 2.0 x " * i + "cc by " * (i % 3) + "y mit license") for i in range(12)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    want = sorted(map(tuple, licenses.scan(docs).collect()))
+    for run in (1, 3):
+        monkeypatch.setattr(licenses, "RUN", run)
+        assert sorted(map(tuple, licenses.scan(docs).collect())) == want

@@ -79,7 +79,7 @@ def _places(t: Column, r: Column) -> Column:
     )
     pairs = F.zip_with(F.slice(segments, 1, F.size(matches)), matches, lambda s, m: F.struct(s.alias("segment"), m.alias("match")))
     # a lambda's variable is evaluated once: the matches are one, for all their runs
-    cut_up = lambda p: F.transform(F.sequence(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int")), lambda i: F.slice(p, i * RUN + 1, F.lit(RUN)))
+    cut_up = lambda p: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size(p) - 1) / RUN).cast("int"))), lambda i: F.slice(p, i * RUN + 1, F.lit(RUN)))
     runs = F.flatten(F.transform(F.array(pairs), cut_up))
 
     def run(acc, these):

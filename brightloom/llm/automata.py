@@ -225,7 +225,7 @@ def remove_known(docs: DataFrame, references: DataFrame, span: int = SPAN, text:
     ship(spark)
     rows = passages.keyed(docs, text, id_col, docs.columns if carry is None else carry).select("row", "text", "absent")
     marked = rows.withColumn("windows", F.lit(None).cast(WINDOWS))
-    total = references.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    total = references.agg(F.sum(F.octet_length(named(text)))).first()[0] or 0
     shards = -(-total // REFERENCE_BYTES)
     dealt = references.select(named(text).alias("t"), F.pmod(F.xxhash64(named(text)), F.lit(shards or 1)).alias("s"))
     for shard in range(shards):

@@ -6,6 +6,7 @@ Nothing here holds data: every helper takes a session or a DataFrame.
 from __future__ import annotations
 
 import contextlib
+import contextvars
 import ctypes
 import os
 import re
@@ -69,12 +70,18 @@ def shared_dir(spark: SparkSession) -> str:
 def table_path(spark: SparkSession) -> str:
     """A new path for a table, in the application's own folder within the shared one."""
     path = f"{shared_dir(spark)}/tables-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
-    _MADE.append(path)
+    _note(path)
     return path
 
 
-#: Paths of tables that this driver has made and not deleted.
-_MADE: list[str] = []
+#: Paths that were made within the innermost ``scratch``, of this thread.
+_MADE: contextvars.ContextVar[list[str] | None] = contextvars.ContextVar("made", default=None)
+
+
+def _note(path: str) -> None:
+    made = _MADE.get()
+    if made is not None:
+        made.append(path)
 
 
 def delete(spark: SparkSession, path: str) -> None:
@@ -85,19 +92,25 @@ def delete(spark: SparkSession, path: str) -> None:
 
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
-    """Tables that are made within go at its end: for work whose result is written by then."""
-    before = len(_MADE)
+    """Tables and checkpoints that this thread makes within go at its end: for work whose result is written by then."""
+    token = _MADE.set(made := [])
     try:
         yield
     finally:
-        while len(_MADE) > before:
-            delete(spark, _MADE.pop())
+        _MADE.reset(token)
+        for path in made:
+            delete(spark, path)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """Cut the lineage by a reliable checkpoint in the shared folder."""
     shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _MADE.get() is not None:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _note(file.get())
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:

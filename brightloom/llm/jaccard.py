@@ -41,6 +41,8 @@ CHUNK_BYTES = 4 << 20
 BUCKET_BYTES = 6 << 20
 #: Sets in a group, and queries that one task holds against it.
 GROUP = 64
+#: Texts of more rows than these, and than one row in HOT_TEXTS, are hot: at most so many, so their table is broadcast.
+HOT_ROWS, HOT_TEXTS = 1000, 100_000
 
 
 def shingle_set(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -90,6 +92,16 @@ def _once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.take(pa.array(take, pa.int64()))
 
 
+def _cooled(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Without the rows of hot texts but those of the smallest id: else every task would send one copy to the same one.
+
+    ``firsts`` has each text's smallest id and rows.
+    """
+    total = firsts.agg(F.sum("copies")).first()[0] or 0
+    hot = firsts.filter(F.col("copies") > max(HOT_ROWS, total // HOT_TEXTS)).select("d1", "d2", F.col("doc").alias("first"))
+    return rows.join(F.broadcast(hot), ["d1", "d2"], "left").filter("first IS NULL OR first = doc").drop("first")
+
+
 def _distinct_sets(table: pa.Table, size: int) -> tuple[list[tuple[int, int]], list[np.ndarray]]:
     texts = dict(zip(zip(table["d1"].to_pylist(), table["d2"].to_pylist(), strict=True), table["text"], strict=True))
     keys = sorted(texts)
@@ -327,7 +339,8 @@ def text_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     """For each distinct text of ``rows``: d1, d2, n and least, the (doc, d1, d2) of the
     smallest id that links lead to; null where the text has no shingle. Only keys, no
     texts, are joined."""
-    texts = shingle_sets(rows, size, percent)
+    firsts = cut(rows.groupBy("d1", "d2").agg(F.min("doc").alias("doc"), F.count(F.lit(1)).alias("copies")))
+    texts = shingle_sets(_cooled(rows.select("doc", "d1", "d2", "text"), firsts), size, percent)
     sets = texts.filter("tokens IS NOT NULL").groupBy(F.col("s1").alias("node"), "s2").agg(F.first(F.struct("n", "tokens", "prefix", "rests")).alias("x")).select("node", "x.*")
     sets = stored(sets)
     near = cut(components(group_edges(sets, percent)))
@@ -337,8 +350,7 @@ def text_components(rows: DataFrame, size: int, percent: int) -> DataFrame:
     joined = components(named.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
     joined = joined.select(F.col("node").alias("label"), F.col("component").alias("root"))
     each = texts.select("d1", "d2", "n", "s1").join(near.withColumnRenamed("node", "s1"), "s1", "left").withColumn("label", F.coalesce("component", "s1")).join(joined, "label", "left")
-    first = rows.groupBy("d1", "d2").agg(F.min("doc").alias("doc"))
-    each = each.select("d1", "d2", "n", F.coalesce("root", "label").alias("c")).join(first, ["d1", "d2"])
+    each = each.select("d1", "d2", "n", F.coalesce("root", "label").alias("c")).join(firsts.drop("copies"), ["d1", "d2"])
     each = cut(each)
     least = cut(each.filter("n > 0").groupBy("c").agg(F.min(F.struct("doc", "d1", "d2")).alias("least")))  # so that a hot component's side of the join can be split
     some = each.filter("n > 0").join(least, "c").select("d1", "d2", "n", "least")

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, read_table, tidy
+from .common import cut, named, read_table, tidy
 
 CAPACITY = 2048
 #: A bin that has at most so many tokens left is nearly full.
@@ -112,7 +112,7 @@ def tokenize(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int =
         tidy()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
-    return docs.select(F.col(id_col).cast("bigint"), F.col(text)).mapInArrow(run, schema)
+    return docs.select(named(id_col).cast("bigint").alias("doc_id"), named(text).alias("text")).mapInArrow(run, schema)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from .common import cut, read_table, text_bytes
+from .common import cut, named, read_table, text_bytes
 
 #: Cells that the groups of one size are counted in before they are ranked.
 RANK_CELLS = 256
@@ -104,10 +104,10 @@ def shard_documents(docs: DataFrame, n_shards: int = 8, text: str = "text", id_c
     row with its own slot. Columns other than ``id_col`` and ``text`` are not read,
     so their names can't clash.
     """
-    t = F.coalesce(F.col(text), F.lit(""))
+    t = F.coalesce(named(text), F.lit(""))
     rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        (text_bytes(F.col(text)) + 1).alias("size"),
+        named(id_col).alias("doc_id"),
+        (text_bytes(named(text)) + 1).alias("size"),
         F.crc32(t).cast("long").alias("text_crc32"),
         F.unhex(F.sha2(t, 256)).alias("group_key"),
     )

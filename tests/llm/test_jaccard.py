@@ -97,3 +97,17 @@ def test_components(spark):
             x, y = top(a), top(b)
             up[max(x, y)] = min(x, y)
     assert got == {x: top(x) for x in up}
+
+
+def test_hot_texts_send_one_row(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "HOT_ROWS", 5)
+    rows = [*corpus(1), *((None, "a hot text of seven words here") for _ in range(20)), *((10_000 - i, "another hot text of eight words for all") for i in range(300)), *((7, "one id and text of its rows") for _ in range(30))]
+    got = jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    assert sorted(((r.row.doc_id, r.n_shingles, r.component_id) for r in got), key=repr) == brute(rows)
+    assert jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).filter("text LIKE '%eight words%'").select("doc_id").collect() == [(9701,)]
+
+
+def test_long_texts_of_one_unit(spark):
+    rows = [(1, "a b c d e f g " * 60_000), (2, "A b c d e f g " * 30_000), (3, "a b c d e f g h " * 20_000), (4, "x " * 200_000), (5, "x " * 5), (6, "x" * 500_000)]
+    got = {r.row.doc_id: (r.n_shingles, r.component_id) for r in jaccard.join_components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (7, 1), 2: (7, 1), 3: (8, 3), 4: (1, 4), 5: (1, 4), 6: (1, 6)}

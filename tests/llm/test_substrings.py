@@ -179,3 +179,20 @@ def test_every_window_has_its_rightmost_smallest_gram(values, span, cutoff):
     chosen = {s: p for p, a, b in zip(places.tolist(), lo.tolist(), hi.tolist(), strict=True) for s in range(a, b + 1)}
     want = {s: max(range(s, s + span), key=lambda i: (-values[i], i)) for s in range(n) if s + span <= ends[s]}
     assert chosen == want
+
+
+def test_long_texts_of_one_unit(spark):
+    unit = "".join(chr(97 + i * i % 23) for i in range(37)) + " "
+    texts = {1: "a" * 30_000, 2: "a" * 399, 3: unit * 900, 4: unit * 5 + "é", 5: "w " * 20_000, 6: "w " * 49 + "v", 7: "w " * 60}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.row.doc_id: (r.n_units, r.n_removed, r.n_spans) for r in suffix_array.remove_repeats(docs, 400, shorter=200, with_kept=False).collect()}
+    size = {d: len(t.encode()) for d, t in texts.items()}
+    assert got == {d: (n, n, 1) if d in (1, 3, 5) else (n, 0, 0) for d, n in size.items()}
+    got = {r.row.doc_id: (r.n_units, r.n_removed) for r in automata.remove_repeats(docs, 50, with_kept=False).collect()}
+    assert got == {1: (1, 0), 2: (1, 0), 3: (900, 0), 4: (6, 0), 5: (20_000, 0), 6: (50, 0), 7: (60, 60)}
+
+
+def test_known_texts_of_any_column_name(spark):
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k l"), (2, "x")], ["doc_id", "a.b"])
+    out = automata.remove_known(docs, docs.filter("doc_id = 1"), 10, text="a.b").collect()
+    assert {r.row.doc_id: r.n_removed for r in out} == {1: 12, 2: 0}

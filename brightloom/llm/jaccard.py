@@ -39,6 +39,9 @@ PERCENT = 75
 CHUNK_BYTES = 4 << 20
 #: Bytes of text for each bucket of the shingle count: about a million shingles.
 BUCKET_BYTES = 6 << 20
+#: Steps of rarity in an octave of counts: shingles of one passage have one count, so with fine steps a prefix
+#: holds few passages. A rank of sixteen bits reaches counts of 2 ** 32.
+STEPS = 2000
 #: Sets in a group, and queries that one task holds against it.
 GROUP = 64
 #: Texts of more rows than these, and than one row in HOT_TEXTS, are hot: at most so many, so their table is broadcast.
@@ -153,8 +156,8 @@ def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         ordered = names[order]
         starts = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
         sums = np.add.reduceat(counts[order], starts)
-        rank = np.zeros(len(names), np.uint8)
-        rank[order] = np.repeat(np.where(sums > 1, np.log2(np.maximum(sums, 1)).astype(np.uint8) + 1, 0).astype(np.uint8), np.diff(np.concatenate([starts, [len(names)]])))
+        rank = np.zeros(len(names), np.uint16)
+        rank[order] = np.repeat(np.where(sums > 1, (STEPS * np.log2(np.maximum(sums, 1))).astype(np.uint16) + 1, 0).astype(np.uint16), np.diff(np.concatenate([starts, [len(names)]])))
         out: list[list] = [[], [], [], []]
         at = 0
         for chunk, part in zip(table["chunk"].to_pylist(), parts, strict=True):
@@ -171,7 +174,7 @@ def shingle_sets(rows: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -
         live = live.sort_by("bucket")
         parts = [np.frombuffer(x.as_py(), np.uint32).astype(np.uint64) | (np.uint64(b) << np.uint64(32)) for b, x in zip(live["bucket"].to_pylist(), live["names"], strict=True)]
         names = np.concatenate(parts) if parts else np.empty(0, np.uint64)
-        ranks = np.concatenate([np.frombuffer(x.as_py(), np.uint8) for x in live["ranks"]]) if parts else np.empty(0, np.uint8)
+        ranks = np.concatenate([np.frombuffer(x.as_py(), np.uint16) for x in live["ranks"]]) if parts else np.empty(0, np.uint16)
         out: list[list] = [[], [], [], [], [], [], [], []]
         for (d1, d2), tokens in zip(keys, sets, strict=True):
             n, prefix, rests = len(tokens), None, None

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from brightloom.plans import modules, relational, temporal  # noqa: E402, F401  registers on import
+from brightloom.plans import functions, modules, relational, temporal  # noqa: E402, F401  registers on import

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from brightloom.operators.temporal import asof_join, overlap_join, point_join
 from brightloom.plans.registry import query, table
 from brightloom.plans.relational import user_sessions
-from brightloom.streaming import stateful
+from brightloom.streaming import events, stateful
 
 
 @query(
@@ -55,6 +55,16 @@ def balances_near_suppliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.groupBy("r.s_suppkey").agg(F.count(F.lit(1)).alias("n"), F.sum("l.at").alias("cents"))
 
 
+@query(
+    """SELECT time_bucket(INTERVAL '1 hour', ts) AS hour, event_type, count(*) AS n FROM events GROUP BY 1, 2
+    HAVING time_bucket(INTERVAL '1 hour', ts) + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"""
+)
+def streamed_closed_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of a stream by the hour, each passed on once, when the watermark has closed its hour: state is the open hours."""
+    out = stateful.ended(events.tumbling_counts(stateful.opened(spark, f"{sf_dir}/events.parquet")))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("hour"), "event_type", "n")
+
+
 @query(
     f"""{_SESSIONS} SELECT user_id, first_ts, last_ts, n FROM sessions WHERE last_ts + INTERVAL '30 minutes' <= (SELECT max(ts) FROM events) - INTERVAL '1 hour'"""
 )

@@ -4,14 +4,19 @@ from __future__ import annotations
 
 import posixpath
 import re
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brightloom.session import cut
+
 _TOKEN = re.compile(r'#[^\n]*|//[^\n]*|/\*.*?\*/|<<[-~]?(\w+)\n.*?\n\s*\1\b|"(?:[^"\\]|\\.)*"|[{}]|[A-Za-z_][\w-]*|=|\S', re.S)
 
 
+#: Names of empty files that the driver holds before it stores them.
+EMPTY_FILES = 10_000
 #: Files that make a folder a module.
 CONFIGURATION = r"\.(?:tf|tofu|hcl)$"
 
@@ -41,15 +46,21 @@ def files(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _empty(spark: SparkSession, root: str) -> DataFrame:
-    """(path, content) of empty files, which the binary source leaves out."""
+    """(path, content) of empty files, which the binary source leaves out.
+
+    Listed one by one; the driver holds EMPTY_FILES of their names at most.
+    """
     top = spark._jvm.org.apache.hadoop.fs.Path(root)
     listed = top.getFileSystem(spark._jsc.hadoopConfiguration()).listFiles(top, True)
-    found = []
+    found, tables = [], []
     while listed.hasNext():
         status = listed.next()
         if status.getLen() == 0:
             found.append((status.getPath().toString(), bytearray()))
-    return spark.createDataFrame(found, "path string, content binary")
+            if len(found) == EMPTY_FILES:
+                tables.append(cut(spark.createDataFrame(found, "path string, content binary")))
+                found = []
+    return reduce(DataFrame.unionAll, tables, spark.createDataFrame(found, "path string, content binary"))
 
 
 def sources(text: str) -> list[str]:

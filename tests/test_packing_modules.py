@@ -165,6 +165,17 @@ def test_members_stand_where_the_archive_has_them(spark, tmp_path):
     assert got == want and found["files"] == len(want) == 42
 
 
+def test_many_empty_files(spark, tmp_path, monkeypatch):
+    from brightloom.sources import module_tree
+
+    monkeypatch.setattr(module_tree, "EMPTY_FILES", 3)
+    for i in range(8):
+        (tmp_path / f"e{i}.tf").write_text("")
+    (tmp_path / "full.txt").write_text("x")
+    got = {r.path: bytes(r.content) for r in module_tree.files(spark, str(tmp_path)).collect()}
+    assert got == {f"e{i}.tf": b"" for i in range(8)} | {"full.txt": b"x"}
+
+
 def test_digest_tells_fields_apart(spark):
     def digest(path, content):
         files = spark.createDataFrame([("a", path, bytearray(content))], "node string, path string, content binary")

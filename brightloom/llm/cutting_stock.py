@@ -18,6 +18,7 @@ fills sequences of its own, the last ones at powers of two.
 from __future__ import annotations
 
 import array
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -240,11 +241,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAP
     A document's ids end with ``end_id``; null text is empty, a document of one id.
     Documents longer than a sequence are cut into full ones and a rest. Of the others
     only those are cut that fill gaps of ``least`` tokens or more, so a sequence is
-    padded by fewer than that, or not at all where its tokens are a power of two. Null
+    padded by fewer than that, or not at all where its tokens are a power of two. Of
+    ``grid`` what divides the capacity counts. Null
     ids and repeated rows pass through, each row a document of its own; an empty table
     gives an empty table. Columns other than ``id_col`` and ``text`` are not read.
     """
-    spark = docs.sparkSession
+    spark, grid = docs.sparkSession, math.gcd(grid, capacity)
     pieces = tokenized(docs, path or tokenizer_path(), capacity, end_id, text, id_col)
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     items = pieces.filter(F.col("length") < capacity).select("key", *columns).withColumn("class", F.ceil(F.col("length") / grid))

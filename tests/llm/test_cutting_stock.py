@@ -111,6 +111,7 @@ def test_odd_documents(spark, monkeypatch):
     docs = spark.createDataFrame([(d, t, 5, "x") for d, t in texts], "doc_id long, text string, start int, `a.b` string")
     out = cs.pack_documents(docs, capacity=128).collect()
     check(out, [(d, ids_of(t, 2)) for d, t in texts], 128, 2, cs.LEAST)
+    check(cs.pack_documents(docs, capacity=90).collect(), [(d, ids_of(t, 2)) for d, t in texts], 90, 2, cs.LEAST)
     assert cs.pack_documents(docs.limit(0), capacity=128).count() == 0
     one = cs.pack_documents(docs.filter("doc_id = 1")).collect()
     assert [(r.start, r.length, r.doc_tokens, r.offset) for r in one] == [(0, 1, 1, 0)]

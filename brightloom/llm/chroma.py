@@ -34,6 +34,8 @@ MOST_BITS, LEAST_ALIGNED = 25, 64
 WEAK = 4
 #: Integers of the queries that are held against all recordings in one pass.
 QUERY_CODES = 1 << 19
+#: Equal integers of a recording and the queries that are paired at a time.
+HITS = 1 << 20
 #: Every so many ids is a query.
 QUERY_STEP = 20
 
@@ -189,11 +191,15 @@ class Index:
         """
         a, b = np.searchsorted(self.names, other), np.searchsorted(self.names, other, "right")
         n = b - a
-        hit = self.at[np.repeat(a - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-        q = np.searchsorted(self.starts, hit, "right") - 1
-        offset = np.repeat(np.arange(len(other)), n) - (hit - self.starts[q])
-        enough = np.minimum(self.sizes[q], len(other) - offset) - np.maximum(0, -offset) >= LEAST_ALIGNED
-        histogram = np.unique(q[enough] * (1 << 32) + offset[enough] + (1 << 31))
+        # silence is one integer throughout: pairs are made for some integers at a time, and only their offsets are kept
+        cuts = np.flatnonzero(np.diff(np.cumsum(n) // HITS)) + 1
+        histogram = np.empty(0, np.int64)
+        for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(other)], strict=True):
+            hit = self.at[np.repeat(a[i:j] - np.cumsum(n[i:j]) + n[i:j], n[i:j]) + np.arange(n[i:j].sum())]
+            q = np.searchsorted(self.starts, hit, "right") - 1
+            offset = np.repeat(np.arange(i, j), n[i:j]) - (hit - self.starts[q])
+            enough = np.minimum(self.sizes[q], len(other) - offset) - np.maximum(0, -offset) >= LEAST_ALIGNED
+            histogram = np.union1d(histogram, q[enough] * (1 << 32) + offset[enough] + (1 << 31))
         q, offset = histogram >> 32, (histogram & ((1 << 32) - 1)) - (1 << 31)
         order = np.argsort(self.sizes[q], kind="stable")
         q, offset = q[order], offset[order]

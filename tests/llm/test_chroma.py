@@ -108,3 +108,33 @@ def test_query(spark, sf_dir):
     ids = [r.vec_id for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
     out = chroma.op5_chroma_fingerprints(spark, sf_dir).collect()
     assert sorted(r.vec_id for r in out) == sorted(i for i in ids if i % 20 == 0)
+
+
+def test_pairs_at_a_time_change_nothing(monkeypatch):
+    rng = np.random.default_rng(7)
+    made = [chroma.packed(chroma.answers(np.frombuffer(chroma.tune((base + rng.normal(scale=0.1, size=70)).tolist()), "<i2"))) for base in rng.normal(size=(4, 70)) for _ in range(3)]
+    index = chroma.Index([(i, c, w) for i, (c, w) in enumerate(made[:6])])
+    want = [index.matches(c) for c, _ in made]
+    assert sum(map(len, want)) > 10
+    for hits in (1, 50):
+        monkeypatch.setattr(chroma, "HITS", hits)
+        assert [index.matches(c) for c, _ in made] == want
+    assert index.matches(np.empty(0, np.uint32)) == {}
+
+
+def test_long_silence_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np
+from brightloom.llm import chroma
+still = np.full(6000, 1431655765, np.uint32)
+index = chroma.Index([(1, still, None)])
+before = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+(found,) = index.matches(still[:5000]).values()
+assert found[0] == 0.0
+assert resource.getrusage(resource.RUSAGE_SELF).ru_maxrss - before < 500_000
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, timeout=240)

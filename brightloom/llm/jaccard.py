@@ -366,8 +366,9 @@ def join_components(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT
     component_id is the smallest id that links lead to, its own included. Null and
     empty texts have no shingle and link with nothing; equal texts, and texts whose
     sets are equal, link. A null id is larger than all others and null again where it
-    is the smallest. Repeated rows are in one component. Other columns may have any
-    names: they travel inside ``row``.
+    is the smallest. Repeated rows are in one component. Texts are whole, however long:
+    one task makes a text's set, and a long text of one repeated unit is a small set.
+    Other columns may have any names: they travel inside ``row``.
     """
     rows = keyed(docs, text, id_col, docs.columns if carry is None else carry)
     found = rows.select("row", "doc", "d1", "d2").join(text_components(rows, size, percent), ["d1", "d2"])

@@ -79,3 +79,33 @@ def test_state_goes_with_the_stream(spark, streamed):
     at = df.inputFiles()[0].removeprefix("file:").replace("///", "/").rsplit("/out/", 1)[0]
     assert os.path.isdir(f"{at}/out") and not os.path.exists(f"{at}/state")
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+
+
+@pytest.mark.parametrize("slots", [1, 3])
+def test_keys_that_share_a_slot(streamed, monkeypatch, slots):
+    """Groups of the state are slots, not keys: few calls of the state server, whatever the keys."""
+    monkeypatch.setattr(stateful, "SLOTS", slots)
+    rows = [(i, None if i % 13 == 5 else f"k{i % 12}", i * i % 89 * 15 + i) for i in range(120)]
+    rows.sort(key=lambda r: r[2])
+    batches = [rows[:50], rows[50:60], rows[60:]]
+    times = {}
+    for e, k, m in rows:
+        times.setdefault(k, []).append((m, e))
+    last, runs, firsts = rows[-1][2], [], []
+    for k, found in times.items():
+        start = kept = None
+        for (m, e), later in zip(found, [*found[1:], None], strict=True):
+            start = (m, 1) if start is None else (start[0], start[1] + 1)
+            if later is None or later[0] - m > 30:
+                runs += [(k, start[0], m, start[1])] if m + 30 <= last - 60 else []
+                start = None
+            if kept is None or m - kept > 60:
+                kept = m
+                firsts.append(e)
+    out = stateful.sessions(streamed(batches), "k")
+    plan = out._jdf.queryExecution().analyzed().toString()
+    assert "slot#" in plan[plan.index("TransformWithState") :].split("\n")[0]
+    got = [(r.k, minute(r.first), minute(r.last), r.n) for r in stateful.ended(out).collect()]
+    assert sorted(got, key=repr) == sorted(runs, key=repr) and len(runs) > 12
+    got = [r.id for r in stateful.ended(stateful.without_repeats(streamed(batches), ["k"])).collect()]
+    assert sorted(got) == sorted(firsts) and len(firsts) < 120

@@ -18,11 +18,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import named, read_table, ship, stored, with_fields
+from .common import named, read_table, ship, with_fields
 
-#: Documents of each language that profiles are learned from.
-SAMPLE = 3000
-_SCALE = 1 << 31
 #: Length of a profile.
 PROFILE = 300
 UNKNOWN = "und"
@@ -30,6 +27,8 @@ UNKNOWN = "und"
 _BITS = 21
 #: What codes of one, two and three letters begin with, so that they are in this order.
 _TAGS = tuple(np.array([-(1 << 63), -(1 << 62), 0], np.int64))
+#: Cells that values are counted in for a quantile.
+CELLS = 1024
 #: Letters of a text that are counted at a time, so that memory doesn't follow the longest text.
 BLOCK = 1 << 20
 
@@ -38,8 +37,6 @@ class Model(NamedTuple):
     languages: list[str]
     #: For each language, codes of its n-grams in order.
     profiles: list[list[int]]
-    #: The score that this share of the learned documents don't reach: see ``learn``.
-    low: float = 0.0
 
 
 @functools.cache
@@ -130,25 +127,13 @@ def held_out(id_col: str) -> F.Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string")) % 5 == 0, F.lit(True))
 
 
-def learn(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE, low: float | None = None) -> Model:
-    """Profiles from about ``sample`` documents of each language in ``rows``, by hash.
+def learn(rows: DataFrame, length: int = PROFILE) -> Model:
+    """Profiles from all ``rows`` (text, lang).
 
-    With ``low`` the sample's own scores tell what is usual: the model's ``low`` is their
-    quantile at that share.
-
-    A language's documents are taken with the same chance each, ``sample`` expected;
-    of a language with fewer all are. Only profiles and one count for each language
-    reach the driver.
-    No rows give a model of no language, which knows nothing.
+    N-grams are counted batch by batch and summed by Spark; only profiles reach the
+    driver. No rows give a model of no language, which knows nothing.
     """
-    spark = rows.sparkSession
-    ship(spark)
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("doc_id", "text"), F.lit(_SCALE)))
-    limits = {r["lang"]: -(-sample * _SCALE // max(r["n"], sample)) for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not limits:
-        return Model([], [])
-    bound = spark.createDataFrame(list(limits.items()), "lang string, bound long")
-    chosen = stored(hashed.join(F.broadcast(bound), "lang").filter("h < bound").select("lang", "text"))
+    ship(rows.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,16 +143,39 @@ def learn(rows: DataFrame, sample: int = SAMPLE, length: int = PROFILE, low: flo
                 found, total = summed([x for x, _ in each], [n for _, n in each])
                 yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(found, pa.int64()), pa.array(total, pa.int64())], ["lang", "code", "n"])
 
-    counted = chosen.mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    counted = rows.select("lang", "text").mapInArrow(count, "lang string, code bigint, n bigint").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code"))).filter(F.col("i") <= length)
     profiles: dict[str, list[int]] = {}
     for r in ranked.select("lang", "i", "code").orderBy("lang", "i").collect():
         profiles.setdefault(r["lang"], []).append(r["code"])
-    model = Model(sorted(profiles), [profiles[x] for x in sorted(profiles)])
-    if low is None:
-        return model
-    scores = identify(chosen.select("text"), model).filter(F.col("lang_pred") != UNKNOWN)
-    return model._replace(low=scores.agg(F.percentile("score", F.lit(low))).first()[0] or 0.0)
+    return Model(sorted(profiles), [profiles[x] for x in sorted(profiles)])
+
+
+def quantile(values: DataFrame, share: float) -> float | None:
+    """The exact quantile of the only column of ``values``, between neighbours by proportion; None of nothing.
+
+    The value of a rank is found by counting values in CELLS of equal width and going on
+    within the cell that has the rank: no task sees more than a count for each cell.
+    """
+    values = values.toDF("v").filter("v IS NOT NULL")
+    n = values.count()
+    if not n:
+        return None
+    rank = int(share * (n - 1))
+    part, left = values, rank
+    while True:
+        low, high = part.agg(F.min("v"), F.max("v")).first()
+        if low == high:
+            break
+        cell = F.least(F.floor((F.col("v") - low) / (high - low) * CELLS), F.lit(CELLS - 1))
+        for r in sorted(part.groupBy(cell.alias("cell")).agg(F.count(F.lit(1)).alias("n")).collect()):
+            if left < r["n"]:
+                break
+            left -= r["n"]
+        part = part.filter(cell == r["cell"])
+    upto, above = values.agg(F.count_if(F.col("v") <= low), F.min(F.when(F.col("v") > low, F.col("v")))).first()
+    following = low if upto > rank + 1 or above is None else above
+    return low + (following - low) * (share * (n - 1) - rank)
 
 
 def identify(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:

@@ -24,11 +24,13 @@ REPEATED = 200
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 1: documents without a letter, or like no learned language, go.
 
-    Profiles, and the score that is asked for, are learned from the labelled documents of
-    the stage's own input.
+    Profiles, and the score that is asked for, are learned from all labelled documents of
+    the stage's own input. Each text is scored once.
     """
-    model = language.learn(language.train_rows(docs), low=RARE)
-    found = language.identify(docs, model).filter((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE * model.low))
+    found = common.stored(language.identify(docs, language.learn(language.train_rows(docs))).filter(F.col("lang_pred") != language.UNKNOWN))
+    learned = F.col("lang").isNotNull() & F.col("text").isNotNull() & ~language.held_out("doc_id")
+    low = language.quantile(found.filter(learned).select("score"), RARE) or 0.0
+    found = found.filter(F.col("score") >= LEAST_SHARE * low)
     return found.select(*map(common.named, docs.columns))
 
 

@@ -131,3 +131,22 @@ def test_out_of_place_distance():
     scorer = language.Scorer(model, 3)
     # of "b" alone the n-grams are "b", "_b" and "_b_"
     assert scorer.predict("b") == ("x", 1 - (1 + 1 + 3) / 9)
+
+
+def test_every_labelled_text_teaches(spark):
+    rows = [(i, c, "x") for j, c in enumerate("bcdefghijklmnopqrstu") for i in range(300 + j)]
+    model = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert [g for g in map(named, model.profiles[0]) if len(g) == 1] == list("utsrqponmlkjihgfedcb")
+
+
+@pytest.mark.parametrize("cells", [2, 1024])
+def test_quantile_of_all_values(spark, monkeypatch, cells):
+    import numpy as np
+
+    monkeypatch.setattr(language, "CELLS", cells)
+    rnd = random.Random(4)
+    for values in ([], [0.3], [0.5] * 9, [rnd.choice([0.1, 0.2, rnd.random()]) for _ in range(300)]):
+        df = spark.createDataFrame([(v,) for v in [*values, None]], "score double")
+        for share in (0.0, 0.01, 0.4, 1.0):
+            want = pytest.approx(np.quantile(values, share), abs=1e-12) if values else None
+            assert language.quantile(df, share) == want

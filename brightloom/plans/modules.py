@@ -90,8 +90,7 @@ def module_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def module_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Recursive resolution of a graph full of cycles and diamonds: suppliers refer to parts and back."""
-    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst")).distinct()
-    lines = cut(lines)
+    lines = table(spark, sf_dir, "lineitem").select(F.concat(F.lit("s"), F.col("l_suppkey")).alias("src"), F.concat(F.lit("p"), F.col("l_partkey")).alias("dst"))
     down = _pairs(spark, sf_dir, "nation", "r", "n_regionkey", "n", "n_nationkey").union(_pairs(spark, sf_dir, "supplier", "n", "s_nationkey", "s", "s_suppkey"))
     return closure.closure(roots(spark, sf_dir), down.union(lines).union(lines.select("dst", "src"))).select("root", "node")
 

@@ -205,3 +205,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert '"files": 2' in capsys.readouterr().out
     (tmp_path / "t" / "m" / "x.tf").write_text('module "n" { source = "../n" }')
     assert main(["pack", str(tmp_path / "t"), ".", str(tmp_path / "o.tar")]) == 1
+
+
+def test_roots_travel_together(spark, monkeypatch):
+    """More roots than a mask has bits; an edge is followed once for all of them."""
+    from brightloom.operators import closure as module
+
+    met, plain = [], module.cut
+    monkeypatch.setattr(module, "cut", lambda df: met.append(plain(df)) or met[-1])
+    rows = [(r, "hub") for r in range(130)]
+    edges = spark.createDataFrame([(str(r), n) for r, n in rows] + [("hub", "a"), ("a", "hub"), ("a", "b"), ("hub", "a"), ("b", None)], "src string, dst string")
+    roots = spark.createDataFrame([(str(r),) for r in range(130)] + [("5",), (None,)], "root string")
+    got = sorted(tuple(r) for r in module.closure(roots, edges).collect())
+    assert got == sorted((str(r), n, d) for r in range(130) for n, d in ((str(r), 0), ("hub", 1), ("a", 2), ("b", 3)))
+    assert [x.count() for x in met if "depth" in x.columns] == [130, 3, 3, 3, 0]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,8 @@ from pyspark.sql.window import Window
 
 #: Cells of equal width that time is counted in, and rows that a stretch made of cells has at most but for its last cell.
 CELLS, STRETCH_ROWS = 4096, 500_000
+#: How much wider than bins of their own level the bins of intervals may be, by the sum over all intervals.
+WIDER = 4
 
 
 def _stretches(rows: DataFrame, at: str, per: int) -> Column:
@@ -76,16 +79,23 @@ def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
     ends. ``by`` are columns that have to be equal. Intervals with a null end or key, or
     that end before they begin, meet nothing; repeated rows meet each by itself.
 
-    An interval of length n has the level of a power of two above n, and lies in one or
-    two bins of that width. The longer of two intervals is looked for in the bins of its
-    own level that the shorter one touches, at most two too, so no interval is
-    replicated by its length, only for each level that the other side has (64 at most),
-    and each pair meets in one bin: all joins are by equality of bins.
+    An interval of length n has the level of a power of two above n, or the next higher
+    one of a few levels (``_chosen``), and lies in one or two bins of that width. The
+    longer of two intervals is looked for in the bins of its own level that the shorter
+    one touches, at most two too, so no interval is replicated by its length, only for
+    each level that is left, and each pair meets in one bin: all joins are by equality of bins.
     """
     a, b = _levelled(left, left_ends, by, "l"), _levelled(right, right_ends, by, "r")
     keys = [f"_k{i}" for i in range(len(by))]
-    shorter_left = _met(a, b, keys, "l", "r", False)
-    return shorter_left.unionAll(_met(b, a, keys, "r", "l", True).select("l", "r"))
+    counts = lambda df: Counter({r["_level"]: r["n"] for r in df.groupBy("_level").agg(F.count(F.lit(1)).alias("n")).collect()})
+    of_a = counts(a)
+    of_b = of_a if left is right and tuple(left_ends) == tuple(right_ends) else counts(b)
+    levels = _chosen(of_a + of_b)
+    up = {k: next(x for x in levels if x >= k) for k in of_a + of_b}
+    a, b = (x.withColumn("_level", F.element_at(F.lit([up.get(k, k) for k in range(64)]), F.col("_level") + 1)) for x in (a, b))
+    ups_a, ups_b = ({up[k] for k in x} for x in (of_a, of_b))
+    shorter_left = _met(a, b, ups_a, ups_b, keys, "l", "r", False)
+    return shorter_left.unionAll(_met(b, a, ups_b, ups_a, keys, "r", "l", True).select("l", "r"))
 
 
 def point_join(points: DataFrame, ranges: DataFrame, at: str, ends: tuple[str, str], by: Sequence[str] = ()) -> DataFrame:
@@ -104,18 +114,34 @@ def _levelled(rows: DataFrame, ends: tuple[str, str], by: Sequence[str], name: s
     return found.withColumn("_level", F.when(F.col("_z") == F.col("_a"), 0).otherwise(F.least(F.lit(63), F.length(F.bin(half)) + 1)).cast("int"))
 
 
+def _chosen(counts: dict[int, int]) -> list[int]:
+    """The fewest levels to raise intervals to, for bins in all at most WIDER times as wide as at their own levels.
+
+    Rows of the other side are sent once for each level, so a level of few intervals is
+    not worth its own; what an interval is compared with grows as the width of its bins.
+    The share of each level decides, so more rows alike have the same levels.
+    """
+    own = sorted(counts)
+    most = WIDER * sum(n << k for k, n in counts.items())
+    best = {0: (0, [])}  # by how many of the levels are done: their width in all, and the levels chosen
+    while own and (len(own) not in best or best[len(own)][0] > most):
+        best = {j: min((w + (sum(counts[k] for k in own[i:j]) << own[j - 1]), found + [own[j - 1]]) for i, (w, found) in best.items() if i < j) for j in range(min(best) + 1, len(own) + 1)}
+    return best[len(own)][1]
+
+
 def _bins(level: str) -> Column:
     first, last = F.expr(f"shiftright(_a, {level})"), F.expr(f"shiftright(_z, {level})")
     return F.explode(F.when(first == last, F.array(first)).otherwise(F.array(first, last))).alias("_bin")
 
 
-def _met(short: DataFrame, long: DataFrame, keys: list[str], s: str, l: str, strict: bool) -> DataFrame:  # noqa: E741
+def _met(short: DataFrame, long: DataFrame, shorts: set[int], longs: set[int], keys: list[str], s: str, l: str, strict: bool) -> DataFrame:  # noqa: E741
     """Pairs of an interval and one of the other side whose level is higher, or with not ``strict`` also equal."""
-    levels = sorted(r["_level"] for r in long.select("_level").distinct().collect())
+    levels = sorted(x for x in longs if shorts and (x > min(shorts) if strict else x >= min(shorts)))
     wanted = F.filter(F.lit(levels).cast("array<int>"), lambda x: x > F.col("_level") if strict else x >= F.col("_level"))
     probes = short.select(s, *keys, "_a", "_z", F.explode(wanted).alias("_at"))
     probes = probes.select(s, *keys, "_a", "_z", "_at", _bins("_at")).withColumnsRenamed({"_a": "_pa", "_z": "_pz"})
-    held = long.select(l, *keys, "_a", "_z", F.col("_level").alias("_at"), _bins("_level"))
+    # with no filter where all are wanted, both sides of a table with itself read one exchange
+    held = (long if longs <= set(levels) else long.filter(F.col("_level").isin(levels))).select(l, *keys, "_a", "_z", F.col("_level").alias("_at"), _bins("_level"))
     met = probes.join(held, [*keys, "_at", "_bin"])
     begin = F.greatest("_a", "_pa")
     once = F.expr("shiftright(greatest(_a, _pa), _at)") == F.col("_bin")

@@ -36,7 +36,8 @@ _SESSIONS = """WITH g AS (SELECT user_id, ts, event_id, CASE WHEN ts - lag(ts) O
 def overlapping_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of two users that have a moment in common."""
     micros = lambda c: F.unix_micros(F.col(c).cast("timestamp"))
-    rows = user_sessions(spark, sf_dir).withColumns({"a": micros("first_ts"), "z": micros("last_ts")})
+    # in order of time, so that sessions that meet the same others are next to each other and the pairs' files are small
+    rows = user_sessions(spark, sf_dir).withColumns({"a": micros("first_ts"), "z": micros("last_ts")}).orderBy("a", "user_id", "session")
     met = overlap_join(rows, rows, ("a", "z"), ("a", "z")).filter("l.user_id < r.user_id")
     return met.select("l.user_id", "l.session", F.col("r.user_id").alias("other_id"), F.col("r.session").alias("other_session"), F.greatest("l.first_ts", "r.first_ts").alias("from_ts"))
 

@@ -1,8 +1,9 @@
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from brightloom.operators.temporal import asof_join, overlap_join, point_join
+from brightloom.operators.temporal import _chosen, asof_join, overlap_join, point_join
 
 small = settings(max_examples=6, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
 times = st.one_of(st.none(), st.integers(-20, 20))
@@ -56,3 +57,30 @@ def test_no_nested_loop_in_the_plan(spark):
     a = spark.range(100).selectExpr("id AS a", "id + 5 AS z")
     plan = overlap_join(a, a, ("a", "z"), ("a", "z"))._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_rows_are_sent_for_few_levels(spark):
+    a = spark.range(1000).selectExpr("id", "id * 1000 AS a", "id * 1000 + IF(id % 20 = 0, shiftleft(1L, CAST(id DIV 20 % 20 AS int)), 0) AS z")
+    off = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1"}
+    before = {k: spark.conf.get(k) for k in off}
+    try:
+        for k, v in off.items():
+            spark.conf.set(k, v)
+        met = overlap_join(a, a, ("a", "z"), ("a", "z")).select("l.id", F.col("r.id").alias("other"))
+        got = {tuple(r) for r in met.collect()}
+        left, sent = [met._jdf.queryExecution().executedPlan()], 0
+        while left:
+            node = left.pop()
+            left += [node.children().apply(i) for i in range(node.children().size())]
+            sent += node.metrics().apply("shuffleRecordsWritten").value() if node.nodeName() == "Exchange" else 0
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    spans = [(r.id, r.a, r.z) for r in a.collect()]
+    assert got == {(i, j) for i, x, y in spans for j, v, w in spans if max(x, v) <= min(y, w)}
+    assert 0 < sent < 10 * len(spans)
+
+
+@pytest.mark.parametrize("counts, levels", [({}, []), ({0: 5}, [0]), ({0: 1000, 20: 1, 31: 1}, [20, 31]), ({0: 100000, 20: 1, 31: 1}, [0, 31]), ({0: 1, 30: 9, 31: 9}, [31]), ({k: 1 << 63 - k for k in range(0, 64, 9)}, list(range(0, 64, 9)))])
+def test_levels_are_few_for_their_width(counts, levels):
+    assert _chosen(counts) == levels
